@@ -10,7 +10,7 @@ before it.  All per-keyword occurrence arrays are concatenated and sorted by
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import fixed
@@ -59,9 +59,7 @@ def _occurrences_of(text: Column, keyword: str, rank: int) -> Column:
                        F.lit(keyword).alias("keyword"))
         return F.struct(end.alias("pos"), F.array_append(acc["occ"], occ).alias("occ"))
 
-    return F.when(F.size(found) > 0,
-                  F.aggregate(steps, init, merge, lambda acc: acc["occ"])
-                  ).otherwise(F.array().cast(OCC_TYPE))
+    return F.aggregate(steps, init, merge, lambda acc: acc["occ"])
 
 
 def occurrences(text, keywords) -> Column:
@@ -75,60 +73,69 @@ def occurrences(text, keywords) -> Column:
     return F.array_sort(allocc)
 
 
-def proximity_match(text, institutions=None, statuses=None,
-                    window: int = fixed.DEFAULT_MATCH_WINDOW,
-                    padding: int = fixed.EXCERPT_PADDING) -> Column:
-    """M1+M2+M3 on F7-normalised text: the first (institution occurrence,
-    status occurrence) pair, in institution order then status order, whose
-    gap ``max(0, max(starts) - min(ends))`` is at most ``window``.  Returns a
-    nullable STRUCT<institution, status, matched_text>.
+def with_proximity_match(df: DataFrame, text, out: str = "match", institutions=None,
+                         statuses=None, window: int = fixed.DEFAULT_MATCH_WINDOW,
+                         padding: int = fixed.EXCERPT_PADDING) -> DataFrame:
+    """M1+M2+M3 on F7-normalised text: adds ``out`` = the first (institution
+    occurrence, status occurrence) pair, in institution order then status
+    order, whose gap ``max(0, max(starts) - min(ends))`` is at most
+    ``window``, as a nullable STRUCT<institution, status, matched_text>.
 
-    A cheap ``rlike`` test on both keyword sets guards the span building, so
-    only documents that can match pay for it."""
+    Staged as separate columns so each expensive array is computed once per
+    row (Catalyst keeps projections apart when a collapse would repeat
+    them), and a cheap ``rlike`` on both keyword sets guards span building,
+    so only documents that can match pay for it."""
     institutions = list(institutions or fixed.DEFAULT_INSTITUTION_KEYWORDS)
     statuses = list(statuses or fixed.DEFAULT_STATUS_KEYWORDS)
     window = max(1, int(window))
-    t = T.collapse_ws(text)
-    inst = occurrences(t, institutions)
-    stat = occurrences(t, statuses)
+    t, inst, stat, pair = "_pm_t", "_pm_inst", "_pm_stat", "_pm_pair"
+    df = df.withColumn(t, T.collapse_ws(text))
+    maybe = F.col(t).rlike(any_keyword_pattern(institutions)) & F.col(t).rlike(any_keyword_pattern(statuses))
+    df = df.withColumn(inst, F.when(maybe, occurrences(F.col(t), institutions)))
+    df = df.withColumn(stat, F.when(F.size(inst) > 0, occurrences(F.col(t), statuses)))
 
     def first_status(i):
-        near = F.filter(stat, lambda s: F.greatest(
+        near = F.filter(F.col(stat), lambda s: F.greatest(
             F.lit(0), F.greatest(i["start"], s["start"]) - F.least(i["end"], s["end"])) <= window)
         return F.struct(i.alias("i"), F.get(near, 0).alias("s"))
 
-    pair = F.get(F.filter(F.transform(inst, first_status), lambda p: p["s"].isNotNull()), 0)
-    lo = F.least(pair["i"]["start"], pair["s"]["start"])
-    hi = F.greatest(pair["i"]["end"], pair["s"]["end"])
+    df = df.withColumn(pair, F.when(F.size(stat) > 0, F.get(
+        F.filter(F.transform(F.col(inst), first_status), lambda p: p["s"].isNotNull()), 0)))
+    p = F.col(pair)
+    lo = F.least(p["i"]["start"], p["s"]["start"])
+    hi = F.greatest(p["i"]["end"], p["s"]["end"])
     ex_start = F.greatest(F.lit(0), lo - padding)
     ex_end = F.least(F.length(t), hi + padding)
-    result = F.when(pair.isNotNull(), F.struct(
-        pair["i"]["keyword"].alias("institution"),
-        pair["s"]["keyword"].alias("status"),
-        F.trim(F.substring(t, ex_start + 1, ex_end - ex_start)).alias("matched_text"),
-    ))
-    maybe = t.rlike(any_keyword_pattern(institutions)) & t.rlike(any_keyword_pattern(statuses))
-    return F.when(maybe, result)
-
-
-def simple_match(text, keywords=None) -> Column:
-    """M4: the longest keyword contained in the text (case-insensitive
-    substring, no word boundary); status 'simple_keyword'."""
+    df = df.withColumn(out, F.when(p.isNotNull(), F.struct(
+        p["i"]["keyword"].alias("institution"),
+        p["s"]["keyword"].alias("status"),
+        F.trim(F.substring(F.col(t), ex_start + 1, ex_end - ex_start)).alias("matched_text"),
+    )))
+    return df.drop(t, inst, stat, pair)
+
+
+def with_simple_match(df: DataFrame, text, out: str = "match", keywords=None) -> DataFrame:
+    """M4: adds ``out`` = the longest keyword contained in the text
+    (case-insensitive substring, no word boundary), status 'simple_keyword'."""
     kws = fixed.longest_first(keywords or fixed.DEFAULT_SEARCH_KEYWORDS)
     low = F.lower(F.coalesce(_col(text), F.lit("")))
-    hit = F.coalesce(*[F.when(F.contains(low, F.lit(k.lower())), F.lit(k)) for k in kws])
-    return F.when(hit.isNotNull(), F.struct(
+    df = df.withColumn("_sm_hit", F.coalesce(*[F.when(F.contains(low, F.lit(k.lower())), F.lit(k)) for k in kws]))
+    hit = F.col("_sm_hit")
+    df = df.withColumn(out, F.when(hit.isNotNull(), F.struct(
         hit.alias("institution"), F.lit(fixed.SIMPLE_STATUS).alias("status"),
-        hit.alias("matched_text")))
+        hit.alias("matched_text"))))
+    return df.drop("_sm_hit")
 
 
-def alumni_match(text, mode: str = fixed.MATCH_MODE_PROXIMITY, institutions=None,
-                 statuses=None, keywords=None, window: int = fixed.DEFAULT_MATCH_WINDOW) -> Column:
+def with_alumni_match(df: DataFrame, text, out: str = "match",
+                      mode: str = fixed.MATCH_MODE_PROXIMITY, institutions=None,
+                      statuses=None, keywords=None,
+                      window: int = fixed.DEFAULT_MATCH_WINDOW) -> DataFrame:
     """M5: mode dispatch ('simple' or 'proximity'; anything else -> proximity)."""
     mode = (mode or "").strip().lower()
     if mode == fixed.MATCH_MODE_SIMPLE:
-        return simple_match(text, keywords)
-    return proximity_match(text, institutions, statuses, window)
+        return with_simple_match(df, text, out, keywords)
+    return with_proximity_match(df, text, out, institutions, statuses, window)
 
 
 def matching_keyword(match: Column) -> Column:

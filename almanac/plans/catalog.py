@@ -126,3 +126,40 @@ def q_location_groups(spark, sf):
 def q_location_bounds(spark, sf):
     g = serve.location_groups(_located(spark, sf), name="c_name", city="city", id_col="c_custkey")
     return serve.location_bounds(g)
+
+
+# ------------------------------------------------------------- J2 match --
+
+# Keyword sets for the corpus binding (job parameters, not fixed values).
+DOC_SIMPLE_KEYWORDS = ["Apache License", "MIT License", "License", "secret", "password", "und", "les"]
+DOC_INSTITUTIONS = ["MIT License", "Apache License", "GNU General Public License", "License"]
+DOC_STATUSES = ["released", "licensed", "under the", "version", "the"]
+DOC_WINDOW = 30
+
+
+@register("keyword_hits_simple")
+def q_keyword_hits_simple(spark, sf):
+    d = M.with_simple_match(table(spark, sf, "documents"), "text", "m", DOC_SIMPLE_KEYWORDS)
+    return d.select("doc_id", M.matching_keyword(F.col("m")).alias("keyword"),
+                    M.is_match(F.col("m")).alias("is_match"))
+
+
+@register("proximity_match")
+def q_proximity_match(spark, sf):
+    d = M.with_proximity_match(table(spark, sf, "documents"), "text", "m",
+                               DOC_INSTITUTIONS, DOC_STATUSES, window=DOC_WINDOW)
+    m = F.col("m")
+    return d.select("doc_id", M.is_match(m).alias("is_match"),
+                    m["institution"].alias("institution"), m["status"].alias("status"),
+                    m["matched_text"].alias("matched_text"))
+
+
+@register("keyword_occurrences")
+def q_keyword_occurrences(spark, sf):
+    """M1 flattened: one row per occurrence with code-point spans."""
+    d = table(spark, sf, "documents")
+    occ = M.occurrences(T.collapse_ws("text"), DOC_INSTITUTIONS + DOC_STATUSES)
+    return (d.select("doc_id", F.posexplode(occ).alias("pos", "o"))
+             .select("doc_id", (F.col("pos") + 1).alias("ordinal"),
+                     F.col("o.start").alias("start"), F.col("o.end").alias("end"),
+                     F.col("o.keyword").alias("keyword")))

@@ -98,3 +98,81 @@ SELECT coalesce(min(lat), 42.3149) AS min_lat, coalesce(max(lat), 42.3149) AS ma
        count(*) AS n_groups
 FROM groups
 """
+
+
+# ----------------------------------------------------------------- J2 ---
+import re as _re  # noqa: E402
+
+from ..sources.fixed import longest_first as _longest_first  # noqa: E402
+from .catalog import DOC_INSTITUTIONS, DOC_SIMPLE_KEYWORDS, DOC_STATUSES, DOC_WINDOW  # noqa: E402
+
+# RE2 stand-ins for Java's (?U) classes.
+_RE2_WS = r"[\t\n\v\f\r\x{85}\p{Z}]+"
+_RE2_WORD = r"[\pL\p{Nl}\p{Nd}\pM\p{Pc}\x{200C}\x{200D}]"
+
+
+def _re2_literal(s: str) -> str:
+    return _re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", s)
+
+
+def _re2_keyword(k: str) -> str:
+    return "(?i)" + r"\s+".join(_re2_literal(p) for p in k.split())
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _kw_values(keywords, kind):
+    rows = [f"({_sql_str(k)}, {_sql_str(_re2_keyword(k))}, {i}, {_sql_str(kind)})"
+            for i, k in enumerate(_longest_first(keywords))]
+    return ", ".join(rows)
+
+
+def _occurrence_sql(kw_values: str) -> str:
+    return f"""
+d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{_RE2_WS}', ' ', 'g')) AS t FROM documents),
+kw AS (SELECT * FROM (VALUES {kw_values}) v(keyword, pat, rank, kind)),
+raw AS (SELECT doc_id, t, keyword, rank, kind,
+               string_split_regex(t, pat) AS pieces, regexp_extract_all(t, pat) AS ms
+        FROM d, kw),
+ex AS (SELECT doc_id, t, keyword, rank, kind, pieces, ms,
+              unnest(generate_series(1, len(ms))) AS k FROM raw WHERE len(ms) > 0),
+sp AS (SELECT doc_id, t, keyword, rank, kind,
+              CAST(list_sum(list_transform(pieces[1:k], lambda x: length(x)))
+                   + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS INTEGER) AS start,
+              length(ms[k]) AS mlen FROM ex),
+occ AS (SELECT doc_id, t, keyword, rank, kind, start, start + mlen AS "end" FROM sp
+        WHERE (start = 0 OR NOT regexp_matches(substr(t, start, 1), '^{_RE2_WORD}$'))
+          AND (start + mlen = length(t) OR NOT regexp_matches(substr(t, start + mlen + 1, 1), '^{_RE2_WORD}$')))
+"""
+
+
+ORACLE["keyword_hits_simple"] = (
+    "SELECT doc_id, CASE "
+    + " ".join(f"WHEN contains(lower(coalesce(text, '')), {_sql_str(k.lower())}) THEN {_sql_str(k)}"
+               for k in _longest_first(DOC_SIMPLE_KEYWORDS))
+    + " END AS keyword, "
+    + "(" + " OR ".join(f"contains(lower(coalesce(text, '')), {_sql_str(k.lower())})"
+                        for k in DOC_SIMPLE_KEYWORDS) + ") AS is_match FROM documents")
+
+ORACLE["keyword_occurrences"] = "WITH " + _occurrence_sql(
+    _kw_values(DOC_INSTITUTIONS + DOC_STATUSES, "k")) + """
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, rank) AS INTEGER) AS ordinal,
+       start, "end", keyword FROM occ
+"""
+
+ORACLE["proximity_match"] = "WITH " + _occurrence_sql(
+    _kw_values(DOC_INSTITUTIONS, "i") + ", " + _kw_values(DOC_STATUSES, "s")) + f""",
+io AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, rank) AS ord FROM occ WHERE kind = 'i'),
+so AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, rank) AS ord FROM occ WHERE kind = 's'),
+pairs AS (SELECT io.doc_id, io.t, io.keyword AS institution, so.keyword AS status,
+                 least(io.start, so.start) AS lo, greatest(io."end", so."end") AS hi,
+                 io.ord AS iord, so.ord AS sord
+          FROM io JOIN so ON io.doc_id = so.doc_id
+           AND greatest(0, greatest(io.start, so.start) - least(io."end", so."end")) <= {DOC_WINDOW}),
+best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY iord, sord) = 1)
+SELECT documents.doc_id, best.doc_id IS NOT NULL AS is_match, institution, status,
+       trim(substr(t, greatest(0, lo - 45) + 1, least(length(t), hi + 45) - greatest(0, lo - 45))) AS matched_text
+FROM documents LEFT JOIN best ON documents.doc_id = best.doc_id
+"""
