@@ -66,8 +66,8 @@ def year_from_text(c) -> Column:
     four = F.regexp_extract(c, r"\b(\d{4})\b", 1)
     two = F.regexp_extract(c, r"(?:/|-|,?\s+)(\d{2})$", 1)
     return F.coalesce(
-        F.try_cast(F.nullif(four, F.lit("")), "int"),
-        F.try_cast(F.nullif(two, F.lit("")), "int") + F.lit(2000),
+        F.nullif(four, F.lit("")).try_cast("int"),
+        F.nullif(two, F.lit("")).try_cast("int") + F.lit(2000),
     )
 
 

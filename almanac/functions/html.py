@@ -38,7 +38,8 @@ def unescape(c) -> Column:
 def markup_text(inner) -> Column:
     """Visible text of a markup fragment: drop script/style bodies and
     comments, tags become separators, decode entities, collapse whitespace."""
-    x = F.regexp_replace(_col(inner), r"(?is)<(script|style)(?:\s[^>]*)?>.*?</\1\s*>", " ")
+    x = F.regexp_replace(_col(inner), r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>", " ")
+    x = F.regexp_replace(x, r"(?is)<style(?:\s[^>]*)?>.*?</style\s*>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     x = F.regexp_replace(x, r"<[^>]*>", " ")
     return T.collapse_ws(unescape(x))
@@ -57,7 +58,9 @@ def first_present(*cols) -> Column:
 
 
 def link_pattern(prefix: str = "/") -> str:
-    return r"""(?i)<a\s[^>]*?href\s*=\s*["'](""" + prefix.replace("/", r"/") + r"""[^"'#]*)["']"""
+    """``href`` values of anchors that start with ``prefix`` (group 1)."""
+    lit = "".join("\\" + ch if not ch.isalnum() else ch for ch in prefix)
+    return r"""(?i)<a\s[^>]*?href\s*=\s*["'](""" + lit + r"""[^"']*)["']"""
 
 
 def links(html, prefix: str = "/") -> Column:

@@ -163,3 +163,96 @@ def q_keyword_occurrences(spark, sf):
              .select("doc_id", (F.col("pos") + 1).alias("ordinal"),
                      F.col("o.start").alias("start"), F.col("o.end").alias("end"),
                      F.col("o.keyword").alias("keyword")))
+
+
+# ----------------------------------------------------------- J1 extract --
+
+LINK_PREFIX = "/"
+PRIORITY_SITES = ["m", "blog", "nosuchsite", "www"]
+DISCOVERY_DOMAIN = "example.com"
+
+
+def _page_links(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select("page_id", F.posexplode(H.absolute_links("html", "url", LINK_PREFIX)).alias("pos", "link"))
+
+
+@register("page_links")
+def q_page_links(spark, sf):
+    return _page_links(spark, sf).select("page_id", (F.col("pos") + 1).alias("position"), "link")
+
+
+@register("distinct_links")
+def q_distinct_links(spark, sf):
+    """U1 across pages: first sighting (page, position) and page count per link."""
+    l = _page_links(spark, sf)
+    return (l.groupBy("link")
+             .agg(F.min(F.struct("page_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n_pages"))
+             .select("link", F.col("first.page_id").alias("first_page_id"),
+                     (F.col("first.pos") + 1).alias("first_position"), "n_pages"))
+
+
+@register("page_title_h1")
+def q_page_title_h1(spark, sf):
+    """P1 (title, h1) and the P3(b)/(c) name cascade: h1 split into two parts,
+    else the title cut at ' Obituary'."""
+    p = table(spark, sf, "pages").select(
+        "page_id", H.element_text("html", "title").alias("title"), H.element_text("html", "h1").alias("h1"))
+    b = T.split_name("h1")
+    c = T.split_name(T.title_name("title"))
+    use_b = b["first_name"].isNotNull() & b["last_name"].isNotNull()
+    return p.select("page_id", "title", "h1",
+                    F.when(use_b, b["first_name"]).otherwise(c["first_name"]).alias("first_name"),
+                    F.when(use_b, b["last_name"]).otherwise(c["last_name"]).alias("last_name"))
+
+
+@register("page_body")
+def q_page_body(spark, sf):
+    """P2 cascade over the leaf selectors the regex path supports."""
+    p = table(spark, sf, "pages")
+    return p.select("page_id", H.first_present(H.element_text("html", "article"),
+                                               H.element_text("html", "main")).alias("body"))
+
+
+@register("page_fields")
+def q_page_fields(spark, sf):
+    """The Arrow extractor with the full selector cascades."""
+    from ..sources.pages import page_fields
+    p = table(spark, sf, "pages")
+    f = page_fields(p, "url", "html", LINK_PREFIX)
+    return f.select("url", "first_name", "last_name", F.length("body").alias("body_chars"),
+                    "death_date", "publication_text", "funeral_home", F.size("links").alias("n_links"))
+
+
+def _site_dimension(pages):
+    """Sites seen in the corpus (host label) with a derived city/province;
+    labels shorter than five characters are left out, so they stay unknown."""
+    lab = pages.select(T.host_label("url").alias("subdomain")).where(F.length("subdomain") >= 5).distinct()
+    return lab.select("subdomain", F.upper("subdomain").alias("city"),
+                      F.concat(F.lit("P"), (F.length("subdomain") % 5).cast("string")).alias("province"))
+
+
+@register("site_lookup")
+def q_site_lookup(spark, sf):
+    """F15 + JN1: host label -> (city, province); unknown sites keep NULLs."""
+    from ..operators.enrich import with_site
+    p = table(spark, sf, "pages").select("page_id", "url")
+    dim = _site_dimension(table(spark, sf, "pages"))
+    return with_site(p, "url", dim).select("page_id", "subdomain", "city", "province")
+
+
+@register("site_discovery")
+def q_site_discovery(spark, sf):
+    """P10: distinct subdomains of the base domain, sorted."""
+    p = table(spark, sf, "pages")
+    return (p.select(H.subdomain_of("url", DISCOVERY_DOMAIN).alias("subdomain"))
+             .where(F.col("subdomain").isNotNull()).distinct().orderBy("subdomain"))
+
+
+@register("site_order")
+def q_site_order(spark, sf):
+    """O4 + U4: priority sites first in list order, then the rest by name."""
+    from ..operators.frontier import order_sites
+    p = table(spark, sf, "pages")
+    sites = p.select(T.host_label("url").alias("subdomain")).where(F.col("subdomain").isNotNull())
+    return order_sites(sites, PRIORITY_SITES)

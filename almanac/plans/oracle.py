@@ -176,3 +176,97 @@ SELECT documents.doc_id, best.doc_id IS NOT NULL AS is_match, institution, statu
        trim(substr(t, greatest(0, lo - 45) + 1, least(length(t), hi + 45) - greatest(0, lo - 45))) AS matched_text
 FROM documents LEFT JOIN best ON documents.doc_id = best.doc_id
 """
+
+
+# ----------------------------------------------------------------- J1 ---
+from ..functions.html import ENTITIES as _ENT, element_pattern as _elpat, link_pattern as _linkpat  # noqa: E402
+from .catalog import DISCOVERY_DOMAIN, LINK_PREFIX, PRIORITY_SITES  # noqa: E402
+
+_ROOT = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)"
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)"
+
+
+def _collapse(x):
+    return f"trim(regexp_replace(coalesce({x}, ''), '{_RE2_WS}', ' ', 'g'))"
+
+
+def _unescape(x):
+    for k, v in _ENT:
+        x = f"replace({x}, {_sql_str(k)}, {_sql_str(v)})"
+    return x
+
+
+def _element_text(html, tag):
+    pat = _sql_str(_elpat(tag))
+    inner = f"regexp_extract(coalesce({html}, ''), {pat}, 1)"
+    x = f"regexp_replace({inner}, '(?is)<script(?:\\s[^>]*)?>.*?</script\\s*>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?is)<style(?:\\s[^>]*)?>.*?</style\\s*>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
+    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    return f"CASE WHEN regexp_matches(coalesce({html}, ''), {pat}) THEN {_collapse(_unescape(x))} ELSE 'N/A' END"
+
+
+def _split_name(x):
+    """(first, last) SQL for P4+P5 over text expression x."""
+    cleaned = f"trim(regexp_replace(regexp_replace({_collapse(x)}, ' Obituary$', ''), ' obituary$', ''))"
+    toks = f"string_split({cleaned}, ' ')"
+    ok = f"({cleaned} <> '' AND len({toks}) >= 2)"
+    first = f"CASE WHEN {ok} THEN array_to_string({toks}[1:len({toks}) - 1], ' ') END"
+    lastt = f"{toks}[len({toks})]"
+    last = f"CASE WHEN {ok} THEN upper(substr({lastt}, 1, 1)) || lower(substr({lastt}, 2)) END"
+    return first, last
+
+
+_LINKS_CTE = f"""
+l AS (SELECT page_id, regexp_extract(url, '{_ROOT}', 1) AS root,
+             regexp_extract_all(coalesce(html, ''), {_sql_str(_linkpat(LINK_PREFIX))}, 1) AS ls FROM pages),
+u AS (SELECT page_id, root, unnest(ls) AS link, generate_subscripts(ls, 1) AS i FROM l),
+f AS (SELECT page_id, root, link, min(i) AS first_i FROM u GROUP BY page_id, root, link),
+pl AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY first_i) AS INTEGER) AS position,
+              root || link AS link FROM f)
+"""
+
+ORACLE["page_links"] = "WITH " + _LINKS_CTE + "SELECT * FROM pl"
+
+ORACLE["distinct_links"] = "WITH " + _LINKS_CTE + """
+SELECT link, arg_min(page_id, (page_id, position)) AS first_page_id,
+       arg_min(position, (page_id, position)) AS first_position, count(*) AS n_pages
+FROM pl GROUP BY link
+"""
+
+_b_first, _b_last = _split_name("h1")
+_c_first, _c_last = _split_name("split_part(title, ' Obituary', 1)")
+ORACLE["page_title_h1"] = f"""
+WITH p AS (SELECT page_id, {_element_text('html', 'title')} AS title, {_element_text('html', 'h1')} AS h1 FROM pages)
+SELECT page_id, title, h1,
+       CASE WHEN {_b_first} IS NOT NULL AND {_b_last} IS NOT NULL THEN {_b_first} ELSE {_c_first} END AS first_name,
+       CASE WHEN {_b_first} IS NOT NULL AND {_b_last} IS NOT NULL THEN {_b_last} ELSE {_c_last} END AS last_name
+FROM p
+"""
+
+ORACLE["page_body"] = f"""
+WITH p AS (SELECT page_id, {_element_text('html', 'article')} AS a, {_element_text('html', 'main')} AS m FROM pages)
+SELECT page_id, CASE WHEN a <> '' AND a <> 'N/A' THEN a WHEN m <> '' AND m <> 'N/A' THEN m ELSE '' END AS body FROM p
+"""
+
+_LABEL = f"nullif(split_part(lower(regexp_extract(url, '{_HOST}', 1)), '.', 1), '')"
+
+ORACLE["site_lookup"] = f"""
+WITH lab AS (SELECT page_id, {_LABEL} AS subdomain FROM pages),
+dim AS (SELECT DISTINCT subdomain, upper(subdomain) AS city,
+               'P' || CAST(length(subdomain) % 5 AS VARCHAR) AS province
+        FROM lab WHERE length(subdomain) >= 5)
+SELECT lab.page_id, lab.subdomain, dim.city, dim.province FROM lab LEFT JOIN dim ON lab.subdomain = dim.subdomain
+"""
+
+ORACLE["site_discovery"] = f"""
+WITH h AS (SELECT lower(regexp_extract(url, '{_HOST}', 1)) AS h FROM pages)
+SELECT DISTINCT split_part(h, '.', 1) AS subdomain FROM h
+WHERE h LIKE '%{DISCOVERY_DOMAIN}' AND len(string_split(h, '.')) > 2 AND split_part(h, '.', 1) <> 'www'
+"""
+
+ORACLE["site_order"] = f"""
+WITH s AS (SELECT DISTINCT {_LABEL} AS subdomain FROM pages)
+SELECT subdomain, CAST(nullif(coalesce(list_position([{', '.join(_sql_str(x) for x in PRIORITY_SITES)}], subdomain), 0), 0) AS INTEGER) AS priority_pos
+FROM s WHERE subdomain IS NOT NULL
+"""
