@@ -7,7 +7,7 @@ whitespace or word characters carries the ``(?U)`` flag.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import fixed
@@ -66,12 +66,13 @@ def strip_lastname(full, last) -> Column:
 
 
 def is_blank_sentinel(c) -> Column:
-    return F.trim(_col(c)).isin(*fixed.EMPTY_SENTINELS)
+    return collapse_ws(c).isin(*fixed.EMPTY_SENTINELS)
 
 
 def display_normalize(c) -> Column:
     """sentinels -> ''; collapse whitespace; insert a space where a lower
-    case letter, digit or , ; : is followed by a capital, and where . ! ? is."""
+    case letter, digit or , ; : is followed by a capital, and where . ! ? is.
+    ``c`` should be a column reference (it is read twice)."""
     c = _col(c)
     t = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), _WS, " ")
     t = F.regexp_replace(t, r"(?<=[a-z0-9,;:])(?=[A-Z])", " ")
@@ -79,55 +80,70 @@ def display_normalize(c) -> Column:
     return F.when(c.isNull() | is_blank_sentinel(c), F.lit("")).otherwise(F.trim(t))
 
 
-def clean_body(text, name=None) -> Column:
+# The body operators below are staged as one column per step: each step
+# reads the previous result more than once, and as nested expressions the
+# regex work would repeat at every level.  Catalyst keeps projections apart
+# when collapsing them would repeat non-trivial expressions.
+
+def with_clean_body(df: DataFrame, text, name=None, out: str = "cleaned") -> DataFrame:
     """display-normalise; drop 'Obituary Events Guestbook Share'; drop a
     leading repeated name with an optional date range; if '<name> Obituary'
-    starts within the first 500 characters keep only what follows it; drop one
-    leading navigation word."""
-    t = display_normalize(text)
-    t = F.regexp_replace(t, r"(?iU)\bObituary\s+Events\s+Guestbook\s+Share\b", " ")
+    starts within the first 500 characters keep only what follows it; drop
+    one leading navigation word."""
+    s0, s1, s2, s3 = "_cb0", "_cb1", "_cb2", "_cb3"
+    df = df.withColumn(s0, _col(text))
+    df = df.withColumn(s1, F.regexp_replace(display_normalize(s0), r"(?iU)\bObituary\s+Events\s+Guestbook\s+Share\b", " "))
+    last = s1
     if name is not None:
-        nm = F.trim(_col(name))
+        df = df.withColumn("_cbn", _col(name))
+        nm = F.trim(F.col("_cbn"))
         q = F.concat(F.lit(r"\Q"), F.replace(nm, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
         date = r"[A-Za-z]+\s+\d{1,2},\s+\d{4}"
-        header = F.concat(
-            F.lit(r"(?iU)^(?:"), q, F.lit(r"\s*)?(?:" + date + r"\s*-\s*" + date + r"\s*)?(?:"), q,
-            F.lit(r"\s*)+"))
-        stripped = F.trim(F.regexp_replace(t, header, F.lit("")))
+        header = F.concat(F.lit(r"(?iU)^(?:"), q, F.lit(r"\s*)?(?:" + date + r"\s*-\s*" + date + r"\s*)?(?:"),
+                          q, F.lit(r"\s*)+"))
         has_name = nm.isNotNull() & (nm != "")
-        t = F.when(has_name, stripped).otherwise(t)
-        title = F.concat(_col(name), F.lit(" Obituary"))
-        idx = F.instr(F.lower(t), F.lower(title))  # 1-based, 0 = absent
-        after = F.trim(F.substring(t, idx + F.length(title), 1 << 30))
-        t = F.when(has_name & (idx > 0) & (idx <= 500), after).otherwise(t)
-    t = F.trim(F.regexp_replace(t, r"(?U)^(Obituary|Events|Guestbook|Share)\b", ""))
-    return t
+        df = df.withColumn(s2, F.when(has_name, F.trim(F.regexp_replace(F.col(s1), header, F.lit(""))))
+                           .otherwise(F.col(s1)))
+        title = F.concat(F.col("_cbn"), F.lit(" Obituary"))
+        df = df.withColumn("_cbi", F.instr(F.lower(F.col(s2)), F.lower(title)))  # 1-based, 0 = absent
+        idx = F.col("_cbi")
+        df = df.withColumn(s3, F.when(has_name & (idx > 0) & (idx <= 500),
+                                      F.trim(F.substring(F.col(s2), idx + F.length(title), 1 << 30)))
+                           .otherwise(F.col(s2)))
+        last = s3
+    df = df.withColumn(out, F.trim(F.regexp_replace(F.col(last), r"(?U)^(Obituary|Events|Guestbook|Share)\b", "")))
+    return df.drop(s0, s1, s2, s3, "_cbn", "_cbi")
 
 
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z\"'])"
 
 
-def paragraphs(text, name=None) -> Column:
+def with_paragraphs(df: DataFrame, text, name=None, out: str = "paragraphs") -> DataFrame:
     """sentences (split after . ! ? before a capital or quote), joined in
     pairs; one sentence -> [whole text]; empty -> []."""
-    cleaned = clean_body(text, name)
-    sents = F.filter(F.transform(F.split(cleaned, SENTENCE_BREAK, -1), lambda s: F.trim(s)),
-                     lambda s: s != "")
+    df = with_clean_body(df, text, name, "_pg_clean")
+    c = F.col("_pg_clean")
+    df = df.withColumn("_pg_s", F.filter(F.transform(F.split(c, SENTENCE_BREAK, -1), lambda s: F.trim(s)),
+                                         lambda s: s != ""))
+    sents = F.col("_pg_s")
     n = F.size(sents)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(2)),
                         lambda i: F.array_join(F.slice(sents, i, 2), " "))
-    return (F.when(cleaned == "", F.array().cast("array<string>"))
-            .when(n <= 1, F.array(cleaned))
-            .otherwise(pairs))
+    df = df.withColumn(out, F.when(c == "", F.array().cast("array<string>"))
+                       .when(n <= 1, F.array(c)).otherwise(pairs))
+    return df.drop("_pg_clean", "_pg_s")
 
 
-def donation_items(text) -> Column:
+def with_donation_items(df: DataFrame, text, out: str = "donation_items") -> DataFrame:
     """display-normalise, split on ';' or newline, keep non-blank items,
     strip trailing dots."""
-    t = display_normalize(text)
+    df = df.withColumn("_di_in", _col(text))
+    df = df.withColumn("_di_t", display_normalize("_di_in"))
+    t = F.col("_di_t")
     parts = F.filter(F.split(t, r";|\n", -1), lambda s: F.trim(s) != "")
     items = F.transform(parts, lambda s: F.regexp_replace(F.trim(s), r"\.+$", ""))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(items)
+    df = df.withColumn(out, F.when(t == "", F.array().cast("array<string>")).otherwise(items))
+    return df.drop("_di_in", "_di_t")
 
 
 def sentence_filter(text, terms=None, sep: str = "; ") -> Column:

@@ -191,8 +191,8 @@ def detail_view(records: DataFrame, body="family_information", name="name",
                 donations="donation_information") -> DataFrame:
     """T16 for the whole table: adds ``paragraphs`` (F12) and
     ``donation_items`` (F13)."""
-    return (records.withColumn("paragraphs", T.paragraphs(body, _col(name)))
-            .withColumn("donation_items", T.donation_items(donations)))
+    out = T.with_paragraphs(records, body, name, "paragraphs")
+    return T.with_donation_items(out, donations, "donation_items")
 
 
 def json_projection(records: DataFrame, columns=None) -> DataFrame:

@@ -256,3 +256,94 @@ def q_site_order(spark, sf):
     p = table(spark, sf, "pages")
     sites = p.select(T.host_label("url").alias("subdomain")).where(F.col("subdomain").isNotNull())
     return order_sites(sites, PRIORITY_SITES)
+
+
+# --------------------------------------------------- F1-F13 text & dates --
+
+# Date layouts used to write synthetic notice text from order dates: each
+# exercises a different body-date pattern.
+BODY_DATE_LAYOUTS = ["MMMM d, yyyy", "MMM d, yyyy", "M/d/yy", "M-d-yyyy", "MMMM d", "MMM d", "yyyy"]
+PUBLICATION_AS_OF = "1998-06-15"
+BODY_TERMS = ["license", "licence", "donation", "charity", "memorial fund", "contributions"]
+
+
+def _notice_orders(spark, sf):
+    o = table(spark, sf, "orders")
+    d = F.col("o_orderdate")
+    layout = F.col("o_orderkey") % len(BODY_DATE_LAYOUTS)
+    date_text = F.coalesce(*[F.when(layout == i, F.date_format(d, f)) for i, f in enumerate(BODY_DATE_LAYOUTS)])
+    body = F.concat(F.lit("Notice "), F.col("o_orderkey").cast("string"), F.lit(": passed away "),
+                    date_text, F.lit(". Customer "), F.col("o_custkey").cast("string"), F.lit("."))
+    header = (F.when(F.col("o_orderpriority") == "1-URGENT",
+                     F.array(F.lit("N/A"), F.date_format(d, "MMMM d, yyyy")))
+              .when(F.col("o_orderpriority") == "2-HIGH", F.array(F.lit(" "), F.lit(""))))
+    return o.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate",
+                    body.alias("body"), header.alias("header"))
+
+
+@register("death_date_text")
+def q_death_date_text(spark, sf):
+    """F3 + F4 + F5: date header when it has text, else the first body date
+    (kept only after 2000)."""
+    n = _notice_orders(spark, sf)
+    dates = D.header_or_body_dates(F.coalesce("header", F.array().cast("array<string>")), F.col("body"))
+    cand = D.first_body_date("body")
+    return n.select("o_orderkey", cand.alias("candidate"), D.year_from_text(cand).alias("candidate_year"),
+                    dates["birth_date"].alias("birth_date"), dates["death_date"].alias("death_date"))
+
+
+@register("publication_date")
+def q_publication_date(spark, sf):
+    """P7 + F2 + F6: first parseable publication candidate, its timestamp,
+    and the current-month test against a fixed as-of date."""
+    o = table(spark, sf, "orders")
+    d = F.col("o_orderdate")
+    c1 = F.when(F.col("o_orderstatus") == "P", F.lit("Published online soon")) \
+        .otherwise(F.concat(F.lit("Published online "), F.date_format(d, "MMMM d, yyyy")))
+    c2 = F.when(F.col("o_orderpriority") != "5-LOW", F.date_format(d, "yyyy-MM-dd"))
+    cands = F.filter(F.array(c1, c2), lambda x: x.isNotNull())
+    text = D.publication_date_from_candidates(cands)
+    ts = D.publication_timestamp(text)
+    return o.select("o_orderkey", text.alias("publication_text"), _day(ts).alias("publication_day"),
+                    D.is_current_month(ts, PUBLICATION_AS_OF).alias("is_current"))
+
+
+@register("sentence_filter")
+def q_sentence_filter(spark, sf):
+    """sentences mentioning any term, joined with '; '."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.sentence_filter("text", BODY_TERMS).alias("donation_information"))
+
+
+def _named_documents(spark, sf):
+    d = table(spark, sf, "documents")
+    name = F.concat(F.lit("Ana Lee"), F.col("doc_id").cast("string"))
+    k = F.col("doc_id") % 3
+    body = (F.when(k == 0, F.concat(name, F.lit(" January 1, 1950 - June 1, 2026 "), name, F.lit(" "), name,
+                                     F.lit(" Obituary Events Guestbook Share "), F.col("text")))
+            .when(k == 1, F.concat(F.lit("Share "), name, F.lit(" Obituary "), F.col("text")))
+            .otherwise(F.col("text")))
+    return d.select("doc_id", name.alias("name"), body.alias("body"))
+
+
+@register("clean_body")
+def q_clean_body(spark, sf):
+    """F10 + F11: display normalisation and header clean-up."""
+    d = T.with_clean_body(_named_documents(spark, sf), "body", "name", "cleaned")
+    return d.select("doc_id", "cleaned")
+
+
+@register("paragraphs")
+def q_paragraphs(spark, sf):
+    """sentences paired into paragraphs."""
+    d = T.with_paragraphs(_named_documents(spark, sf), "body", "name", "p")
+    return d.select("doc_id", F.size("p").alias("n_paragraphs"), F.array_join("p", " || ").alias("paragraphs"))
+
+
+@register("donation_items")
+def q_donation_items(spark, sf):
+    """F9 -> F13: the matched sentences split back into display items."""
+    d = table(spark, sf, "documents").select(
+        "doc_id", T.sentence_filter("text", BODY_TERMS).alias("donations"))
+    d = T.with_donation_items(d, "donations", "items")
+    return d.select("doc_id", F.size("items").alias("n_items"), F.array_join("items", " | ").alias("items"))

@@ -270,3 +270,119 @@ WITH s AS (SELECT DISTINCT {_LABEL} AS subdomain FROM pages)
 SELECT subdomain, CAST(nullif(coalesce(list_position([{', '.join(_sql_str(x) for x in PRIORITY_SITES)}], subdomain), 0), 0) AS INTEGER) AS priority_pos
 FROM s WHERE subdomain IS NOT NULL
 """
+
+
+# ------------------------------------------------------- F1-F13 text ---
+from ..functions.dates import BODY_DATE_PATTERNS as _BODY_PATS  # noqa: E402
+from .catalog import BODY_TERMS, PUBLICATION_AS_OF  # noqa: E402
+
+_LAYOUTS_SQL = ["%B %-d, %Y", "%b %-d, %Y", "%-m/%-d/%y", "%-m-%-d-%Y", "%B %-d", "%b %-d", "%Y"]
+
+
+def _first_body_date(x):
+    return "coalesce(" + ", ".join(
+        f"nullif(regexp_extract(coalesce({x}, ''), {_sql_str(p)}, 0), '')" for p in _BODY_PATS) + ")"
+
+
+def _year_from_text(x):
+    return (f"coalesce(TRY_CAST(nullif(regexp_extract({x}, '\\b(\\d{{4}})\\b', 1), '') AS INTEGER), "
+            f"TRY_CAST(nullif(regexp_extract({x}, '(?:/|-|,?\\s+)(\\d{{2}})$', 1), '') AS INTEGER) + 2000)")
+
+
+_date_text = "CASE " + " ".join(
+    f"WHEN o_orderkey % 7 = {i} THEN strftime(o_orderdate, '{f}')" for i, f in enumerate(_LAYOUTS_SQL)) + " END"
+
+ORACLE["death_date_text"] = f"""
+WITH n AS (SELECT o_orderkey,
+                  'Notice ' || CAST(o_orderkey AS VARCHAR) || ': passed away ' || {_date_text}
+                  || '. Customer ' || CAST(o_custkey AS VARCHAR) || '.' AS body,
+                  CASE WHEN o_orderpriority = '1-URGENT' THEN ['N/A', strftime(o_orderdate, '%B %-d, %Y')]
+                       WHEN o_orderpriority = '2-HIGH' THEN [' ', ''] END AS header FROM orders),
+c AS (SELECT *, {_first_body_date('body')} AS candidate,
+             list_filter(list_transform(coalesce(header, []), lambda x: trim(x)), lambda x: x <> '') AS hs FROM n)
+SELECT o_orderkey, candidate, {_year_from_text('candidate')} AS candidate_year,
+       CASE WHEN len(hs) > 0 AND len(hs) >= 2 AND hs[1] <> 'N/A' THEN hs[1] END AS birth_date,
+       CASE WHEN len(hs) > 0 THEN (CASE WHEN hs[len(hs)] <> 'N/A' THEN hs[len(hs)] END)
+            WHEN {_year_from_text('candidate')} > 2000 THEN candidate END AS death_date
+FROM c
+"""
+
+_FMT_LIST = "['%B %d, %Y', '%b %d, %Y', '%Y-%m-%d', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S%z', '%m/%d/%Y']"
+
+ORACLE["publication_date"] = f"""
+WITH o AS (SELECT o_orderkey,
+                  list_filter([CASE WHEN o_orderstatus = 'P' THEN 'Published online soon'
+                                    ELSE 'Published online ' || strftime(o_orderdate, '%B %-d, %Y') END,
+                               CASE WHEN o_orderpriority <> '5-LOW' THEN strftime(o_orderdate, '%Y-%m-%d') END],
+                              lambda x: x IS NOT NULL) AS cands FROM orders),
+p AS (SELECT o_orderkey, list_filter(list_transform(cands, lambda x: strftime(try_strptime(
+          trim(regexp_replace(x, '(?i)^Published(?:\\s+online|\\s+on)?\\s+', '')), {_FMT_LIST}), '%B %d, %Y')),
+          lambda x: x IS NOT NULL)[1] AS publication_text FROM o),
+t AS (SELECT *, try_strptime(trim(publication_text), '%B %d, %Y') AS ts FROM p)
+SELECT o_orderkey, publication_text, strftime(ts, '%Y-%m-%d') AS publication_day,
+       coalesce(year(ts) = year(TIMESTAMP '{PUBLICATION_AS_OF}') AND month(ts) = month(TIMESTAMP '{PUBLICATION_AS_OF}'), false) AS is_current
+FROM t
+"""
+
+
+def _sentence_filter(x, terms):
+    cond = " OR ".join(f"contains(lower(s), {_sql_str(t.lower())})" for t in terms)
+    return f"array_to_string(list_filter(string_split(coalesce({x}, ''), '. '), lambda s: {cond}), '; ')"
+
+
+ORACLE["sentence_filter"] = f"""
+SELECT doc_id, {_sentence_filter('text', BODY_TERMS)} AS donation_information FROM documents
+"""
+
+
+def _display_normalize(x):
+    t = f"regexp_replace(trim(coalesce({x}, '')), '{_RE2_WS}', ' ', 'g')"
+    t = f"regexp_replace({t}, '([a-z0-9,;:])([A-Z])', '\\1 \\2', 'g')"
+    t = f"regexp_replace({t}, '([.!?])([A-Z])', '\\1 \\2', 'g')"
+    sentinel = f"{_collapse(x)} IN ('', 'N/A', 'None', 'null')"
+    return f"(CASE WHEN {x} IS NULL OR {sentinel} THEN '' ELSE trim({t}) END)"
+
+
+def _clean_body(x, name):
+    t = _display_normalize(x)
+    t = f"regexp_replace({t}, '(?i)\\bObituary\\s+Events\\s+Guestbook\\s+Share\\b', ' ', 'g')"
+    q = f"('\\Q' || replace(trim({name}), '\\E', '\\E\\\\E\\Q') || '\\E')"
+    date = "[A-Za-z]+\\s+\\d{1,2},\\s+\\d{4}"
+    header = (f"('(?i)^(?:' || {q} || '\\s*)?(?:{date}\\s*-\\s*{date}\\s*)?(?:' || {q} || '\\s*)+')")
+    t = f"trim(regexp_replace({t}, {header}, ''))"
+    title = f"({name} || ' Obituary')"
+    idx = f"instr(lower({t}), lower({title}))"
+    t = f"(CASE WHEN {idx} > 0 AND {idx} <= 500 THEN trim(substr({t}, {idx} + length({title}))) ELSE {t} END)"
+    return f"trim(regexp_replace({t}, '^(Obituary|Events|Guestbook|Share)\\b', ''))"
+
+
+_NAMED = """
+nd AS (SELECT doc_id, 'Ana Lee' || CAST(doc_id AS VARCHAR) AS name, text FROM documents),
+named AS (SELECT doc_id, name,
+                 CASE WHEN doc_id % 3 = 0 THEN name || ' January 1, 1950 - June 1, 2026 ' || name || ' ' || name
+                                               || ' Obituary Events Guestbook Share ' || text
+                      WHEN doc_id % 3 = 1 THEN 'Share ' || name || ' Obituary ' || text
+                      ELSE text END AS body FROM nd)
+"""
+
+ORACLE["clean_body"] = "WITH " + _NAMED + f"SELECT doc_id, {_clean_body('body', 'name')} AS cleaned FROM named"
+
+ORACLE["paragraphs"] = "WITH " + _NAMED + f""",
+c AS (SELECT doc_id, {_clean_body('body', 'name')} AS cleaned FROM named),
+s AS (SELECT doc_id, cleaned, list_filter(list_transform(string_split(
+          regexp_replace(cleaned, '([.!?])\\s+([A-Z"''])', '\\1' || chr(1) || '\\2', 'g'), chr(1)),
+          lambda x: trim(x)), lambda x: x <> '') AS sents FROM c),
+p AS (SELECT doc_id, CASE WHEN cleaned = '' THEN []
+                          WHEN len(sents) <= 1 THEN [cleaned]
+                          ELSE list_transform(range(1, len(sents) + 1, 2),
+                                              lambda i: array_to_string(sents[i:i + 1], ' ')) END AS p FROM s)
+SELECT doc_id, CAST(len(p) AS INTEGER) AS n_paragraphs, array_to_string(p, ' || ') AS paragraphs FROM p
+"""
+
+ORACLE["donation_items"] = f"""
+WITH f AS (SELECT doc_id, {_display_normalize(_sentence_filter('text', BODY_TERMS))} AS t FROM documents),
+i AS (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE list_transform(
+          list_filter(string_split_regex(t, ';|\\n'), lambda s: trim(s) <> ''),
+          lambda s: regexp_replace(trim(s), '\\.+$', '')) END AS items FROM f)
+SELECT doc_id, CAST(len(items) AS INTEGER) AS n_items, array_to_string(items, ' | ') AS items FROM i
+"""
