@@ -347,3 +347,324 @@ def q_donation_items(spark, sf):
         "doc_id", T.sentence_filter("text", BODY_TERMS).alias("donations"))
     d = T.with_donation_items(d, "donations", "items")
     return d.select("doc_id", F.size("items").alias("n_items"), F.array_join("items", " | ").alias("items"))
+
+
+# ------------------------------------------------- J3/J4 enrich & admit --
+
+def _doc_candidates(spark, sf):
+    """documents as fetched notices: URL on the source's site, a name from
+    the first words of the first line, the text as body."""
+    d = table(spark, sf, "documents")
+    first_line = F.substring_index(F.coalesce(F.col("text"), F.lit("")), "\n", 1)
+    name_text = F.array_join(F.slice(F.split(T.collapse_ws(first_line), " ", -1), 1, 3), " ")
+    nm = T.split_name(name_text)
+    url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/doc/"), F.col("doc_id").cast("string"))
+    return d.select("doc_id", url.alias("url"), nm["first_name"].alias("first_name"),
+                    nm["last_name"].alias("last_name"), F.col("text").alias("body"))
+
+
+def _doc_sites(spark, sf):
+    """Site dimension: one site per nation outside AFRICA."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    return (n.join(r, n.n_regionkey == r.r_regionkey).where(F.col("r_name") != "AFRICA")
+             .select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("subdomain"),
+                     F.col("n_name").alias("city"), F.col("r_name").alias("province")))
+
+
+def _gazetteer(spark, sf):
+    """Gazetteer: coordinates for even-keyed nations only (others miss)."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    return (n.join(r, n.n_regionkey == r.r_regionkey).where(F.col("n_nationkey") % 2 == 0)
+             .select(F.col("n_name").alias("city"), F.col("r_name").alias("province"),
+                     (F.col("n_nationkey") * 2.5 - 30.0).alias("latitude"),
+                     (F.col("n_regionkey") * 15.0 - 100.0).alias("longitude")))
+
+
+def _doc_existing(spark, sf):
+    """Already stored records: the labelled documents."""
+    l = table(spark, sf, "labels")
+    return l.select("doc_id", F.concat(F.lit("Stored "), F.col("doc_id").cast("string")).alias("stored_name"),
+                    (F.col("quality") == 1).alias("stored_is_alumni"),
+                    F.when(F.col("toxic") == 1, F.lit("updated")).otherwise(F.lit("new")).alias("stored_tags"))
+
+
+def _outcomes(spark, sf):
+    from ..operators.admit import outcomes
+    return outcomes(_doc_candidates(spark, sf), _doc_existing(spark, sf), _doc_sites(spark, sf),
+                    _gazetteer(spark, sf), key="doc_id", url_col="url", body_col="body",
+                    mode="simple", keywords=DOC_SIMPLE_KEYWORDS)
+
+
+@register("outcomes")
+def q_outcomes(spark, sf):
+    """T1 + T2 + W12 + JN1/JN2/JN4: the record pipeline's outcome per notice."""
+    return _outcomes(spark, sf).select(
+        "doc_id", "url", "status", "reason", "name", "is_alumni", "institution",
+        "city", "province", "latitude", "longitude", "tags")
+
+
+@register("site_saved")
+def q_site_saved(spark, sf):
+    """A10: saved records per site city."""
+    o = _outcomes(spark, sf)
+    return o.groupBy("city").agg(F.count_if(F.col("status") == "saved").alias("saved_count"),
+                                 F.count(F.lit(1)).alias("n_outcomes"))
+
+
+@register("admit_new")
+def q_admit_new(spark, sf):
+    """JN3 anti join: candidates with no stored record."""
+    from ..operators.admit import split_existing
+    new, _ = split_existing(table(spark, sf, "documents").select("doc_id", "source"),
+                            table(spark, sf, "labels"), "doc_id")
+    return new
+
+
+@register("admit_duplicates")
+def q_admit_duplicates(spark, sf):
+    """JN3 semi join: candidates that already have a record."""
+    from ..operators.admit import split_existing
+    _, dup = split_existing(table(spark, sf, "documents").select("doc_id", "source"),
+                            table(spark, sf, "labels"), "doc_id")
+    return dup
+
+
+@register("dedup_by_text")
+def q_dedup_by_text(spark, sf):
+    """U3 by content: first document per distinct text and its copy count."""
+    from ..operators.admit import first_per_value
+    return first_per_value(table(spark, sf, "documents"), "text", "doc_id")
+
+
+# ---------------------------------------------------------- J5 frontier --
+
+STALE_AS_OF = "2001-07-20"
+
+
+@register("stop_at_stale")
+def q_stop_at_stale(spark, sf):
+    """N2 + N5 + N6 + W15: orders as candidate pages of a customer's
+    search (page = key mod 3 + 1), current-month mode."""
+    from ..operators.frontier import stale_cut
+    o = table(spark, sf, "orders")
+    ts = F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P"),
+                F.lit(None)).otherwise(F.col("o_orderdate"))
+    c = o.select("o_custkey", ((F.col("o_orderkey") % 3) + 1).alias("page"), "o_orderkey", ts.alias("ts"))
+    k = stale_cut(c, ["o_custkey"], "page", "o_orderkey", "ts", STALE_AS_OF)
+    return k.select("o_custkey", "page", "o_orderkey", _day("ts").alias("order_date"), "stop_page")
+
+
+REPEAT_THRESHOLD = 1
+
+
+@register("repeated_pages")
+def q_repeated_pages(spark, sf):
+    """N3/N4 + N5 + A12: listing pages of a site (host label) in page order,
+    with repeat sightings and the stop page."""
+    from ..operators.frontier import repeated_pages
+    p = table(spark, sf, "pages").select(
+        "page_id", T.host_label("url").alias("site"), H.absolute_links("html", "url", LINK_PREFIX).alias("links"))
+    return repeated_pages(p, "site", "page_id", "links", threshold=REPEAT_THRESHOLD)
+
+
+def _event_pages(spark, sf):
+    e = table(spark, sf, "events")
+    url = F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".example.com/obituary/"),
+                   F.col("event_id").cast("string"))
+    return e.select("user_id", F.dayofmonth("ts").alias("page"), "event_id", url.alias("url"),
+                    "event_type", "value", "ts")
+
+
+def _event_state(spark, sf):
+    """Progress state per user: the last error event marks where a run
+    stopped ('completed' when its value is high, else 'running'); for every
+    fifth user the stored URL is no longer on the page."""
+    e = _event_pages(spark, sf).where(F.col("event_type") == "error")
+    last = e.groupBy("user_id").agg(F.max_by(F.struct("page", "url", "value"), F.col("event_id")).alias("s"))
+    url = F.when(F.col("user_id") % 5 == 0, F.lit("https://gone.example.com/x")).otherwise(F.col("s.url"))
+    return last.select("user_id", F.col("s.page").alias("page_number"), url.alias("last_processed_url"),
+                       F.when(F.col("s.value") > 45, F.lit("completed")).otherwise(F.lit("running")).alias("status"))
+
+
+@register("resume_slice")
+def q_resume_slice(spark, sf):
+    """T6 + W13 + JN7: events as (user, day-page) candidate URLs resumed
+    from the per-user state."""
+    from ..operators.frontier import resume_slice
+    c = _event_pages(spark, sf).select("user_id", "page", "event_id", "url")
+    return resume_slice(c, _event_state(spark, sf), ["user_id"], "page", "event_id", "url") \
+        .select("user_id", "page", "event_id")
+
+
+@register("resume_start_page")
+def q_resume_start_page(spark, sf):
+    """Resume start page per site (site = user mod 7)."""
+    from ..operators.frontier import resume_start_page
+    s = _event_state(spark, sf).withColumn("site", (F.col("user_id") % 7).cast("int"))
+    return resume_start_page(s, "site")
+
+
+URL_KEYWORDS = ["the", "und", "les", "License", "secret"]
+ACTIVE_KEYWORDS = ["the", "und", "les", "License"]
+
+
+@register("url_keywords")
+def q_url_keywords(spark, sf):
+    """Keywords that surfaced each source, over all documents."""
+    from ..operators.frontier import url_keywords
+    d = table(spark, sf, "documents")
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    hits = d.select("source", F.explode(F.filter(F.array(*[F.lit(k) for k in URL_KEYWORDS]),
+                                                 lambda k: F.contains(low, F.lower(k)))).alias("keyword"))
+    u = url_keywords(hits, "source", "keyword", ACTIVE_KEYWORDS)
+    return u.select("source", F.array_join("keywords", ",").alias("keywords"))
+
+
+GRID_KEYWORDS = ["University of Windsor", "UWindsor", "Essex College"]
+
+
+@register("request_grid")
+def q_request_grid(spark, sf):
+    """JN9 + W14 + F16: sites x keywords x pages request URLs."""
+    from ..operators.frontier import request_grid
+    sites = table(spark, sf, "nation").select(F.lower(F.replace("n_name", F.lit(" "), F.lit(""))).alias("site"))
+    return request_grid(sites, "site", GRID_KEYWORDS, max_pages=2)
+
+
+# ------------------------------------------------------------ J6 ledger --
+
+def _event_outcomes(spark, sf):
+    e = table(spark, sf, "events")
+    status = (F.when(F.col("event_type") == "purchase", F.lit("saved"))
+              .when(F.col("event_type") == "view", F.lit("skipped"))
+              .when(F.col("event_type") == "click", F.lit("duplicate"))
+              .when(F.col("event_type") == "error", F.lit("error"))
+              .when(F.col("event_type") == "signup", F.lit("stopped")))
+    return e.withColumn("status", status).withColumn("is_alumni", F.col("event_type") == "purchase")
+
+
+@register("run_counters")
+def q_run_counters(spark, sf):
+    """A9 + T8: outcome counters and last error per run (run = user)."""
+    from ..operators.ledger import run_counters
+    o = _event_outcomes(spark, sf)
+    return run_counters(o, "user_id", error="props", order=F.struct("ts", "event_id"))
+
+
+@register("latest_state")
+def q_latest_state(spark, sf):
+    """T5 + T7: latest progress row per (site, keyword) = (user, event type)."""
+    from ..operators.ledger import latest_state, state_from_reason
+    e = _event_pages(spark, sf)
+    reason = (F.when(F.col("event_type") == "error", F.lit("error"))
+              .when(F.col("event_type") == "click", F.lit("repeated_page"))
+              .when(F.col("event_type") == "purchase", F.lit("no_links")))
+    ev = e.select("user_id", "event_type", "ts", "event_id",
+                  F.floor("value").cast("int").alias("page_number"),
+                  F.col("url").alias("last_processed_url"), state_from_reason(reason).alias("status"),
+                  F.col("ts").alias("updated_at"))
+    s = latest_state(ev, ["user_id", "event_type"], ["ts", "event_id"])
+    return s.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+STALE_RUN_AS_OF = "2024-02-01 00:00:00"
+
+
+def _event_runs(spark, sf):
+    """Runs from events: one run per user; finished when it has a purchase."""
+    from ..operators.ledger import run_counters
+    e = _event_outcomes(spark, sf)
+    order = F.struct("ts", "event_id")
+    runs = e.groupBy("user_id").agg(
+        F.min("ts").alias("started_at"),
+        F.when(F.count_if(F.col("event_type") == "purchase") > 0, F.max("ts")).alias("finished_at"),
+        F.max_by(F.when((F.col("event_type") == "error") & (F.col("value") > 40), F.col("props")),
+                 F.when((F.col("event_type") == "error") & (F.col("value") > 40), order)).alias("error_message"),
+        F.max_by("event_type", order).alias("_last_type"),
+        F.max_by(F.floor("value").cast("int"), order).alias("page_number"))
+    runs = runs.select(
+        F.col("user_id").alias("id"),
+        F.when(F.col("finished_at").isNull(), F.lit("running")).otherwise(F.lit("success")).alias("status"),
+        "started_at", "finished_at",
+        F.concat(F.lit("city"), (F.col("user_id") % 7).cast("string")).alias("city"),
+        F.when(F.col("_last_type") == "view", F.lit("__listing__")).otherwise(F.col("_last_type")).alias("search_keyword"),
+        "page_number", "error_message")
+    counts = run_counters(e, "user_id", error="props", order=order).withColumnRenamed("user_id", "id") \
+        .drop("error_message")
+    return runs.join(counts, "id", "left")
+
+
+@register("stale_runs")
+def q_stale_runs(spark, sf):
+    """Open runs closed as 'stopped' at a fixed as-of time."""
+    from ..operators.ledger import close_stale_runs
+    r = close_stale_runs(_event_runs(spark, sf), STALE_RUN_AS_OF)
+    return r.select("id", "status", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"),
+                    F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss").alias("finished_at"), "error_message")
+
+
+@register("latest_run")
+def q_latest_run(spark, sf):
+    """O3 + S9: the newest run, projected with its label."""
+    from ..operators.ledger import latest_run, project_run
+    return project_run(latest_run(_event_runs(spark, sf)))
+
+
+@register("attempts")
+def q_attempts(spark, sf):
+    """Per URL (user) the first three tries decide; an error is a failed try."""
+    from pyspark.sql import Window
+    from ..operators.admit import resolve_attempts
+    e = table(spark, sf, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    a = (e.withColumn("attempt", F.row_number().over(w)).where(F.col("attempt") <= 3)
+          .withColumn("ok", F.col("event_type") != "error"))
+    return resolve_attempts(a, "user_id", "attempt", "ok", "event_type", "props")
+
+
+# ---------------------------------------------------- J8/J9 export, curate --
+
+def _order_records(spark, sf):
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    n = sized_broadcast(table(spark, sf, "nation"), 10_000)
+    r = sized_broadcast(table(spark, sf, "region"), 10_000)
+    j = (o.join(c, o.o_custkey == c.c_custkey, "left")
+          .join(n, F.col("c_nationkey") == n.n_nationkey, "left")
+          .join(r, F.col("n_regionkey") == r.r_regionkey, "left"))
+    nm = T.split_name(F.concat_ws(" ", "c_mktsegment", "c_name"))
+    return j.select(
+        F.col("o_orderkey").alias("id"),
+        F.concat_ws(" ", "c_mktsegment", "c_name").alias("name"),
+        nm["first_name"].alias("first_name"), nm["last_name"].alias("last_name"),
+        F.lit(None).cast("string").alias("birth_date"),
+        F.date_format("o_orderdate", "MMMM d, yyyy").alias("death_date"),
+        F.col("o_orderdate").alias("publication_date"),
+        F.col("n_name").alias("city"), F.col("r_name").alias("province"),
+        F.lit("N/A").alias("funeral_home"),
+        F.concat(F.lit("https://example.com/obituary/"), F.col("o_orderkey").cast("string")).alias("obituary_url"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("updated")).otherwise(F.lit("new")).alias("tags"),
+        F.when(F.col("o_orderstatus") == "P", F.lit(None)).otherwise(F.col("o_orderstatus") == "F").alias("is_alumni"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") * 2.5 - 30.0).alias("latitude"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey") * 15.0 - 100.0).alias("longitude"),
+        F.concat(F.lit("  Order\t"), F.col("o_orderpriority"), F.lit("  for\n "), F.col("c_name"), F.lit(" ")).alias("family_information"),
+        F.lit("").alias("donation_information"))
+
+
+@register("csv_rows")
+def q_csv_rows(spark, sf):
+    """F14 + O2: the CSV cells of flagged records, newest first."""
+    from ..operators.export import csv_rows
+    return csv_rows(_order_records(spark, sf))
+
+
+@register("tag_updates")
+def q_tag_updates(spark, sf):
+    """T11 + W10 + JN8 + S10: tags after the last valid change per customer."""
+    from ..operators.curate import apply_tag_changes
+    c = table(spark, sf, "customer").select(
+        "c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", F.lit(None)).otherwise(F.lit("new")).alias("tags"))
+    o = table(spark, sf, "orders")
+    ch = o.select(F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderkey",
+                  F.when(F.col("o_orderstatus") == "F", F.lit("updated"))
+                   .when(F.col("o_orderstatus") == "O", F.lit("new")).otherwise(F.lit("archived")).alias("tags"))
+    return apply_tag_changes(c, ch, "c_custkey", ["o_orderdate", "o_orderkey"])

@@ -142,7 +142,7 @@ sp AS (SELECT doc_id, t, keyword, rank, kind,
               CAST(list_sum(list_transform(pieces[1:k], lambda x: length(x)))
                    + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS INTEGER) AS start,
               length(ms[k]) AS mlen FROM ex),
-occ AS (SELECT doc_id, t, keyword, rank, kind, start, start + mlen AS "end" FROM sp
+occ AS (SELECT doc_id, t, keyword, rank, kind, start, CAST(start + mlen AS INTEGER) AS "end" FROM sp
         WHERE (start = 0 OR NOT regexp_matches(substr(t, start, 1), '^{_RE2_WORD}$'))
           AND (start + mlen = length(t) OR NOT regexp_matches(substr(t, start + mlen + 1, 1), '^{_RE2_WORD}$')))
 """
@@ -386,3 +386,274 @@ i AS (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE list_transform(
           lambda s: regexp_replace(trim(s), '\\.+$', '')) END AS items FROM f)
 SELECT doc_id, CAST(len(items) AS INTEGER) AS n_items, array_to_string(items, ' | ') AS items FROM i
 """
+
+
+# --------------------------------------------------------- J3/J4 admit ---
+
+_n1, _l1 = _split_name(
+    "array_to_string(string_split(" + _collapse("split_part(coalesce(text, ''), chr(10), 1)") + ", ' ')[1:3], ' ')")
+_SIMPLE_CASE = "CASE " + " ".join(
+    f"WHEN contains(lower(coalesce(body, '')), {_sql_str(k.lower())}) THEN {_sql_str(k)}"
+    for k in _longest_first(DOC_SIMPLE_KEYWORDS)) + " END"
+
+_OUTCOMES = f"""
+cand AS (SELECT doc_id, 'https://' || source || '.example.com/doc/' || CAST(doc_id AS VARCHAR) AS url,
+                {_n1} AS first_name, {_l1} AS last_name, text AS body FROM documents),
+m AS (SELECT *, {_SIMPLE_CASE} AS institution FROM cand),
+ex AS (SELECT doc_id AS ex_key, 'Stored ' || CAST(doc_id AS VARCHAR) AS stored_name,
+              quality = 1 AS stored_is_alumni,
+              CASE WHEN toxic = 1 THEN 'updated' ELSE 'new' END AS stored_tags FROM labels),
+sites AS (SELECT 'src' || CAST(n_nationkey AS VARCHAR) AS subdomain, n_name AS city, r_name AS province
+          FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'AFRICA'),
+gaz AS (SELECT n_name AS g_city, r_name AS g_prov, CAST(n_nationkey * 2.5 - 30.0 AS DOUBLE) AS g_lat,
+               CAST(n_regionkey * 15.0 - 100.0 AS DOUBLE) AS g_lon
+        FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0),
+j AS (SELECT m.*, ex.*, sites.city, sites.province, g_lat, g_lon,
+             (first_name IS NOT NULL AND last_name IS NOT NULL) AS has_name,
+             institution IS NOT NULL AS matched, ex_key IS NOT NULL AS dup, sites.city IS NOT NULL AS known
+      FROM m LEFT JOIN ex ON m.doc_id = ex.ex_key
+             LEFT JOIN sites ON nullif(split_part(lower(regexp_extract(url, '{_HOST}', 1)), '.', 1), '') = sites.subdomain
+             LEFT JOIN gaz ON sites.city = gaz.g_city AND sites.province = gaz.g_prov),
+oc AS (SELECT doc_id, url,
+         CASE WHEN NOT has_name THEN 'skipped' WHEN NOT matched THEN 'skipped' WHEN dup THEN 'duplicate'
+              WHEN NOT known THEN 'skipped' ELSE 'saved' END AS status,
+         CASE WHEN NOT has_name THEN 'missing_name' WHEN NOT matched THEN 'no_alumni_keyword'
+              WHEN dup THEN 'existing_url' WHEN NOT known THEN 'unknown_city' END AS reason,
+         CASE WHEN has_name AND matched AND dup THEN stored_name
+              WHEN has_name THEN concat_ws(' ', first_name, last_name) END AS name,
+         CASE WHEN NOT has_name OR NOT matched THEN false WHEN dup THEN stored_is_alumni ELSE true END AS is_alumni,
+         institution, city, province,
+         CASE WHEN has_name AND matched AND NOT dup AND known THEN g_lat END AS latitude,
+         CASE WHEN has_name AND matched AND NOT dup AND known THEN g_lon END AS longitude,
+         CASE WHEN has_name AND matched AND dup THEN stored_tags
+              WHEN has_name AND matched AND NOT dup AND known THEN 'new' END AS tags
+       FROM j)
+"""
+
+ORACLE["outcomes"] = "WITH " + _OUTCOMES + "SELECT * FROM oc"
+
+ORACLE["site_saved"] = "WITH " + _OUTCOMES + """
+SELECT city, CAST(count_if(status = 'saved') AS BIGINT) AS saved_count, count(*) AS n_outcomes FROM oc GROUP BY city
+"""
+
+ORACLE["admit_new"] = """
+SELECT doc_id, source FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+"""
+
+ORACLE["admit_duplicates"] = """
+SELECT doc_id, source FROM documents d
+WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+"""
+
+ORACLE["dedup_by_text"] = "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY text"
+
+
+# -------------------------------------------------------- J5 frontier ---
+from .catalog import (ACTIVE_KEYWORDS, GRID_KEYWORDS, REPEAT_THRESHOLD, STALE_AS_OF,  # noqa: E402
+                      STALE_RUN_AS_OF, URL_KEYWORDS)
+
+ORACLE["stop_at_stale"] = f"""
+WITH c AS (SELECT o_custkey, o_orderkey % 3 + 1 AS page, o_orderkey,
+                  CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS ts
+           FROM orders),
+f AS (SELECT *, coalesce(year(ts) = year(TIMESTAMP '{STALE_AS_OF}') AND month(ts) = month(TIMESTAMP '{STALE_AS_OF}'), false) AS cur FROM c),
+fr AS (SELECT o_custkey, page, arg_min(cur, o_orderkey) AS first_cur FROM f GROUP BY o_custkey, page),
+d AS (SELECT f.*, fr.first_cur, (f.page = 1 AND NOT fr.first_cur) AS gate
+      FROM f JOIN fr USING (o_custkey, page) WHERE f.ts IS NOT NULL),
+o AS (SELECT *, min(CASE WHEN cur THEN 1 ELSE 0 END) OVER (
+          PARTITION BY o_custkey, page ORDER BY ts DESC, o_orderkey ASC
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS in_prefix FROM d),
+k AS (SELECT *, in_prefix = 1 AND NOT gate AS kept FROM o),
+pages AS (SELECT o_custkey, page FROM fr),
+ps AS (SELECT p.o_custkey, p.page,
+              coalesce(sum(CASE WHEN k.kept THEN 1 ELSE 0 END), 0) AS n_kept,
+              coalesce(bool_or(NOT k.cur), false) AS cut,
+              coalesce(bool_or(k.gate), false) OR (p.page = 1 AND NOT any_value(fr.first_cur)) AS gated
+       FROM pages p LEFT JOIN k ON p.o_custkey = k.o_custkey AND p.page = k.page
+                    JOIN fr ON fr.o_custkey = p.o_custkey AND fr.page = p.page
+       GROUP BY p.o_custkey, p.page),
+st AS (SELECT o_custkey, min(page) AS stop_page FROM ps WHERE n_kept = 0 OR cut OR gated GROUP BY o_custkey)
+SELECT k.o_custkey, k.page, k.o_orderkey, strftime(k.ts, '%Y-%m-%d') AS order_date, st.stop_page
+FROM k LEFT JOIN st USING (o_custkey)
+WHERE k.kept AND (st.stop_page IS NULL OR k.page <= st.stop_page)
+"""
+
+ORACLE["repeated_pages"] = "WITH " + _LINKS_CTE + f""",
+sg AS (SELECT page_id, string_agg(link, chr(10) ORDER BY position) AS sig, count(*) AS n FROM pl GROUP BY page_id),
+p AS (SELECT pages.page_id, {_LABEL} AS site, coalesce(sg.n, 0) AS n_links, sg.sig
+      FROM pages LEFT JOIN sg ON pages.page_id = sg.page_id),
+r AS (SELECT *, CASE WHEN sig IS NOT NULL THEN row_number() OVER (PARTITION BY site, sig ORDER BY page_id) END AS rn FROM p),
+s AS (SELECT *, CASE WHEN n_links = 0 THEN 'no_links' WHEN rn - 1 >= {REPEAT_THRESHOLD} THEN 'repeated_page' END AS stop_reason FROM r),
+sp AS (SELECT site, min(page_id) AS stop_page FROM s WHERE stop_reason IS NOT NULL GROUP BY site)
+SELECT page_id, s.site, CAST(n_links AS INTEGER) AS n_links, CAST(least(rn, {REPEAT_THRESHOLD + 2}) AS INTEGER) AS sighting,
+       rn > 1 AS is_repeat, stop_reason, (stop_page IS NULL OR page_id <= stop_page) AS read,
+       CAST(CASE WHEN (stop_page IS NULL OR page_id <= stop_page) AND rn = 1 THEN n_links ELSE 0 END AS INTEGER) AS n_yielded
+FROM s LEFT JOIN sp ON s.site IS NOT DISTINCT FROM sp.site
+"""
+
+_EVENT_STATE = """
+ev AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS page, event_id,
+              'https://u' || CAST(user_id AS VARCHAR) || '.example.com/obituary/' || CAST(event_id AS VARCHAR) AS url,
+              event_type, value, ts FROM events),
+st0 AS (SELECT user_id, arg_max(page, event_id) AS page_number, arg_max(url, event_id) AS u,
+               arg_max(value, event_id) AS v FROM ev WHERE event_type = 'error' GROUP BY user_id),
+state AS (SELECT user_id, page_number,
+                 CASE WHEN user_id % 5 = 0 THEN 'https://gone.example.com/x' ELSE u END AS last_processed_url,
+                 CASE WHEN v > 45 THEN 'completed' ELSE 'running' END AS status FROM st0)
+"""
+
+ORACLE["resume_slice"] = "WITH " + _EVENT_STATE + """,
+c AS (SELECT ev.user_id, ev.page, ev.event_id, ev.url, state.page_number AS sp, state.last_processed_url AS su,
+             state.status AS ss
+      FROM ev LEFT JOIN state ON ev.user_id = state.user_id
+      WHERE NOT coalesce(state.status IN ('completed', 'pagination_blocked'), false)),
+mk AS (SELECT user_id, min(event_id) AS mark FROM c WHERE url = su AND page = sp GROUP BY user_id)
+SELECT c.user_id, c.page, c.event_id FROM c LEFT JOIN mk ON c.user_id = mk.user_id
+WHERE NOT coalesce(ss = 'running' AND sp IS NOT NULL AND coalesce(su <> '', false), false)
+   OR page > sp OR (page = sp AND (mark IS NULL OR event_id > mark))
+"""
+
+ORACLE["resume_start_page"] = "WITH " + _EVENT_STATE + """
+SELECT CAST(user_id % 7 AS INTEGER) AS site,
+       coalesce(min(CASE WHEN status = 'running' AND coalesce(page_number > 0, false) THEN page_number END), 1) AS start_page
+FROM state GROUP BY CAST(user_id % 7 AS INTEGER)
+"""
+
+ORACLE["url_keywords"] = f"""
+WITH h AS (SELECT source, k AS keyword FROM documents,
+                  (VALUES {', '.join('(' + _sql_str(k) + ')' for k in URL_KEYWORDS)}) v(k)
+           WHERE contains(lower(coalesce(text, '')), lower(k)))
+SELECT source, array_to_string(list_sort(list_distinct(list(keyword))), ',') AS keywords
+FROM h WHERE keyword IN ({', '.join(_sql_str(k) for k in ACTIVE_KEYWORDS)}) GROUP BY source
+"""
+
+ORACLE["request_grid"] = f"""
+WITH s AS (SELECT lower(replace(n_name, ' ', '')) AS site FROM nation),
+k AS (SELECT * FROM (VALUES {', '.join('(' + _sql_str(k) + ')' for k in GRID_KEYWORDS)}) v(keyword)),
+p AS (SELECT CAST(unnest(range(1, 3)) AS INTEGER) AS page),
+g AS (SELECT site, keyword, page FROM s, k, p)
+SELECT site, keyword, page,
+       'https://' || site || '.remembering.ca/obituaries/obituaries/search?limit=125&search_type=advanced&ap_search_keyword='
+       || replace(keyword, ' ', '+') || '&sort_by=date&order=desc'
+       || CASE WHEN page > 1 THEN '&p=' || CAST(page AS VARCHAR) ELSE '' END AS search_url,
+       'https://' || site || '.remembering.ca/obituaries/obituaries/search?limit=125'
+       || CASE WHEN page > 1 THEN '&p=' || CAST(page AS VARCHAR) ELSE '' END AS listing_url
+FROM g
+"""
+
+
+# ---------------------------------------------------------- J6 ledger ---
+
+_EV_OUT = """
+e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'saved' WHEN 'view' THEN 'skipped'
+                     WHEN 'click' THEN 'duplicate' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'stopped' END AS status,
+             event_type = 'purchase' AS is_alumni FROM events),
+e2 AS (SELECT *, coalesce(status = 'saved' OR (status IS NULL AND coalesce(is_alumni, false)), false) AS sv,
+              coalesce(status = 'duplicate', false) AS dp, coalesce(status = 'stopped', false) AS so,
+              CASE WHEN status = 'error' THEN coalesce(nullif(props, ''), 'Obituary processing error.') END AS msg
+       FROM e),
+cnt AS (SELECT user_id, CAST(count_if(sv) AS BIGINT) AS saved_count,
+               CAST(count_if(NOT sv AND NOT dp AND NOT so) AS BIGINT) AS skipped_count,
+               CAST(count_if(dp) AS BIGINT) AS duplicate_count,
+               substr(arg_max(msg, (ts, event_id)) FILTER (WHERE msg IS NOT NULL), 1, 4000) AS error_message
+        FROM e2 GROUP BY user_id)
+"""
+
+ORACLE["run_counters"] = "WITH " + _EV_OUT + "SELECT * FROM cnt"
+
+ORACLE["latest_state"] = """
+WITH ev AS (SELECT user_id, event_type, ts, event_id, CAST(floor(value) AS INTEGER) AS page_number,
+                   'https://u' || CAST(user_id AS VARCHAR) || '.example.com/obituary/' || CAST(event_id AS VARCHAR) AS url,
+                   CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'pagination_blocked'
+                                   WHEN 'purchase' THEN 'completed' ELSE 'running' END AS status FROM events)
+SELECT user_id, event_type, arg_max(page_number, (ts, event_id)) AS page_number,
+       arg_max(url, (ts, event_id)) AS last_processed_url, arg_max(status, (ts, event_id)) AS status,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at
+FROM ev GROUP BY user_id, event_type
+"""
+
+_RUNS = "WITH " + _EV_OUT + """,
+r0 AS (SELECT user_id AS id, min(ts) AS started_at,
+              CASE WHEN count_if(event_type = 'purchase') > 0 THEN max(ts) END AS finished_at,
+              arg_max(props, (ts, event_id)) FILTER (WHERE event_type = 'error' AND value > 40) AS error_message,
+              arg_max(event_type, (ts, event_id)) AS last_type,
+              arg_max(CAST(floor(value) AS INTEGER), (ts, event_id)) AS page_number
+       FROM e GROUP BY user_id),
+runs AS (SELECT id, CASE WHEN finished_at IS NULL THEN 'running' ELSE 'success' END AS status,
+                started_at, finished_at, 'city' || CAST(id % 7 AS VARCHAR) AS city,
+                CASE WHEN last_type = 'view' THEN '__listing__' ELSE last_type END AS search_keyword,
+                page_number, r0.error_message, saved_count, skipped_count, duplicate_count
+         FROM r0 LEFT JOIN cnt ON r0.id = cnt.user_id)
+"""
+
+ORACLE["stale_runs"] = _RUNS + f"""
+SELECT id, CASE WHEN status = 'running' AND finished_at IS NULL THEN 'stopped' ELSE status END AS status,
+       strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at,
+       strftime(CASE WHEN status = 'running' AND finished_at IS NULL THEN TIMESTAMP '{STALE_RUN_AS_OF}'
+                     ELSE finished_at END, '%Y-%m-%d %H:%M:%S') AS finished_at,
+       CASE WHEN status = 'running' AND finished_at IS NULL AND coalesce(error_message, '') = ''
+            THEN 'Marked stopped before starting a new scraper run.' ELSE error_message END AS error_message
+FROM runs
+"""
+
+ORACLE["latest_run"] = _RUNS + """
+SELECT id, status, strftime(started_at, '%Y-%m-%dT%H:%M:%S') AS started_at,
+       strftime(finished_at, '%Y-%m-%dT%H:%M:%S') AS finished_at, city, search_keyword,
+       CASE WHEN search_keyword = '__listing__' THEN 'Listing scan' ELSE search_keyword END AS search_keyword_label,
+       page_number, coalesce(saved_count, 0) AS saved_count, coalesce(skipped_count, 0) AS skipped_count,
+       coalesce(duplicate_count, 0) AS duplicate_count, error_message
+FROM runs ORDER BY id DESC LIMIT 1
+"""
+
+ORACLE["attempts"] = """
+WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt,
+                  event_type <> 'error' AS ok FROM events QUALIFY attempt <= 3),
+g AS (SELECT user_id, min(attempt) FILTER (WHERE ok) AS resolved_attempt,
+             arg_min(event_type, attempt) FILTER (WHERE ok) AS ok_outcome,
+             arg_max(props, attempt) FILTER (WHERE NOT ok) AS last_error, count(*) AS used FROM a GROUP BY user_id)
+SELECT user_id, CAST(resolved_attempt AS INTEGER) AS resolved_attempt,
+       CASE WHEN resolved_attempt IS NOT NULL THEN resolved_attempt ELSE used END AS attempts_used,
+       CASE WHEN resolved_attempt IS NOT NULL THEN 'saved' ELSE 'skipped' END AS status,
+       CASE WHEN resolved_attempt IS NOT NULL THEN ok_outcome END AS outcome,
+       CASE WHEN resolved_attempt IS NULL THEN substr(coalesce(last_error, 'Obituary processing error.'), 1, 4000) END AS message
+FROM g
+"""
+
+
+# -------------------------------------------------- J8/J9 export, curate ---
+
+ORACLE["csv_rows"] = f"""
+WITH j AS (SELECT * FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+                  LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey),
+r AS (SELECT o_orderkey AS id, concat_ws(' ', c_mktsegment, c_name) AS name,
+             NULL::VARCHAR AS birth_date, strftime(o_orderdate, '%B %-d, %Y') AS death_date,
+             o_orderdate AS publication_date, n_name AS city, r_name AS province, 'N/A' AS funeral_home,
+             'https://example.com/obituary/' || CAST(o_orderkey AS VARCHAR) AS obituary_url,
+             CASE WHEN o_orderpriority = '1-URGENT' THEN 'updated' ELSE 'new' END AS tags,
+             CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus = 'F' END AS is_alumni,
+             CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 2.5 - 30.0 END AS latitude,
+             CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey * 15.0 - 100.0 END AS longitude,
+             '  Order' || chr(9) || o_orderpriority || '  for' || chr(10) || ' ' || c_name || ' ' AS family_information,
+             '' AS donation_information FROM j)
+SELECT CAST(id AS VARCHAR) AS id, {_collapse('name')} AS name,
+       {_collapse(_split_name('name')[0])} AS first_name, {_collapse(_split_name('name')[1])} AS last_name,
+       {_collapse('birth_date')} AS birth_date, {_collapse('death_date')} AS death_date,
+       coalesce(strftime(publication_date, '%Y-%m-%d'), '') AS publication_date,
+       {_collapse('city')} AS city, {_collapse('province')} AS province, {_collapse('funeral_home')} AS funeral_home,
+       {_collapse('obituary_url')} AS obituary_url, {_collapse('tags')} AS tags,
+       CASE WHEN coalesce(is_alumni, false) THEN 'true' ELSE 'false' END AS is_alumni,
+       coalesce(CAST(latitude AS VARCHAR), '') AS latitude, coalesce(CAST(longitude AS VARCHAR), '') AS longitude,
+       {_collapse('family_information')} AS family_information,
+       {_collapse('donation_information')} AS donation_information
+FROM r WHERE coalesce(is_alumni, false)
+"""
+
+ORACLE["tag_updates"] = """
+WITH c AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE 'new' END AS tags FROM customer),
+ch AS (SELECT o_custkey AS c_custkey, o_orderdate, o_orderkey,
+              CASE o_orderstatus WHEN 'F' THEN 'updated' WHEN 'O' THEN 'new' ELSE 'archived' END AS tags FROM orders),
+l AS (SELECT c_custkey, arg_max(tags, (o_orderdate, o_orderkey)) AS new_tag FROM ch
+      WHERE tags IN ('new', 'updated') GROUP BY c_custkey)
+SELECT c.c_custkey, coalesce(l.new_tag, coalesce(c.tags, 'new')) AS tags FROM c LEFT JOIN l ON c.c_custkey = l.c_custkey
+"""
