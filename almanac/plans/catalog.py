@@ -668,3 +668,73 @@ def q_tag_updates(spark, sf):
                   F.when(F.col("o_orderstatus") == "F", F.lit("updated"))
                    .when(F.col("o_orderstatus") == "O", F.lit("new")).otherwise(F.lit("archived")).alias("tags"))
     return apply_tag_changes(c, ch, "c_custkey", ["o_orderdate", "o_orderkey"])
+
+
+# ------------------------------------------------------- J10 streaming --
+# Each call runs its stream to completion (availableNow) into a fresh folder
+# under the shared checkpoint folder and returns the sink table.
+
+def _events_stream(spark, sf):
+    from ..streaming.ingest import file_stream
+    return file_stream(spark, sf.rstrip("/"), table(spark, sf, "events").schema, glob="events.parquet")
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf):
+    """R1 + R2: first event per user across the whole stream history."""
+    from ..streaming.ingest import dedup_history, new_run_dir
+    d = new_run_dir(spark, "dedup")
+    s = _events_stream(spark, sf).select("user_id", "ts", "event_id")
+    dedup_history(s, "user_id", ["ts", "event_id"], f"{d}/sink", f"{d}/checkpoint", columns=["ts", "event_id"])
+    out = spark.read.parquet(f"{d}/sink")
+    return out.select("user_id", F.col("event_id").alias("first_event_id"),
+                      F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"))
+
+
+@register("stream_dedup_watermark")
+def q_stream_dedup_watermark(spark, sf):
+    """R2 within a bounded delay (state kept for one hour of event time)."""
+    from ..streaming.ingest import dedup_within_watermark, new_run_dir
+    d = new_run_dir(spark, "dedupwm")
+    s = dedup_within_watermark(_events_stream(spark, sf).select("user_id", "ts"), "user_id", "ts", "1 hour")
+    q = (s.writeStream.format("parquet").option("path", f"{d}/sink")
+          .option("checkpointLocation", f"{d}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{d}/sink").select("user_id")
+
+
+@register("stream_counters")
+def q_stream_counters(spark, sf):
+    """Running outcome counters per run, complete mode."""
+    from ..operators.ledger import run_counters
+    from ..streaming.ingest import complete_table, new_run_dir
+    d = new_run_dir(spark, "counters")
+    e = _events_stream(spark, sf)
+    status = (F.when(F.col("event_type") == "purchase", F.lit("saved"))
+              .when(F.col("event_type") == "view", F.lit("skipped"))
+              .when(F.col("event_type") == "click", F.lit("duplicate"))
+              .when(F.col("event_type") == "error", F.lit("error"))
+              .when(F.col("event_type") == "signup", F.lit("stopped")))
+    e = e.withColumn("status", status).withColumn("is_alumni", F.col("event_type") == "purchase")
+    agg = run_counters(e, "user_id", error="props", order=F.struct("ts", "event_id"))
+    complete_table(agg, f"{d}/sink", f"{d}/checkpoint")
+    return spark.read.parquet(f"{d}/sink")
+
+
+@register("stream_state")
+def q_stream_state(spark, sf):
+    """Latest progress row per key, complete mode."""
+    from ..operators.ledger import latest_state, state_from_reason
+    from ..streaming.ingest import complete_table, new_run_dir
+    d = new_run_dir(spark, "state")
+    e = _events_stream(spark, sf)
+    url = F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".example.com/obituary/"),
+                   F.col("event_id").cast("string"))
+    reason = (F.when(F.col("event_type") == "error", F.lit("error"))
+              .when(F.col("event_type") == "click", F.lit("repeated_page"))
+              .when(F.col("event_type") == "purchase", F.lit("no_links")))
+    ev = e.select("user_id", "event_type", "ts", "event_id", F.floor("value").cast("int").alias("page_number"),
+                  url.alias("last_processed_url"), state_from_reason(reason).alias("status"),
+                  F.col("ts").alias("updated_at"))
+    complete_table(latest_state(ev, ["user_id", "event_type"], ["ts", "event_id"]), f"{d}/sink", f"{d}/checkpoint")
+    return spark.read.parquet(f"{d}/sink").withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))

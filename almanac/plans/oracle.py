@@ -657,3 +657,14 @@ l AS (SELECT c_custkey, arg_max(tags, (o_orderdate, o_orderkey)) AS new_tag FROM
       WHERE tags IN ('new', 'updated') GROUP BY c_custkey)
 SELECT c.c_custkey, coalesce(l.new_tag, coalesce(c.tags, 'new')) AS tags FROM c LEFT JOIN l ON c.c_custkey = l.c_custkey
 """
+
+
+# ------------------------------------------------------- J10 streaming ---
+
+ORACLE["stream_dedup"] = """
+SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_event_id,
+       strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts
+FROM events GROUP BY user_id
+"""
+ORACLE["stream_counters"] = ORACLE["run_counters"]
+ORACLE["stream_state"] = ORACLE["latest_state"]
