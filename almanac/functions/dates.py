@@ -129,3 +129,27 @@ def publication_date_from_candidates(candidates, page_text=None) -> Column:
         cands = F.concat(cands, F.filter(F.array(phrase), lambda x: x.isNotNull()))
     parsed = F.transform(cands, lambda x: canonical_date(strip_published(x)))
     return F.get(F.filter(parsed, lambda x: x.isNotNull()), 0)
+
+
+def with_body_dates(df, body, header=None, prefix: str = "") -> "DataFrame":
+    """F3 + F4 + F5 staged as columns: ``candidate`` (first body date),
+    ``candidate_year``, then ``birth_date``/``death_date`` from the header
+    pair when the header has text, else the body candidate kept only after
+    2000.  Each regex pass runs once per row."""
+    from ..sources.tables import spread
+    c, y = prefix + "candidate", prefix + "candidate_year"
+    df = spread(df).withColumn(c, first_body_date(body))
+    df = df.withColumn(y, year_from_text(F.col(c)))
+    body_death = F.when(F.col(y) > 2000, F.col(c))
+    if header is None:
+        return (df.withColumn(prefix + "birth_date", F.lit(None).cast("string"))
+                  .withColumn(prefix + "death_date", body_death))
+    h = F.coalesce(_col(header), F.array().cast("array<string>"))
+    df = df.withColumn("_hs", F.filter(F.transform(h, lambda x: F.trim(x)), lambda x: x != ""))
+    hs = F.col("_hs")
+    n = F.size(hs)
+    birth = F.when(n >= 2, F.element_at(hs, 1))
+    death = F.when(n >= 1, F.element_at(hs, -1))
+    return (df.withColumn(prefix + "birth_date", F.when(n > 0, F.when(birth != "N/A", birth)))
+              .withColumn(prefix + "death_date", F.when(n > 0, F.when(death != "N/A", death)).otherwise(body_death))
+              .drop("_hs"))

@@ -88,8 +88,9 @@ def with_proximity_match(df: DataFrame, text, out: str = "match", institutions=N
     institutions = list(institutions or fixed.DEFAULT_INSTITUTION_KEYWORDS)
     statuses = list(statuses or fixed.DEFAULT_STATUS_KEYWORDS)
     window = max(1, int(window))
+    from ..sources.tables import spread
     t, inst, stat, pair = "_pm_t", "_pm_inst", "_pm_stat", "_pm_pair"
-    df = df.withColumn(t, T.collapse_ws(text))
+    df = spread(df).withColumn(t, T.collapse_ws(text))
     maybe = F.col(t).rlike(any_keyword_pattern(institutions)) & F.col(t).rlike(any_keyword_pattern(statuses))
     df = df.withColumn(inst, F.when(maybe, occurrences(F.col(t), institutions)))
     df = df.withColumn(stat, F.when(F.size(inst) > 0, occurrences(F.col(t), statuses)))

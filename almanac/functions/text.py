@@ -90,8 +90,9 @@ def with_clean_body(df: DataFrame, text, name=None, out: str = "cleaned") -> Dat
     leading repeated name with an optional date range; if '<name> Obituary'
     starts within the first 500 characters keep only what follows it; drop
     one leading navigation word."""
+    from ..sources.tables import spread
     s0, s1, s2, s3 = "_cb0", "_cb1", "_cb2", "_cb3"
-    df = df.withColumn(s0, _col(text))
+    df = spread(df).withColumn(s0, _col(text))
     df = df.withColumn(s1, F.regexp_replace(display_normalize(s0), r"(?iU)\bObituary\s+Events\s+Guestbook\s+Share\b", " "))
     last = s1
     if name is not None:

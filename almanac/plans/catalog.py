@@ -285,11 +285,8 @@ def _notice_orders(spark, sf):
 def q_death_date_text(spark, sf):
     """F3 + F4 + F5: date header when it has text, else the first body date
     (kept only after 2000)."""
-    n = _notice_orders(spark, sf)
-    dates = D.header_or_body_dates(F.coalesce("header", F.array().cast("array<string>")), F.col("body"))
-    cand = D.first_body_date("body")
-    return n.select("o_orderkey", cand.alias("candidate"), D.year_from_text(cand).alias("candidate_year"),
-                    dates["birth_date"].alias("birth_date"), dates["death_date"].alias("death_date"))
+    n = D.with_body_dates(_notice_orders(spark, sf), F.col("body"), F.col("header"))
+    return n.select("o_orderkey", "candidate", "candidate_year", "birth_date", "death_date")
 
 
 @register("publication_date")

@@ -170,7 +170,8 @@ def raw_page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefi
             rows = [_raw_fields(u, h, link_prefix) for u, h in zip(pdf[url_col], pdf[html_col])]
             yield pd.DataFrame(rows, columns=cols)
 
-    return pages.select(F.col(url_col).alias(url_col), F.col(html_col).alias(html_col)) \
+    from .tables import spread
+    return spread(pages.select(F.col(url_col).alias(url_col), F.col(html_col).alias(html_col))) \
         .mapInPandas(run, RAW_SCHEMA)
 
 
@@ -182,29 +183,40 @@ def page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix="/
     parts, (c) og:title, twitter:title, <title> cut at ' Obituary'.
     body (P2): first of span.details-copy, .details-copy, article, main
     that is neither empty nor 'N/A'.  Dates: header pair when the header has
-    text, else the body date (F5); publication date (P7)."""
+    text, else the body date (F5); publication date (P7).
+
+    The candidate lists have fixed length, so each candidate is its own
+    staged column (code-generated, computed once) rather than a lambda."""
     raw = raw_page_fields(pages, url_col, html_col, link_prefix)
+    n_b, n_c = len(TESTID_SELECTORS) + 1, 3
+    for i in range(n_b):
+        raw = raw.withColumn(f"_nb{i}", T.split_name(F.element_at("testid_names", i + 1)))
+    for j in range(n_c):
+        m = F.element_at("meta_titles", j + 1)
+        raw = raw.withColumn(f"_nc{j}", F.when(m.isNotNull(), T.split_name(T.title_name(m))))
     a_first = T.strip_lastname("name_full", "name_upper")
     a_last = T.capitalize(F.col("name_upper"))
-    a_ok = F.col("name_full").isNotNull() & F.col("name_upper").isNotNull() & (a_first != "") & (a_last != "")
-    splits_b = F.transform("testid_names", lambda x: T.split_name(x))
-    splits_c = F.transform("meta_titles", lambda x: F.when(x.isNotNull(), T.split_name(T.title_name(x))))
-    ok = lambda s: s.isNotNull() & s["first_name"].isNotNull() & s["last_name"].isNotNull()
-    first_b = F.get(F.filter(splits_b, ok), 0)
-    first_c = F.get(F.filter(splits_c, ok), 0)
-    name = F.when(a_ok, F.struct(a_first.alias("first_name"), a_last.alias("last_name"))) \
-        .otherwise(F.coalesce(first_b, first_c))
-    body = F.coalesce(F.get(F.filter("body_candidates", lambda x: (x != "") & (x != NA)), 0), F.lit(""))
-    out = raw.withColumn("_name", name).withColumn("body", body)
+    raw = raw.withColumn("_na", F.when(F.col("name_full").isNotNull() & F.col("name_upper").isNotNull(),
+                                       F.struct(a_first.alias("first_name"), a_last.alias("last_name"))))
+
+    def usable(c):
+        s = F.col(c)
+        return F.when(F.coalesce(s["first_name"] != "", F.lit(False)) & F.coalesce(s["last_name"] != "", F.lit(False)), s)
+
+    cascade = ["_na"] + [f"_nb{i}" for i in range(n_b)] + [f"_nc{j}" for j in range(n_c)]
+    raw = raw.withColumn("_name", F.coalesce(*[usable(c) for c in cascade]))
+    body = F.coalesce(*[F.when((x != "") & (x != NA), x) for x in
+                        [F.element_at("body_candidates", k + 1) for k in range(len(BODY_SELECTORS))]], F.lit(""))
+    out = raw.withColumn("body", body)
     has_header = F.coalesce(F.col("date_header_text"), F.lit("")) != ""
-    pair = D.header_date_pair(F.coalesce(F.col("date_strings"), F.array().cast("array<string>")))
+    out = D.with_body_dates(out, F.col("body"), F.when(has_header, F.col("date_strings")), prefix="_d_")
     out = out.select(
         url_col,
         F.col("_name.first_name").alias("first_name"),
         F.col("_name.last_name").alias("last_name"),
         "body",
-        F.when(has_header, pair["birth_date"]).alias("birth_date"),
-        F.when(has_header, pair["death_date"]).otherwise(D.death_date_from_body(F.col("body"))).alias("death_date"),
+        F.col("_d_birth_date").alias("birth_date"),
+        F.col("_d_death_date").alias("death_date"),
         D.publication_date_from_candidates(
             F.concat(F.col("published_candidates"),
                      F.filter(F.array(F.col("published_phrase")), lambda x: x.isNotNull()))).alias("publication_text"),

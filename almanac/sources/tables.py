@@ -95,3 +95,15 @@ def append_records(df: DataFrame, path: str) -> None:
 def backfill_tags(df: DataFrame, default: str = "new") -> DataFrame:
     """S10 data effect: tags NULL -> 'new'."""
     return df.withColumn("tags", F.coalesce(F.col("tags"), F.lit(default)))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Even out CPU-heavy per-row work (regex spans, HTML parsing, text
+    clean-up).  A small input stored as one Parquet row group scans as a
+    single task; when a frame has fewer partitions than the cluster's
+    parallelism it is round-robin repartitioned (no key, so no skew).  On a
+    large table the scan already has many splits and this is a no-op."""
+    if df.isStreaming:
+        return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
