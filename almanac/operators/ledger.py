@@ -66,11 +66,14 @@ def close_stale_runs(runs: DataFrame, as_of, message: str = fixed.STALE_RUN_MESS
     ``as_of``; their message is set only when blank."""
     stale = (F.col("status") == fixed.RUN_RUNNING) & F.col("finished_at").isNull()
     as_of_c = F.lit(as_of) if isinstance(as_of, str) else as_of
-    return (runs.withColumn("error_message", F.when(stale & (F.coalesce(F.col("error_message"), F.lit("")) == ""),
-                                                    F.lit(message)).otherwise(F.col("error_message")))
-                .withColumn("finished_at", F.when(stale, as_of_c.cast(runs.schema["finished_at"].dataType))
-                            .otherwise(F.col("finished_at")))
-                .withColumn("status", F.when(stale, F.lit(fixed.RUN_STOPPED)).otherwise(F.col("status"))))
+    # all three read the original columns (one projection)
+    repl = {
+        "error_message": F.when(stale & (F.coalesce(F.col("error_message"), F.lit("")) == ""),
+                                F.lit(message)).otherwise(F.col("error_message")),
+        "finished_at": F.when(stale, as_of_c.cast(runs.schema["finished_at"].dataType)).otherwise(F.col("finished_at")),
+        "status": F.when(stale, F.lit(fixed.RUN_STOPPED)).otherwise(F.col("status")),
+    }
+    return runs.select(*[repl[c].alias(c) if c in repl else F.col(c) for c in runs.columns])
 
 
 def final_run_status(failed, stopped) -> Column:

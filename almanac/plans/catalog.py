@@ -568,13 +568,14 @@ STALE_RUN_AS_OF = "2024-02-01 00:00:00"
 
 
 def _event_runs(spark, sf):
-    """Runs from events: one run per user; finished when it has a purchase."""
+    """Runs from events: one run per user; finished (at its last event) when
+    the last event is a purchase or a view, else still open."""
     from ..operators.ledger import run_counters
     e = _event_outcomes(spark, sf)
     order = F.struct("ts", "event_id")
     runs = e.groupBy("user_id").agg(
         F.min("ts").alias("started_at"),
-        F.when(F.count_if(F.col("event_type") == "purchase") > 0, F.max("ts")).alias("finished_at"),
+        F.when(F.max_by("event_type", order).isin("purchase", "view"), F.max("ts")).alias("finished_at"),
         F.max_by(F.when((F.col("event_type") == "error") & (F.col("value") > 40), F.col("props")),
                  F.when((F.col("event_type") == "error") & (F.col("value") > 40), order)).alias("error_message"),
         F.max_by("event_type", order).alias("_last_type"),

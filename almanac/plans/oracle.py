@@ -575,7 +575,7 @@ FROM ev GROUP BY user_id, event_type
 
 _RUNS = "WITH " + _EV_OUT + """,
 r0 AS (SELECT user_id AS id, min(ts) AS started_at,
-              CASE WHEN count_if(event_type = 'purchase') > 0 THEN max(ts) END AS finished_at,
+              CASE WHEN arg_max(event_type, (ts, event_id)) IN ('purchase', 'view') THEN max(ts) END AS finished_at,
               arg_max(props, (ts, event_id)) FILTER (WHERE event_type = 'error' AND value > 40) AS error_message,
               arg_max(event_type, (ts, event_id)) AS last_type,
               arg_max(CAST(floor(value) AS INTEGER), (ts, event_id)) AS page_number
