@@ -736,3 +736,88 @@ def q_stream_state(spark, sf):
                   F.col("ts").alias("updated_at"))
     complete_table(latest_state(ev, ["user_id", "event_type"], ["ts", "event_id"]), f"{d}/sink", f"{d}/checkpoint")
     return spark.read.parquet(f"{d}/sink").withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+# ------------------------------------------------- T3/T4/T12 crawl plans --
+
+PLAN_MAX_PAGES = 1_000_000  # page ids stand for page numbers: no page cap
+
+
+def _plan_pages(spark, sf):
+    """pages as fetched listing/search result pages: site = host label,
+    keyword = the page language, page number = page id, links = P9.
+    Written once to the shared checkpoint folder (as J1 output would be),
+    so each plan reads extracted links instead of re-parsing the HTML."""
+    from ..session import cut_lineage
+    p = table(spark, sf, "pages")
+    return cut_lineage(p.select(T.host_label("url").alias("site"),
+                                F.regexp_extract("html", r'<html[^>]*\slang="([^"]*)"', 1).alias("keyword"),
+                                F.col("page_id").alias("page"),
+                                H.absolute_links("html", "url", LINK_PREFIX).alias("links")))
+
+
+def _plan_existing(pages):
+    """Stored records: every link URL listed on two or more pages."""
+    l = pages.select("page", F.explode("links").alias("url"))
+    return l.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("url")
+
+
+def _plan_state(pages, keys, keyword_value=None):
+    """Prior progress per plan key: completed when the site label length is
+    a multiple of 5, else running after the first link of the key's first
+    page when the label length is even; no row otherwise."""
+    first = pages.groupBy(*keys).agg(F.min("page").alias("page_number"))
+    firsts = first.join(pages.select(*keys, F.col("page").alias("page_number"), "links"), keys + ["page_number"])
+    n = F.length("site")
+    status = F.when(n % 5 == 0, F.lit("completed")).when(n % 2 == 0, F.lit("running"))
+    kw = F.lit(keyword_value) if keyword_value is not None else F.col("keyword")
+    return firsts.select(F.col("site").alias("subdomain"), kw.alias("search_keyword"), "page_number",
+                         F.element_at("links", 1).alias("last_processed_url"), status.alias("status")) \
+        .where(F.col("status").isNotNull())
+
+
+def _listing_plan(spark, sf):
+    from ..operators.crawl import listing_scan_plan
+    all_pages = _plan_pages(spark, sf)
+    pages = all_pages.where(F.col("site").isNotNull()).drop("keyword")
+    state = _plan_state(pages, ["site"], "__listing__")
+    return listing_scan_plan(pages, state, _plan_existing(all_pages), max_pages=PLAN_MAX_PAGES, threshold=1)
+
+
+@register("listing_plan_work")
+def q_listing_plan_work(spark, sf):
+    """T4 + T12: URLs the listing scan hands on (new work and duplicates)."""
+    work, dups, _ = _listing_plan(spark, sf)
+    return (work.withColumn("kind", F.lit("new")).unionByName(dups.withColumn("kind", F.lit("duplicate")))
+                .select("site", "page", "pos", "url", "kind"))
+
+
+@register("listing_plan_state")
+def q_listing_plan_state(spark, sf):
+    """T4 + T7: listing-scan progress per site after the run."""
+    _, _, state = _listing_plan(spark, sf)
+    return state
+
+
+def _search_plan(spark, sf):
+    from ..operators.crawl import keyword_search_plan
+    all_pages = _plan_pages(spark, sf)
+    pages = all_pages.where(F.col("site").isNotNull())
+    state = _plan_state(pages, ["site", "keyword"])
+    return keyword_search_plan(pages, state, _plan_existing(all_pages), max_pages=PLAN_MAX_PAGES)
+
+
+@register("search_plan_work")
+def q_search_plan_work(spark, sf):
+    """T3 + A8 + T12: URLs the keyword search hands on, page-first, with the
+    keywords that surfaced them."""
+    work, dups, _ = _search_plan(spark, sf)
+    both = work.withColumn("kind", F.lit("new")).unionByName(dups.withColumn("kind", F.lit("duplicate")))
+    return both.select("site", "url", "page", "pos", F.array_join("keywords", ",").alias("keywords"), "kind")
+
+
+@register("search_plan_state")
+def q_search_plan_state(spark, sf):
+    """Keyword-search progress per (site, keyword) after the run."""
+    _, _, state = _search_plan(spark, sf)
+    return state

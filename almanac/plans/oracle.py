@@ -668,3 +668,126 @@ FROM events GROUP BY user_id
 """
 ORACLE["stream_counters"] = ORACLE["run_counters"]
 ORACLE["stream_state"] = ORACLE["latest_state"]
+
+
+# ---------------------------------------------- T3/T4/T12 crawl plans ---
+# Sequential rules stated with window functions (row_number per signature,
+# first stop page per key), independent of the Spark aggregate/join form.
+from .catalog import PLAN_MAX_PAGES  # noqa: E402
+
+_PLAN_BASE = "WITH " + _LINKS_CTE + f""",
+lk AS (SELECT page_id, list(link ORDER BY position) AS links FROM pl GROUP BY page_id),
+ap AS (SELECT pages.page_id AS page, {_LABEL} AS site,
+              regexp_extract(html, '<html[^>]*\\slang="([^"]*)"', 1) AS keyword,
+              coalesce(lk.links, []) AS links
+       FROM pages LEFT JOIN lk ON pages.page_id = lk.page_id),
+ex AS (SELECT link AS url FROM pl GROUP BY link HAVING count(*) >= 2),
+pg AS (SELECT * FROM ap WHERE site IS NOT NULL)
+"""
+
+
+def _plan_sql(keys):
+    """Shared CTEs for a plan keyed by ``keys`` (site or site, keyword)."""
+    k = ", ".join(keys)
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in keys)
+    kw_state = "'__listing__'" if keys == ["site"] else "keyword"
+    return f""",
+fp AS (SELECT {k}, min(page) AS page_number FROM pg GROUP BY {k}),
+st AS (SELECT {', '.join('fp.' + c for c in keys)}, fp.page_number, pg.links[1] AS last_processed_url,
+              CASE WHEN length(fp.site) % 5 = 0 THEN 'completed' WHEN length(fp.site) % 2 = 0 THEN 'running' END AS status
+       FROM fp JOIN pg ON {on('fp', 'pg')} AND fp.page_number = pg.page),
+st2 AS (SELECT *, {kw_state} AS search_keyword FROM st WHERE status IS NOT NULL)"""
+
+
+_LISTING_SQL = _PLAN_BASE + _plan_sql(["site"]) + f""",
+sp AS (SELECT site, coalesce(min(CASE WHEN status = 'running' AND coalesce(page_number > 0, false)
+                                      THEN page_number END), 1) AS start_page FROM st2 GROUP BY site),
+p AS (SELECT pg.* FROM pg LEFT JOIN sp ON pg.site = sp.site
+      WHERE NOT EXISTS (SELECT 1 FROM st2 WHERE st2.site = pg.site AND st2.status IN ('completed', 'pagination_blocked'))
+        AND pg.page >= coalesce(sp.start_page, 1) AND pg.page <= {PLAN_MAX_PAGES}),
+s AS (SELECT *, len(links) AS n_links, CASE WHEN len(links) > 0 THEN array_to_string(links, chr(10)) END AS sig FROM p),
+r AS (SELECT *, CASE WHEN sig IS NOT NULL THEN row_number() OVER (PARTITION BY site, sig ORDER BY page) END AS rn FROM s),
+r2 AS (SELECT *, CASE WHEN n_links = 0 THEN 'no_links' WHEN rn - 1 >= 1 THEN 'repeated_page' END AS stop_reason FROM r),
+stops AS (SELECT site, min(page) AS stop_page, arg_min(stop_reason, page) AS stop_reason
+          FROM r2 WHERE stop_reason IS NOT NULL GROUP BY site),
+y AS (SELECT r2.site, r2.page, r2.links FROM r2 LEFT JOIN stops ON r2.site = stops.site
+      WHERE (stops.stop_page IS NULL OR r2.page <= stops.stop_page) AND r2.rn = 1 AND r2.n_links > 0),
+rows0 AS (SELECT site, page, unnest(links) AS url, CAST(generate_subscripts(links, 1) - 1 AS INTEGER) AS pos FROM y),
+c AS (SELECT rows0.*, st2.page_number AS sp_, st2.last_processed_url AS su, st2.status AS ss
+      FROM rows0 LEFT JOIN st2 ON rows0.site = st2.site),
+mk AS (SELECT site, min(pos) AS mark FROM c WHERE url = su AND page = sp_ GROUP BY site),
+rs AS (SELECT c.site, c.page, c.pos, c.url FROM c LEFT JOIN mk ON c.site = mk.site
+       WHERE NOT coalesce(ss = 'running' AND sp_ IS NOT NULL AND coalesce(su <> '', false), false)
+          OR page > sp_ OR (page = sp_ AND (mark IS NULL OR pos > mark))),
+fs AS (SELECT site, url, arg_min(page, (page, pos)) AS page, arg_min(pos, (page, pos)) AS pos FROM rs GROUP BY site, url),
+lst AS (SELECT site, arg_max(page, (page, pos)) AS lp, arg_max(url, (page, pos)) AS lu FROM fs GROUP BY site),
+ks AS (SELECT site FROM st2 UNION SELECT site FROM stops UNION SELECT site FROM lst)
+"""
+
+ORACLE["listing_plan_work"] = _LISTING_SQL + """
+SELECT fs.site, fs.page, fs.pos, fs.url, CASE WHEN ex.url IS NULL THEN 'new' ELSE 'duplicate' END AS kind
+FROM fs LEFT JOIN ex ON fs.url = ex.url
+"""
+
+ORACLE["listing_plan_state"] = _LISTING_SQL + """
+SELECT ks.site,
+       CASE WHEN stops.stop_page IS NOT NULL THEN stops.stop_page ELSE coalesce(lst.lp, st2.page_number) END AS page_number,
+       coalesce(lst.lu, st2.last_processed_url) AS last_processed_url,
+       CASE WHEN stops.stop_page IS NOT NULL THEN
+              CASE WHEN stops.stop_reason = 'repeated_page' THEN 'pagination_blocked'
+                   WHEN stops.stop_reason = 'error' THEN 'error' ELSE 'completed' END
+            WHEN lst.lp IS NOT NULL THEN 'running' ELSE coalesce(st2.status, 'running') END AS status
+FROM ks LEFT JOIN st2 ON ks.site = st2.site LEFT JOIN stops ON ks.site = stops.site LEFT JOIN lst ON ks.site = lst.site
+"""
+
+_SEARCH_SQL = _PLAN_BASE + _plan_sql(["site", "keyword"]) + f""",
+active AS (SELECT * FROM st2 WHERE status <> 'completed'),
+sp AS (SELECT site, coalesce(min(CASE WHEN status = 'running' AND coalesce(page_number > 0, false)
+                                      THEN page_number END), 1) AS start_page FROM active GROUP BY site),
+own AS (SELECT site, keyword, page_number AS own FROM active WHERE status = 'running'),
+p AS (SELECT pg.* FROM pg LEFT JOIN sp ON pg.site = sp.site
+                       LEFT JOIN own ON pg.site = own.site AND pg.keyword = own.keyword
+      WHERE NOT EXISTS (SELECT 1 FROM st2 WHERE st2.site = pg.site AND st2.keyword = pg.keyword
+                                             AND st2.status = 'completed')
+        AND pg.page >= coalesce(sp.start_page, 1) AND pg.page >= coalesce(own.own, 1) AND pg.page <= {PLAN_MAX_PAGES}),
+s AS (SELECT *, len(links) AS n_links, CASE WHEN len(links) > 0 THEN array_to_string(links, chr(10)) END AS sig FROM p),
+r AS (SELECT *, CASE WHEN sig IS NOT NULL THEN row_number() OVER (PARTITION BY site, keyword, sig ORDER BY page) END AS rn
+      FROM s),
+r2 AS (SELECT *, CASE WHEN n_links = 0 THEN 'no_links' WHEN rn - 1 >= 1 THEN 'repeated_page' END AS stop_reason FROM r),
+stops AS (SELECT site, keyword, min(page) AS stop_page FROM r2 WHERE stop_reason IS NOT NULL GROUP BY site, keyword),
+y AS (SELECT r2.site, r2.keyword, r2.page, r2.links FROM r2
+      LEFT JOIN stops ON r2.site = stops.site AND r2.keyword = stops.keyword
+      WHERE (stops.stop_page IS NULL OR r2.page <= stops.stop_page) AND r2.rn = 1 AND r2.n_links > 0),
+rows0 AS (SELECT site, keyword, page, unnest(links) AS url, CAST(generate_subscripts(links, 1) - 1 AS INTEGER) AS pos FROM y),
+c AS (SELECT rows0.*, st2.page_number AS sp_, st2.last_processed_url AS su, st2.status AS ss
+      FROM rows0 LEFT JOIN st2 ON rows0.site = st2.site AND rows0.keyword = st2.keyword),
+mk AS (SELECT site, keyword, min(pos) AS mark FROM c WHERE url = su AND page = sp_ GROUP BY site, keyword),
+rs AS (SELECT c.site, c.keyword, c.page, c.pos, c.url FROM c
+       LEFT JOIN mk ON c.site = mk.site AND c.keyword = mk.keyword
+       WHERE NOT coalesce(ss = 'running' AND sp_ IS NOT NULL AND coalesce(su <> '', false), false)
+          OR page > sp_ OR (page = sp_ AND (mark IS NULL OR pos > mark))),
+fpg AS (SELECT site, url, min(page) AS fp_ FROM rs GROUP BY site, url),
+af AS (SELECT rs.* FROM rs JOIN fpg ON rs.site = fpg.site AND rs.url = fpg.url AND rs.page = fpg.fp_),
+merged AS (SELECT site, url, min(page) AS page, arg_min(pos, (keyword, pos)) AS pos,
+                  array_to_string(list_sort(list_distinct(list(keyword))), ',') AS keywords FROM af GROUP BY site, url),
+lst AS (SELECT site, keyword, arg_max(page, (page, pos)) AS lp, arg_max(url, (page, pos)) AS lu
+        FROM af GROUP BY site, keyword),
+ks AS (SELECT site, keyword FROM st2 UNION SELECT site, keyword FROM stops UNION SELECT site, keyword FROM lst)
+"""
+
+ORACLE["search_plan_work"] = _SEARCH_SQL + """
+SELECT merged.site, merged.url, merged.page, merged.pos, merged.keywords,
+       CASE WHEN ex.url IS NULL THEN 'new' ELSE 'duplicate' END AS kind
+FROM merged LEFT JOIN ex ON merged.url = ex.url
+"""
+
+ORACLE["search_plan_state"] = _SEARCH_SQL + """
+SELECT ks.site, ks.keyword,
+       CASE WHEN stops.stop_page IS NOT NULL THEN stops.stop_page ELSE coalesce(lst.lp, st2.page_number) END AS page_number,
+       coalesce(lst.lu, st2.last_processed_url) AS last_processed_url,
+       CASE WHEN stops.stop_page IS NOT NULL THEN 'completed'
+            WHEN lst.lp IS NOT NULL THEN 'running' ELSE coalesce(st2.status, 'running') END AS status
+FROM ks LEFT JOIN st2 ON ks.site = st2.site AND ks.keyword = st2.keyword
+        LEFT JOIN stops ON ks.site = stops.site AND ks.keyword = stops.keyword
+        LEFT JOIN lst ON ks.site = lst.site AND ks.keyword = lst.keyword
+"""
