@@ -112,3 +112,9 @@ def resolve_attempts(attempts: DataFrame, key: str, attempt_col: str, ok_col: st
         F.when(~success, T.truncate_message(F.coalesce(F.col("_last_error"), F.lit("Obituary processing error.")))
                ).alias("message"),
     )
+
+
+def serving_copy(records: DataFrame, url_col: str = "obituary_url", id_col: str = "id") -> DataFrame:
+    """U5 / derived serving table: one row per URL (the lowest id), derived
+    from the record table instead of being written twice."""
+    return first_seen(records, url_col, [id_col])

@@ -83,3 +83,25 @@ def test_csv_export(records, tmp_path):
     data = open(glob.glob(out + "/part-*.csv")[0], "rb").read()
     assert data.startswith("﻿id,name".encode("utf-8"))
     assert b"\r\n" in data and data.count(b"\r\n") == 3
+
+
+def test_point_lookup_and_json(records):
+    assert ids(serve.point_lookup(records, 2)) == [2]
+    assert ids(serve.point_lookup(records, 99)) == []
+    from almanac.operators.export import json_lines
+    import json
+    j = json.loads(json_lines(records.where("id = 1")).first()["json"])
+    assert j["name"] == "Mia Stone" and j["publication_date"] == "2026-06-01T00:00:00" and "family_information" not in j
+
+
+def test_serving_copy(records, spark):
+    from almanac.operators.admit import serving_copy
+    dup = records.where("id = 2").withColumn("id", records["id"] + 10)
+    out = serving_copy(records.unionByName(dup))
+    assert sorted(ids(out)) == [1, 2, 3, 4]
+
+
+def test_current_month_stream_predicate(spark):
+    from almanac.streaming.ingest import current_month_only
+    df = spark.createDataFrame([(dt.datetime(2026, 6, 3),), (dt.datetime(2026, 5, 31),), (None,)], "ts timestamp")
+    assert current_month_only(df, "ts", "2026-06-15").count() == 1
