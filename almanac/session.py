@@ -23,6 +23,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -55,6 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not (sc.master or "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/DBFS) for "
+                           "checkpoints and stream state; a machine-local folder does not survive executor loss")
     scratch = tempfile.mkdtemp(prefix="almanac-ckpt-", dir=os.environ.get("ALMANAC_SCRATCH", "/tmp"))
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
