@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.tables import sized_broadcast
 
-DIM_MAX_ROWS = 1_000_000
+DIM_MAX_ROWS = 200_000  # ~20 MB at ~100 bytes per row
 
 
 def with_site(df: DataFrame, url_col: str, sites: DataFrame, subdomain_col: str = "subdomain",

@@ -108,7 +108,7 @@ def repeated_pages(pages: DataFrame, site: str, page: str, links: str,
 
 def resume_slice(cands: DataFrame, state: DataFrame, plan_key: list[str], page: str, order_col: str,
                  url_col: str, resume: bool = True, force: bool = False,
-                 max_state_rows: int = 10_000_000) -> DataFrame:
+                 max_state_rows: int = 200_000) -> DataFrame:
     """T6 + W13 + JN7 over candidate rows ``(plan_key..., page, order, url)``.
 
     ``state`` has one row per plan key with ``page_number``,

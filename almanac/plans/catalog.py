@@ -821,3 +821,23 @@ def q_search_plan_state(spark, sf):
     """Keyword-search progress per (site, keyword) after the run."""
     _, _, state = _search_plan(spark, sf)
     return state
+
+
+@register("notice_outcomes")
+def q_notice_outcomes(spark, sf):
+    """T1 + T12 over fetched pages: Arrow extraction, simple-mode matching
+    with the corpus keywords, site/gazetteer enrichment, existing-record
+    check against the records already stored (the saved rows of the
+    document outcomes, by URL).  Rows-only: the extractor has no SQL form."""
+    from ..operators.records import process_notices
+    from ..options import JobOptions
+    from ..sources.tables import RECORD_SCHEMA
+    pages = table(spark, sf, "pages").select("url", "html")
+    dim = _site_dimension(table(spark, sf, "pages"))
+    gaz = dim.select("city", "province", (F.length("city") * 1.5).alias("latitude"),
+                     (F.length("province") * -2.0).alias("longitude"))
+    stored = _outcomes(spark, sf).where("status = 'saved'").select(
+        F.col("url").alias("obituary_url"), "name", "is_alumni", "tags")
+    opts = JobOptions(match_mode="simple", alumni_keywords=DOC_SIMPLE_KEYWORDS)
+    out, _ = process_notices(pages, stored, dim, gaz, opts, link_prefix=LINK_PREFIX)
+    return out
