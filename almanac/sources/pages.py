@@ -13,9 +13,11 @@ space; script, style and comment text excluded.  A missing element is
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,6 +162,11 @@ def _raw_fields(url, html, link_prefix):
             testids, metas, bodies, date_strings, header_text, pubs, m.group(1) if m else None, fh, links)
 
 
+# Ship this module's code with the task (pickled by value), so Python
+# workers need only pandas/pyarrow, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def raw_page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix="/obituary/") -> DataFrame:
     """Arrow-batched extractor: one output row per page with the raw
     selector texts (schema ``RAW_SCHEMA``)."""
