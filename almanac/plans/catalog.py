@@ -684,7 +684,7 @@ def q_stream_dedup(spark, sf):
     d = new_run_dir(spark, "dedup")
     s = _events_stream(spark, sf).select("user_id", "ts", "event_id")
     dedup_history(s, "user_id", ["ts", "event_id"], f"{d}/sink", f"{d}/checkpoint", columns=["ts", "event_id"])
-    out = spark.read.parquet(f"{d}/sink")
+    out = spark.read.parquet(f"{d}/sink").drop("_kb")
     return out.select("user_id", F.col("event_id").alias("first_event_id"),
                       F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"))
 
