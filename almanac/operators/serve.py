@@ -23,8 +23,11 @@ def _col(c) -> Column:
 
 
 def is_true(c) -> Column:
-    """``flag IS TRUE`` (NULL and false both drop)."""
-    return F.coalesce(_col(c), F.lit(False))
+    """``flag IS TRUE`` (NULL and false both drop).  Used as a WHERE
+    predicate, where a NULL already drops the row, so the plain column is
+    enough and stays pushable into the Parquet reader (a ``coalesce`` would
+    not be)."""
+    return _col(c)
 
 
 def like_literal(q: str) -> str:
