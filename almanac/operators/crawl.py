@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..session import cut_lineage
 from ..sources import fixed
 from . import frontier as FR
@@ -141,19 +142,17 @@ def keyword_search_plan(pages: DataFrame, state: DataFrame, existing: DataFrame,
                          keys, page, links)
     stop_pages = scanned.where(F.col("stop_reason").isNotNull()).select(*keys, page)
     if url_dates is not None and as_of is not None:
-        dated = rows.join(url_dates.select(F.col(url_col).alias("url"), F.col("publication_date").alias("_ts")),
-                          "url", "left")
-        cut = FR.stale_cut(dated, keys, page, "pos", "_ts", as_of)
-        # pages whose cut stopped the keyword join the stop set
-        stop_pages = stop_pages.unionByName(
-            cut.select(*keys, F.col("stop_page").alias(page)).where(F.col(page).isNotNull()).distinct())
-        rows = cut.select(*keys, page, "pos", "url")
-    stops = stop_pages.groupBy(*keys).agg(F.min(page).alias("stop_page"))
-    rows = rows.join(stops, keys, "left").where(F.col("stop_page").isNull() | (F.col(page) <= F.col("stop_page"))) \
-        .drop("stop_page")
-    rows = cut_lineage(rows)
-    if resume and not force:
-        rows = cut_lineage(FR.resume_slice(rows, st, keys, page, "pos", "url"))
+        n4 = stop_pages.groupBy(*keys).agg(F.min(page).alias("stop_page"))
+        rows, month_stops = _month_pages(rows, n4, url_dates, url_col, as_of, st, keys, site, page,
+                                         resume and not force, max_pages)
+        stops = stop_pages.unionByName(month_stops).groupBy(*keys).agg(F.min(page).alias("stop_page"))
+    else:
+        stops = stop_pages.groupBy(*keys).agg(F.min(page).alias("stop_page"))
+        rows = rows.join(stops, keys, "left").where(F.col("stop_page").isNull() | (F.col(page) <= F.col("stop_page"))) \
+            .drop("stop_page")
+        rows = cut_lineage(rows)
+        if resume and not force:
+            rows = cut_lineage(FR.resume_slice(rows, st, keys, page, "pos", "url"))
     # page-first: a URL is handled at its first page over all keywords of the site
     first_page = rows.groupBy(site, "url").agg(F.min(page).alias("_fp"))
     at_first = cut_lineage(rows.join(first_page, [site, "url"]).where(F.col(page) == F.col("_fp")).drop("_fp"))
@@ -168,3 +167,63 @@ def keyword_search_plan(pages: DataFrame, state: DataFrame, existing: DataFrame,
     end = _end_state(processed, stops.withColumn("stop_reason", F.lit(None).cast("string")), st, keys, page,
                      stop_status=F.lit(fixed.STATE_COMPLETED))
     return work, dups, end
+
+
+MONTH_MODE_MAX_PAGES = 100
+
+
+def _month_pages(rows: DataFrame, n4_stops: DataFrame, url_dates: DataFrame, url_col: str, as_of: str,
+                 st: DataFrame, keys: list[str], site: str, page: str, resume: bool, max_pages: int):
+    """Current-month mode (N6, W15, N2) page by page.
+
+    A URL already handled on an earlier page of the site is dropped *before*
+    a page is sorted by date, so whether a page is cut depends on what the
+    earlier pages yielded: the pages are evaluated in order, one distributed
+    step per page number (at most ``max_pages``; the default is 2), each
+    step over all sites and keywords at once, with the visited set and the
+    retired keys carried as tables (lineage cut per step)."""
+    if max_pages > MONTH_MODE_MAX_PAGES:
+        raise ValueError(f"current-month mode reads page by page; max_pages must be <= {MONTH_MODE_MAX_PAGES}")
+    dated = rows.join(url_dates.select(F.col(url_col).alias("url"), F.col("publication_date").alias("_ts")),
+                      "url", "left")
+    dated = dated.join(n4_stops, keys, "left").where(F.col("stop_page").isNull() | (F.col(page) <= F.col("stop_page")))
+    dated = cut_lineage(dated.drop("stop_page").withColumn("_cur", D.is_current_month(F.col("_ts"), as_of)))
+    numbers = sorted(r[0] for r in dated.select(page).distinct().collect())  # <= max_pages small ints
+    visited = retired = None
+    yielded, stops = [], []
+    for n in numbers:
+        cur = dated.where(F.col(page) == n)
+        if retired is not None:
+            cur = cur.join(retired, keys, "left_anti")
+        cand = cur if visited is None else cur.join(visited, [site, "url"], "left_anti")
+        cand = cand.where(F.col("_ts").isNotNull())
+        stale = cand.where(~F.col("_cur")).groupBy(*keys).agg(F.max("_ts").alias("_stale_ts"))
+        kept = (cand.join(stale, keys, "left")
+                .where(F.col("_cur") & (F.col("_stale_ts").isNull() | (F.col("_ts") > F.col("_stale_ts")))))
+        reading = cur.select(*keys).distinct()
+        stop = reading.join(stale.select(*keys), keys, "left_semi").unionByName(
+            reading.join(kept.select(*keys).distinct(), keys, "left_anti"))
+        if n == 1:  # N6: the first listed URL of page 1 must be current
+            gate = cur.groupBy(*keys).agg(F.min_by("_cur", "pos").alias("_first_cur")) \
+                .where(~F.coalesce(F.col("_first_cur"), F.lit(False))).select(*keys)
+            kept = kept.join(gate, keys, "left_anti")
+            stop = stop.unionByName(gate)
+        kept = kept.select(*keys, page, "pos", "url")
+        if resume:
+            kept = FR.resume_slice(kept, st, keys, page, "pos", "url")
+        kept = cut_lineage(kept)
+        stop = cut_lineage(stop.distinct())
+        yielded.append(kept)
+        stops.append(stop.withColumn(page, F.lit(n).cast(dated.schema[page].dataType)))
+        new_seen = kept.select(site, "url")
+        visited = cut_lineage((new_seen if visited is None else visited.unionByName(new_seen)).distinct())
+        retired = stop if retired is None else cut_lineage(retired.unionByName(stop).distinct())
+    empty_rows = dated.select(*keys, page, "pos", "url").where(F.lit(False))
+    empty_stops = dated.select(*keys, page).where(F.lit(False))
+    out_rows = empty_rows
+    for y in yielded:
+        out_rows = out_rows.unionByName(y)
+    out_stops = empty_stops
+    for x in stops:
+        out_stops = out_stops.unionByName(x.select(*keys, page))
+    return cut_lineage(out_rows), cut_lineage(out_stops)

@@ -86,8 +86,10 @@ def test_listing_plan_matches_model(spark):
             assert got_s.get(site) == s, (site, got_s.get(site), s)
 
 
-def model_search(pages, states, existing, keywords, max_pages):
-    """pages: {(kw, page): [links]}; states: {kw: (page, url, status)}."""
+def model_search(pages, states, existing, keywords, max_pages, dates=None, as_of=None):
+    """pages: {(kw, page): [links]}; states: {kw: (page, url, status)};
+    with ``dates`` ({url: date or None}) the current-month rules apply."""
+    cur = lambda d: d is not None and as_of is not None and (d.year, d.month) == (as_of.year, as_of.month)
     active = [k for k in keywords if not (states.get(k) and states[k][2] == "completed")]
     st = {k: list(states[k]) if k in states else [None, None, "running"] for k in keywords}
     orig = {k: tuple(v) for k, v in st.items()}
@@ -110,6 +112,20 @@ def model_search(pages, states, existing, keywords, max_pages):
             else:
                 seen_sig[k].add(tuple(links))
                 urls, stop = list(links), False
+                if dates is not None:
+                    if page == 1 and not cur(dates.get(links[0])):
+                        urls, stop = [], True
+                    else:
+                        data = [u for u in links if u not in visited and dates.get(u) is not None]
+                        data.sort(key=lambda u: -dates[u].toordinal())
+                        urls = []
+                        for u in data:
+                            if not cur(dates[u]):
+                                stop = True
+                                break
+                            urls.append(u)
+                        if not urls:
+                            stop = True
             o = orig[k]
             if k in states and o[2] == "running" and o[0] is not None and o[1]:
                 if page < o[0]:
@@ -207,3 +223,43 @@ def test_stale_cut_matches_model(spark):
         got.setdefault(r["k"], []).append((r["page"], r["pos"]))
     for k, want in expected.items():
         assert sorted(got.get(k, [])) == sorted(want), k
+
+
+def test_search_plan_month_mode_matches_model(spark):
+    import datetime as dt
+    rnd = random.Random(17)
+    pool = [f"w{i}" for i in range(12)]
+    choices = [dt.date(2026, 6, d) for d in (2, 9, 16, 23)] + [dt.date(2026, 5, 20), dt.date(2026, 7, 1), None]
+    dates = {u: rnd.choice(choices) for u in pool}
+    dates.update({u: dt.date(2026, 6, 11) for u in rnd.sample(pool, 4)})
+    kws = ["A", "B"]
+    rows, states, expected = [], [], {}
+    for s in range(60):
+        site = f"s{s}"
+        pages, sstates = {}, {}
+        for k in kws:
+            n = rnd.randint(1, 3)
+            for p in range(1, n + 1):
+                pages[(k, p)] = list(dict.fromkeys(rnd.sample(pool, rnd.randint(1, 4))))
+            pages[(k, n + 1)] = []
+            if rnd.random() < 0.2:
+                sstates[k] = (rnd.randint(1, 2), rnd.choice(pool), "running")
+        rows += [(site, k, p, l) for (k, p), l in pages.items()]
+        states += [(site, k, v[0], v[1], v[2]) for k, v in sstates.items()]
+        expected[site] = model_search(pages, sstates, set(), kws, 4, dates, dt.date(2026, 6, 15))
+    p = spark.createDataFrame(rows, "site string, keyword string, page int, links array<string>")
+    st = spark.createDataFrame(states, STATE)
+    ex = spark.createDataFrame([], "url string")
+    ud = spark.createDataFrame([(u, d) for u, d in dates.items()], "url string, d date") \
+        .select("url", F.col("d").cast("timestamp").alias("publication_date"))
+    assert sum(len(v[0]) for v in expected.values()) > 40  # the fixture yields real work
+    work, dups, end = keyword_search_plan(p, st, ex, max_pages=4, url_dates=ud, as_of="2026-06-15")
+    got = {}
+    for r in work.collect():
+        got.setdefault(r["site"], []).append((r["url"], r["page"], tuple(r["keywords"]), False))
+    ends = {(r["site"], r["keyword"]): (r["page_number"], r["status"]) for r in end.collect()}
+    for site, (out, sts) in expected.items():
+        assert sorted(got.get(site, [])) == out, site
+        for k, (pg, status) in sts.items():
+            if status == "completed":
+                assert ends.get((site, k)) == (pg, "completed"), (site, k, ends.get((site, k)), pg)
