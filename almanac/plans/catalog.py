@@ -831,7 +831,6 @@ def q_notice_outcomes(spark, sf):
     document outcomes, by URL).  Rows-only: the extractor has no SQL form."""
     from ..operators.records import process_notices
     from ..options import JobOptions
-    from ..sources.tables import RECORD_SCHEMA
     pages = table(spark, sf, "pages").select("url", "html")
     dim = _site_dimension(table(spark, sf, "pages"))
     gaz = dim.select("city", "province", (F.length("city") * 1.5).alias("latitude"),

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from almanac.operators.crawl import keyword_search_plan, listing_scan_plan
 

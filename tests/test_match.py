@@ -4,9 +4,6 @@ against a plain Python ``re`` model of the same rules."""
 import random
 import re
 
-import pytest
-from pyspark.sql import functions as F
-
 from almanac.functions import match as M
 from almanac.sources import fixed
 

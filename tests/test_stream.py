@@ -19,7 +19,6 @@ def test_stream_equals_batch(spark):
 def test_history_dedup_across_batches(spark, tmp_path):
     """Two files arriving in two micro-batches: keys already written in the
     first batch are not appended again by the second."""
-    from pyspark.sql import functions as F
     from almanac.streaming.ingest import dedup_history, file_stream
     src = tmp_path / "src"
     a = spark.createDataFrame([(1, 10), (2, 11), (1, 5)], "k long, t long")

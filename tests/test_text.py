@@ -64,3 +64,17 @@ def test_display_normalize_and_host(spark):
     assert one(spark, T.host_label(F.col("v")), "https://WindsorStar.remembering.ca/obituary/x") == "windsorstar"
     assert one(spark, T.host_label(F.col("v")), "not a url") is None
     assert one(spark, T.quote_plus(F.col("v")), "a b~c*d") == "a+b~c%2Ad"
+
+
+def test_sized_broadcast_and_spread(spark):
+    from almanac.sources.tables import sized_broadcast, spread
+    small = spark.range(10)
+    big = spark.range(1000)
+    assert "ResolvedHint" in small.hint("broadcast")._jdf.queryExecution().analyzed().toString()
+    plan_small = sized_broadcast(small, 100)._jdf.queryExecution().analyzed().toString()
+    plan_big = sized_broadcast(big, 100)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan_small.lower() and "broadcast" not in plan_big.lower()
+    one = spark.range(100).coalesce(1)
+    assert spread(one, 4).rdd.getNumPartitions() == 4
+    many = spark.range(100).repartition(8)
+    assert spread(many, 4) is many
