@@ -840,3 +840,20 @@ def q_notice_outcomes(spark, sf):
     opts = JobOptions(match_mode="simple", alumni_keywords=DOC_SIMPLE_KEYWORDS)
     out, _ = process_notices(pages, stored, dim, gaz, opts, link_prefix=LINK_PREFIX)
     return out
+
+
+@register("stream_notice_outcomes")
+def q_stream_notice_outcomes(spark, sf):
+    """J10 record flow: pages arriving as a file stream, processed per batch
+    by the same plan as ``notice_outcomes``.  Rows-only (HTML extractor)."""
+    from ..options import JobOptions
+    from ..streaming.ingest import file_stream, new_run_dir, notices_stream
+    d = new_run_dir(spark, "notices")
+    pages = table(spark, sf, "pages")
+    stream = file_stream(spark, sf.rstrip("/"), pages.schema, glob="pages.parquet").select("url", "html")
+    dim = _site_dimension(pages)
+    gaz = dim.select("city", "province", (F.length("city") * 1.5).alias("latitude"),
+                     (F.length("province") * -2.0).alias("longitude"))
+    opts = JobOptions(match_mode="simple", alumni_keywords=DOC_SIMPLE_KEYWORDS)
+    notices_stream(stream, f"{d}/records", f"{d}/outcomes", dim, gaz, f"{d}/checkpoint", opts, LINK_PREFIX)
+    return spark.read.parquet(f"{d}/outcomes").drop("batch_id")

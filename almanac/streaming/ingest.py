@@ -108,3 +108,36 @@ def complete_table(agg: DataFrame, sink: str, checkpoint: str, available_now: bo
 def current_month_only(stream: DataFrame, ts: str, as_of: str) -> DataFrame:
     """Keep rows whose content date is in the ``as_of`` month."""
     return stream.where(D.is_current_month(F.col(ts), as_of))
+
+
+def notices_stream(pages_stream: DataFrame, records_path: str, outcomes_path: str, sites: DataFrame,
+                   gazetteer: DataFrame, checkpoint: str, options=None, link_prefix: str = "/obituary/",
+                   available_now: bool = True):
+    """J10 over the record flow: each micro-batch of fetched pages runs the
+    same extract -> match -> admit -> enrich plan as the batch job
+    (:func:`almanac.operators.records.process_notices`) against the records
+    written by earlier batches, then appends its outcomes and new records.
+
+    Exactly once: both tables are partitioned by ``batch_id`` and a batch
+    overwrites only its own partition (dynamic partition overwrite), reading
+    history from earlier batch ids only, so a batch replayed after a failure
+    produces the same rows and replaces its first attempt."""
+    from ..operators.admit import first_seen
+    from ..operators.records import process_notices
+    from ..sources.tables import RECORD_SCHEMA
+
+    def write_batch(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        try:
+            records = spark.read.parquet(records_path).where(F.col("batch_id") < batch_id).drop("batch_id")
+        except Exception as e:  # first batch: no history yet
+            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+                raise
+            records = spark.createDataFrame([], RECORD_SCHEMA)
+        out, new = process_notices(batch, records, sites, gazetteer, options, link_prefix=link_prefix)
+        new = first_seen(new, "obituary_url", ["id"]).select(*[f.name for f in RECORD_SCHEMA.fields])
+        for df, path in ((out, outcomes_path), (new, records_path)):
+            (df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+               .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+
+    return _run(pages_stream.writeStream.foreachBatch(write_batch), checkpoint, available_now)
