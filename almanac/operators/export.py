@@ -37,7 +37,10 @@ def write_csv(rows: DataFrame, path: str, single_file: bool = True) -> None:
     """UTF-8 with BOM, header, CRLF, minimal quoting with doubled
     quotes.  ``single_file`` is for the human download only (one writer
     task); the BOM rides on the first header cell so no file is rewritten
-    afterwards.  Bulk exports should pass ``single_file=False``."""
+    afterwards.  Bulk exports should pass ``single_file=False``.  Exporting
+    nothing is an error, as in the original download."""
+    if rows.isEmpty():  # bounded check (one row at most)
+        raise ValueError("No records available to export")
     out = rows.coalesce(1) if single_file else rows
     first = out.columns[0]
     if single_file:

@@ -88,15 +88,25 @@ def keyword_label(c) -> Column:
     return F.when(c == fixed.LISTING_STATE_KEYWORD, F.lit(fixed.LISTING_LABEL)).otherwise(c)
 
 
+def iso_text(ts) -> Column:
+    """ISO-8601 text as Python's ``isoformat()``: seconds, plus six fraction
+    digits only when the microseconds are not zero; NULL stays NULL."""
+    t = _col(ts)
+    frac = F.date_format(t, "SSSSSS")
+    return F.when(frac != "000000", F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")) \
+        .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"))
+
+
 def project_run(runs: DataFrame) -> DataFrame:
-    """The 12 public fields of a run, ISO timestamps, NULL-safe."""
-    iso = "yyyy-MM-dd'T'HH:mm:ss"
+    """The 12 public fields of a run: ISO timestamps, the keyword shown
+    with its display label and kept raw, counters NULL-safe."""
     return runs.select(
         "id", "status",
-        F.date_format("started_at", iso).alias("started_at"),
-        F.date_format("finished_at", iso).alias("finished_at"),
-        "city", "search_keyword",
-        keyword_label("search_keyword").alias("search_keyword_label"),
+        iso_text("started_at").alias("started_at"),
+        iso_text("finished_at").alias("finished_at"),
+        "city",
+        keyword_label("search_keyword").alias("search_keyword"),
+        F.col("search_keyword").alias("search_keyword_raw"),
         "page_number",
         F.coalesce("saved_count", F.lit(0)).alias("saved_count"),
         F.coalesce("skipped_count", F.lit(0)).alias("skipped_count"),

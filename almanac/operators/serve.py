@@ -204,7 +204,8 @@ def json_projection(records: DataFrame, columns=None) -> DataFrame:
     cols = []
     for c in (columns or fixed.JSON_COLUMNS):
         if c == "publication_date":
-            cols.append(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c))
+            from .ledger import iso_text
+            cols.append(iso_text(c).alias(c))
         else:
             cols.append(F.col(c))
     return records.select(*cols)

@@ -598,9 +598,13 @@ FROM runs
 """
 
 ORACLE["latest_run"] = _RUNS + """
-SELECT id, status, strftime(started_at, '%Y-%m-%dT%H:%M:%S') AS started_at,
-       strftime(finished_at, '%Y-%m-%dT%H:%M:%S') AS finished_at, city, search_keyword,
-       CASE WHEN search_keyword = '__listing__' THEN 'Listing scan' ELSE search_keyword END AS search_keyword_label,
+SELECT id, status,
+       strftime(started_at, '%Y-%m-%dT%H:%M:%S')
+         || CASE WHEN strftime(started_at, '%f') <> '000000' THEN '.' || strftime(started_at, '%f') ELSE '' END AS started_at,
+       strftime(finished_at, '%Y-%m-%dT%H:%M:%S')
+         || CASE WHEN strftime(finished_at, '%f') <> '000000' THEN '.' || strftime(finished_at, '%f') ELSE '' END AS finished_at,
+       city, CASE WHEN search_keyword = '__listing__' THEN 'Listing scan' ELSE search_keyword END AS search_keyword,
+       search_keyword AS search_keyword_raw,
        page_number, coalesce(saved_count, 0) AS saved_count, coalesce(skipped_count, 0) AS skipped_count,
        coalesce(duplicate_count, 0) AS duplicate_count, error_message
 FROM runs ORDER BY id DESC LIMIT 1

@@ -83,6 +83,8 @@ def test_csv_export(records, tmp_path):
     data = open(glob.glob(out + "/part-*.csv")[0], "rb").read()
     assert data.startswith("﻿id,name".encode("utf-8"))
     assert b"\r\n" in data and data.count(b"\r\n") == 3
+    with pytest.raises(ValueError):
+        write_csv(rows.where("false"), str(tmp_path / "none"))
 
 
 def test_point_lookup_and_json(records):
