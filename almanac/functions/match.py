@@ -17,6 +17,7 @@ from ..sources import fixed
 from . import text as T
 
 OCC_TYPE = "array<struct<start:int,rank:int,end:int,keyword:string>>"
+MATCH_TYPE = "struct<institution:string,status:string,matched_text:string>"
 
 
 def _col(c) -> Column:
@@ -68,6 +69,8 @@ def occurrences(text, keywords) -> Column:
     (longest keyword first, then alphabetical)."""
     text = _col(text)
     kws = fixed.longest_first(keywords)
+    if not kws:
+        return F.array().cast(OCC_TYPE)
     arrays = [_occurrences_of(text, k, i) for i, k in enumerate(kws)]
     allocc = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
     return F.array_sort(allocc)
@@ -85,9 +88,11 @@ def with_proximity_match(df: DataFrame, text, out: str = "match", institutions=N
     row (Catalyst keeps projections apart when a collapse would repeat
     them), and a cheap ``rlike`` on both keyword sets guards span building,
     so only documents that can match pay for it."""
-    institutions = list(institutions or fixed.DEFAULT_INSTITUTION_KEYWORDS)
-    statuses = list(statuses or fixed.DEFAULT_STATUS_KEYWORDS)
+    institutions = list(fixed.DEFAULT_INSTITUTION_KEYWORDS if institutions is None else institutions)
+    statuses = list(fixed.DEFAULT_STATUS_KEYWORDS if statuses is None else statuses)
     window = max(1, int(window))
+    if not fixed.longest_first(institutions) or not fixed.longest_first(statuses):
+        return df.withColumn(out, F.lit(None).cast(MATCH_TYPE))  # nothing to match
     from ..sources.tables import spread
     t, inst, stat, pair = "_pm_t", "_pm_inst", "_pm_stat", "_pm_pair"
     df = spread(df).withColumn(t, T.collapse_ws(text))
@@ -118,7 +123,9 @@ def with_proximity_match(df: DataFrame, text, out: str = "match", institutions=N
 def with_simple_match(df: DataFrame, text, out: str = "match", keywords=None) -> DataFrame:
     """M4: adds ``out`` = the longest keyword contained in the text
     (case-insensitive substring, no word boundary), status 'simple_keyword'."""
-    kws = fixed.longest_first(keywords or fixed.DEFAULT_SEARCH_KEYWORDS)
+    kws = fixed.longest_first(fixed.DEFAULT_SEARCH_KEYWORDS if keywords is None else keywords)
+    if not kws:
+        return df.withColumn(out, F.lit(None).cast(MATCH_TYPE))
     low = F.lower(F.coalesce(_col(text), F.lit("")))
     df = df.withColumn("_sm_hit", F.coalesce(*[F.when(F.contains(low, F.lit(k.lower())), F.lit(k)) for k in kws]))
     hit = F.col("_sm_hit")

@@ -92,3 +92,8 @@ def test_randomised_against_model(spark):
     got = run(spark, texts, window=40)
     want = [model(t, fixed.DEFAULT_INSTITUTION_KEYWORDS, fixed.DEFAULT_STATUS_KEYWORDS, 40) for t in texts]
     assert got == want
+
+
+def test_empty_keyword_sets_match_nothing(spark):
+    assert run(spark, ["graduate of University of Windsor"], institutions=[]) == [None]
+    assert run(spark, ["graduate of University of Windsor"], mode="simple", keywords=[]) == [None]
