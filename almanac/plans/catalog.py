@@ -369,9 +369,9 @@ def _doc_sites(spark, sf):
 
 
 def _gazetteer(spark, sf):
-    """Gazetteer: coordinates for even-keyed nations only (others miss)."""
+    """Gazetteer: coordinates for nations outside EUROPE (European cities miss)."""
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    return (n.join(r, n.n_regionkey == r.r_regionkey).where(F.col("n_nationkey") % 2 == 0)
+    return (n.join(r, n.n_regionkey == r.r_regionkey).where(F.col("r_name") != "EUROPE")
              .select(F.col("n_name").alias("city"), F.col("r_name").alias("province"),
                      (F.col("n_nationkey") * 2.5 - 30.0).alias("latitude"),
                      (F.col("n_regionkey") * 15.0 - 100.0).alias("longitude")))
@@ -475,10 +475,10 @@ def _event_pages(spark, sf):
 def _event_state(spark, sf):
     """Progress state per user: the last error event marks where a run
     stopped ('completed' when its value is high, else 'running'); for every
-    fifth user the stored URL is no longer on the page."""
+    state whose error value is below 10 the stored URL is no longer on the page."""
     e = _event_pages(spark, sf).where(F.col("event_type") == "error")
     last = e.groupBy("user_id").agg(F.max_by(F.struct("page", "url", "value"), F.col("event_id")).alias("s"))
-    url = F.when(F.col("user_id") % 5 == 0, F.lit("https://gone.example.com/x")).otherwise(F.col("s.url"))
+    url = F.when(F.col("s.value") < 10, F.lit("https://gone.example.com/x")).otherwise(F.col("s.url"))
     return last.select("user_id", F.col("s.page").alias("page_number"), url.alias("last_processed_url"),
                        F.when(F.col("s.value") > 45, F.lit("completed")).otherwise(F.lit("running")).alias("status"))
 
@@ -642,8 +642,8 @@ def _order_records(spark, sf):
         F.concat(F.lit("https://example.com/obituary/"), F.col("o_orderkey").cast("string")).alias("obituary_url"),
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("updated")).otherwise(F.lit("new")).alias("tags"),
         F.when(F.col("o_orderstatus") == "P", F.lit(None)).otherwise(F.col("o_orderstatus") == "F").alias("is_alumni"),
-        F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") * 2.5 - 30.0).alias("latitude"),
-        F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey") * 15.0 - 100.0).alias("longitude"),
+        F.when(F.col("r_name") != "EUROPE", F.col("n_nationkey") * 2.5 - 30.0).alias("latitude"),
+        F.when(F.col("r_name") != "EUROPE", F.col("n_regionkey") * 15.0 - 100.0).alias("longitude"),
         F.concat(F.lit("  Order\t"), F.col("o_orderpriority"), F.lit("  for\n "), F.col("c_name"), F.lit(" ")).alias("family_information"),
         F.lit("").alias("donation_information"))
 

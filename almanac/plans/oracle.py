@@ -407,7 +407,7 @@ sites AS (SELECT 'src' || CAST(n_nationkey AS VARCHAR) AS subdomain, n_name AS c
           FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'AFRICA'),
 gaz AS (SELECT n_name AS g_city, r_name AS g_prov, CAST(n_nationkey * 2.5 - 30.0 AS DOUBLE) AS g_lat,
                CAST(n_regionkey * 15.0 - 100.0 AS DOUBLE) AS g_lon
-        FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0),
+        FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'EUROPE'),
 j AS (SELECT m.*, ex.*, sites.city, sites.province, g_lat, g_lon,
              (first_name IS NOT NULL AND last_name IS NOT NULL) AS has_name,
              institution IS NOT NULL AS matched, ex_key IS NOT NULL AS dup, sites.city IS NOT NULL AS known
@@ -499,7 +499,7 @@ ev AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS page, event_id,
 st0 AS (SELECT user_id, arg_max(page, event_id) AS page_number, arg_max(url, event_id) AS u,
                arg_max(value, event_id) AS v FROM ev WHERE event_type = 'error' GROUP BY user_id),
 state AS (SELECT user_id, page_number,
-                 CASE WHEN user_id % 5 = 0 THEN 'https://gone.example.com/x' ELSE u END AS last_processed_url,
+                 CASE WHEN v < 10 THEN 'https://gone.example.com/x' ELSE u END AS last_processed_url,
                  CASE WHEN v > 45 THEN 'completed' ELSE 'running' END AS status FROM st0)
 """
 
@@ -636,8 +636,8 @@ r AS (SELECT o_orderkey AS id, concat_ws(' ', c_mktsegment, c_name) AS name,
              'https://example.com/obituary/' || CAST(o_orderkey AS VARCHAR) AS obituary_url,
              CASE WHEN o_orderpriority = '1-URGENT' THEN 'updated' ELSE 'new' END AS tags,
              CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus = 'F' END AS is_alumni,
-             CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 2.5 - 30.0 END AS latitude,
-             CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey * 15.0 - 100.0 END AS longitude,
+             CASE WHEN r_name <> 'EUROPE' THEN n_nationkey * 2.5 - 30.0 END AS latitude,
+             CASE WHEN r_name <> 'EUROPE' THEN n_regionkey * 15.0 - 100.0 END AS longitude,
              '  Order' || chr(9) || o_orderpriority || '  for' || chr(10) || ' ' || c_name || ' ' AS family_information,
              '' AS donation_information FROM j)
 SELECT CAST(id AS VARCHAR) AS id, {_collapse('name')} AS name,
