@@ -11,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CANONICAL = "MMMM dd, yyyy"
-# Accepted inputs, tried in order.
+from ..sources import fixed
+from ..sources.fixed import BODY_DATE_PATTERNS, PUBLISHED_IN_PAGE, PUBLISHED_PREFIX  # noqa: F401
+
+CANONICAL = fixed.CANONICAL_DATE
+# Accepted inputs, tried in order (our fixed list, see the module note).
 FORMATS = [
     "MMMM d, yyyy",
     "MMM d, yyyy",
@@ -22,22 +25,6 @@ FORMATS = [
     "M/d/yyyy",
 ]
 
-MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-MONTHS_ABBR = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
-# Body date patterns in priority order (the first one that matches anywhere
-# decides).
-BODY_DATE_PATTERNS = [
-    r"(?i)\b(?:" + MONTHS + r")\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4}\b",
-    r"(?i)\b(?:" + MONTHS_ABBR + r")\.?\s+\d{1,2},?\s+\d{4}\b",
-    r"(?i)\b\d{1,2}/\d{1,2}/\d{2,4}\b",
-    r"(?i)\b\d{1,2}-\d{1,2}-\d{2,4}\b",
-    r"(?i)\b(?:" + MONTHS + r")\s+\d{1,2}\b",
-    r"(?i)\b(?:" + MONTHS_ABBR + r")\s+\d{1,2}\b",
-    r"(?i)\b\d{4}\b",
-]
-PUBLISHED_PREFIX = r"(?i)^Published(?:\s+online|\s+on)?\s+"
-PUBLISHED_IN_PAGE = r"(?i)(Published(?:\s+online|\s+on)?\s+[A-Za-z]+\s+\d{1,2},\s+\d{4})"
-
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -63,8 +50,8 @@ def year_from_text(c) -> Column:
     """first free-standing 4-digit number; else two trailing digits after
     '/', '-' or whitespace read as 2000+yy."""
     c = _col(c)
-    four = F.regexp_extract(c, r"\b(\d{4})\b", 1)
-    two = F.regexp_extract(c, r"(?:/|-|,?\s+)(\d{2})$", 1)
+    four = F.regexp_extract(c, fixed.YEAR_FOUR_DIGITS, 1)
+    two = F.regexp_extract(c, fixed.YEAR_TWO_TRAILING, 1)
     return F.coalesce(
         F.nullif(four, F.lit("")).try_cast("int"),
         F.nullif(two, F.lit("")).try_cast("int") + F.lit(2000),
@@ -78,7 +65,7 @@ def first_body_date(c) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 0), F.lit("")) for p in BODY_DATE_PATTERNS])
 
 
-def death_date_from_body(c, min_year_exclusive: int = 2000) -> Column:
+def death_date_from_body(c, min_year_exclusive: int = fixed.MIN_DEATH_YEAR_EXCLUSIVE) -> Column:
     """the candidate, kept only if its year is after 2000."""
     cand = first_body_date(c)
     return F.when(year_from_text(cand) > min_year_exclusive, cand)
@@ -140,7 +127,7 @@ def with_body_dates(df, body, header=None, prefix: str = "") -> "DataFrame":
     c, y = prefix + "candidate", prefix + "candidate_year"
     df = spread(df).withColumn(c, first_body_date(body))
     df = df.withColumn(y, year_from_text(F.col(c)))
-    body_death = F.when(F.col(y) > 2000, F.col(c))
+    body_death = F.when(F.col(y) > fixed.MIN_DEATH_YEAR_EXCLUSIVE, F.col(c))
     if header is None:
         return (df.withColumn(prefix + "birth_date", F.lit(None).cast("string"))
                   .withColumn(prefix + "death_date", body_death))

@@ -7,6 +7,8 @@ whitespace or word characters carries the ``(?U)`` flag.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ def clean_name(c) -> Column:
     """Collapse whitespace, then drop the suffix ' Obituary' and then
     ' obituary' (each at most once, in that order)."""
     x = collapse_ws(c)
-    x = F.regexp_replace(x, r" Obituary$", "")
-    x = F.regexp_replace(x, r" obituary$", "")
+    for suffix in fixed.NAME_SUFFIXES:
+        x = F.regexp_replace(x, F.lit(suffix + "$"), F.lit(""))
     return F.trim(x)
 
 
@@ -57,7 +59,7 @@ def split_name(c) -> Column:
 
 def title_name(c) -> Column:
     """Text before the first ' Obituary' of a page title."""
-    return F.substring_index(F.coalesce(_col(c), F.lit("")), " Obituary", 1)
+    return F.substring_index(F.coalesce(_col(c), F.lit("")), fixed.TITLE_NAME_CUT, 1)
 
 
 def strip_lastname(full, last) -> Column:
@@ -75,8 +77,8 @@ def display_normalize(c) -> Column:
     ``c`` should be a column reference (it is read twice)."""
     c = _col(c)
     t = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), _WS, " ")
-    t = F.regexp_replace(t, r"(?<=[a-z0-9,;:])(?=[A-Z])", " ")
-    t = F.regexp_replace(t, r"(?<=[.!?])(?=[A-Z])", " ")
+    t = F.regexp_replace(t, fixed.GLUE_AFTER_LOWER, " ")
+    t = F.regexp_replace(t, fixed.GLUE_AFTER_STOP, " ")
     return F.when(c.isNull() | is_blank_sentinel(c), F.lit("")).otherwise(F.trim(t))
 
 
@@ -93,13 +95,13 @@ def with_clean_body(df: DataFrame, text, name=None, out: str = "cleaned") -> Dat
     from ..sources.tables import spread
     s0, s1, s2, s3 = "_cb0", "_cb1", "_cb2", "_cb3"
     df = spread(df).withColumn(s0, _col(text))
-    df = df.withColumn(s1, F.regexp_replace(display_normalize(s0), r"(?iU)\bObituary\s+Events\s+Guestbook\s+Share\b", " "))
+    df = df.withColumn(s1, F.regexp_replace(display_normalize(s0), "(?iU)" + fixed.NAV_PHRASE, " "))
     last = s1
     if name is not None:
         df = df.withColumn("_cbn", _col(name))
         nm = F.trim(F.col("_cbn"))
         q = F.concat(F.lit(r"\Q"), F.replace(nm, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-        date = r"[A-Za-z]+\s+\d{1,2},\s+\d{4}"
+        date = fixed.HEADER_DATE
         header = F.concat(F.lit(r"(?iU)^(?:"), q, F.lit(r"\s*)?(?:" + date + r"\s*-\s*" + date + r"\s*)?(?:"),
                           q, F.lit(r"\s*)+"))
         has_name = nm.isNotNull() & (nm != "")
@@ -108,15 +110,15 @@ def with_clean_body(df: DataFrame, text, name=None, out: str = "cleaned") -> Dat
         title = F.concat(F.col("_cbn"), F.lit(" Obituary"))
         df = df.withColumn("_cbi", F.instr(F.lower(F.col(s2)), F.lower(title)))  # 1-based, 0 = absent
         idx = F.col("_cbi")
-        df = df.withColumn(s3, F.when(has_name & (idx > 0) & (idx <= 500),
+        df = df.withColumn(s3, F.when(has_name & (idx > 0) & (idx <= fixed.TITLE_INDEX_LIMIT),
                                       F.trim(F.substring(F.col(s2), idx + F.length(title), 1 << 30)))
                            .otherwise(F.col(s2)))
         last = s3
-    df = df.withColumn(out, F.trim(F.regexp_replace(F.col(last), r"(?U)^(Obituary|Events|Guestbook|Share)\b", "")))
+    df = df.withColumn(out, F.trim(F.regexp_replace(F.col(last), "(?U)" + fixed.NAV_WORD_AT_START, "")))
     return df.drop(s0, s1, s2, s3, "_cbn", "_cbi")
 
 
-SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z\"'])"
+SENTENCE_BREAK = fixed.SENTENCE_BREAK
 
 
 def with_paragraphs(df: DataFrame, text, name=None, out: str = "paragraphs") -> DataFrame:
@@ -141,17 +143,17 @@ def with_donation_items(df: DataFrame, text, out: str = "donation_items") -> Dat
     df = df.withColumn("_di_in", _col(text))
     df = df.withColumn("_di_t", display_normalize("_di_in"))
     t = F.col("_di_t")
-    parts = F.filter(F.split(t, r";|\n", -1), lambda s: F.trim(s) != "")
+    parts = F.filter(F.split(t, fixed.DONATION_ITEM_SPLIT, -1), lambda s: F.trim(s) != "")
     items = F.transform(parts, lambda s: F.regexp_replace(F.trim(s), r"\.+$", ""))
     df = df.withColumn(out, F.when(t == "", F.array().cast("array<string>")).otherwise(items))
     return df.drop("_di_in", "_di_t")
 
 
-def sentence_filter(text, terms=None, sep: str = "; ") -> Column:
+def sentence_filter(text, terms=None, sep: str = fixed.DONATION_JOIN) -> Column:
     """split on '. ', keep pieces whose lower-cased text contains any term,
     join with '; '."""
     terms = list(terms or fixed.DONATION_TERMS)
-    pieces = F.split(F.coalesce(_col(text), F.lit("")), r"\. ", -1)
+    pieces = F.split(F.coalesce(_col(text), F.lit("")), re.escape(fixed.DONATION_SENTENCE_SPLIT), -1)
 
     def keep(s):
         low = F.lower(s)

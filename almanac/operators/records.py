@@ -16,7 +16,7 @@ from .admit import outcomes
 
 def process_notices(record_pages: DataFrame, records: DataFrame, sites: DataFrame, gazetteer: DataFrame,
                     options: JobOptions | None = None, url_col: str = "url", html_col: str = "html",
-                    link_prefix: str = "/obituary/"):
+                    link_prefix: str = fixed.RECORD_LINK_PREFIX):
     """Returns ``(outcome_rows, new_records)``.
 
     ``record_pages``: fetched notice pages (url, html); ``records``: the

@@ -110,6 +110,45 @@ JSON_COLUMNS = [
     "birth_date", "death_date", "publication_date", "is_alumni", "tags",
     "latitude", "longitude",
 ]
+
+# Patterns, formats and selectors that decide parity with the original.
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+MONTHS_ABBR = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+# body date patterns, in priority order
+BODY_DATE_PATTERNS = [
+    r"(?i)\b(?:" + MONTHS + r")\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4}\b",
+    r"(?i)\b(?:" + MONTHS_ABBR + r")\.?\s+\d{1,2},?\s+\d{4}\b",
+    r"(?i)\b\d{1,2}/\d{1,2}/\d{2,4}\b",
+    r"(?i)\b\d{1,2}-\d{1,2}-\d{2,4}\b",
+    r"(?i)\b(?:" + MONTHS + r")\s+\d{1,2}\b",
+    r"(?i)\b(?:" + MONTHS_ABBR + r")\s+\d{1,2}\b",
+    r"(?i)\b\d{4}\b",
+]
+YEAR_FOUR_DIGITS = r"\b(\d{4})\b"
+YEAR_TWO_TRAILING = r"(?:/|-|,?\s+)(\d{2})$"
+MIN_DEATH_YEAR_EXCLUSIVE = 2000
+PUBLISHED_PREFIX = r"(?i)^Published(?:\s+online|\s+on)?\s+"
+PUBLISHED_IN_PAGE = r"(?i)(Published(?:\s+online|\s+on)?\s+[A-Za-z]+\s+\d{1,2},\s+\d{4})"
+CANONICAL_DATE = "MMMM dd, yyyy"
+NAME_SUFFIXES = [" Obituary", " obituary"]
+TITLE_NAME_CUT = " Obituary"
+GLUE_AFTER_LOWER = r"(?<=[a-z0-9,;:])(?=[A-Z])"
+GLUE_AFTER_STOP = r"(?<=[.!?])(?=[A-Z])"
+NAV_PHRASE = r"\bObituary\s+Events\s+Guestbook\s+Share\b"
+HEADER_DATE = r"[A-Za-z]+\s+\d{1,2},\s+\d{4}"
+NAV_WORD_AT_START = r"^(Obituary|Events|Guestbook|Share)\b"
+TITLE_INDEX_LIMIT = 500
+SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z\"'])"
+DONATION_ITEM_SPLIT = r";|\n"
+DONATION_SENTENCE_SPLIT = ". "
+DONATION_JOIN = "; "
+RECORD_LINK_PREFIX = "/obituary/"
+# element selectors read from a notice page, in cascade order
+BODY_SELECTORS = [("span", "details-copy"), (None, "details-copy"), ("article", None), ("main", None)]
+TESTID_SELECTORS = ["desktop-menu-fullname", "mobile-menu-fullname", "main-fullname"]
+PUBLISHED_SELECTORS = [("div", "details-published"), ("span", "details-published"),
+                       ("p", "details-published"), ("div", "published"), ("span", "published"),
+                       ("time", None)]
 # --- end FIXED VALUES ------------------------------------------------------
 
 

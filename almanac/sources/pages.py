@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from . import fixed
 
 NA = "N/A"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
@@ -36,12 +37,11 @@ RAW_SCHEMA = (
     "funeral_home string, links array<string>"
 )
 
-# selectors the pipeline reads, in cascade order
-BODY_SELECTORS = [("span", "details-copy"), (None, "details-copy"), ("article", None), ("main", None)]
-TESTID_SELECTORS = ["desktop-menu-fullname", "mobile-menu-fullname", "main-fullname"]
-PUBLISHED_SELECTORS = [("div", "details-published"), ("span", "details-published"),
-                       ("p", "details-published"), ("div", "published"), ("span", "published"),
-                       ("time", None)]
+# plain values copied here: the row path below is shipped to workers by value
+PHRASE_PATTERN = fixed.PUBLISHED_IN_PAGE
+BODY_SELECTORS = fixed.BODY_SELECTORS
+TESTID_SELECTORS = fixed.TESTID_SELECTORS
+PUBLISHED_SELECTORS = fixed.PUBLISHED_SELECTORS
 
 
 class _Node:
@@ -123,7 +123,7 @@ def _raw_fields(url, html, link_prefix):
     import re
     global _PHRASE
     if _PHRASE is None:
-        _PHRASE = re.compile(r"(Published(?:\s+online|\s+on)?\s+[A-Za-z]+\s+\d{1,2},\s+\d{4})", re.I)
+        _PHRASE = re.compile(PHRASE_PATTERN)
     b = _TreeBuilder()
     try:
         b.feed(html or "")
@@ -167,7 +167,7 @@ def _raw_fields(url, html, link_prefix):
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def raw_page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix="/obituary/") -> DataFrame:
+def raw_page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix=fixed.RECORD_LINK_PREFIX) -> DataFrame:
     """Arrow-batched extractor: one output row per page with the raw
     selector texts (schema ``RAW_SCHEMA``)."""
     cols = [c.split()[0] for c in RAW_SCHEMA.split(", ")]
@@ -182,7 +182,7 @@ def raw_page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefi
         .mapInPandas(run, RAW_SCHEMA)
 
 
-def page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix="/obituary/") -> DataFrame:
+def page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix=fixed.RECORD_LINK_PREFIX) -> DataFrame:
     """P1-P8 + P11: the record fields of each page.
 
     name (P3): (a) the obit-name header minus the upper-case last name,

@@ -111,7 +111,7 @@ def current_month_only(stream: DataFrame, ts: str, as_of: str) -> DataFrame:
 
 
 def notices_stream(pages_stream: DataFrame, records_path: str, outcomes_path: str, sites: DataFrame,
-                   gazetteer: DataFrame, checkpoint: str, options=None, link_prefix: str = "/obituary/",
+                   gazetteer: DataFrame, checkpoint: str, options=None, link_prefix: str | None = None,
                    available_now: bool = True):
     """J10 over the record flow: each micro-batch of fetched pages runs the
     same extract -> match -> admit -> enrich plan as the batch job
@@ -134,7 +134,9 @@ def notices_stream(pages_stream: DataFrame, records_path: str, outcomes_path: st
             if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
                 raise
             records = spark.createDataFrame([], RECORD_SCHEMA)
-        out, new = process_notices(batch, records, sites, gazetteer, options, link_prefix=link_prefix)
+        from ..sources import fixed
+        out, new = process_notices(batch, records, sites, gazetteer, options,
+                                   link_prefix=link_prefix or fixed.RECORD_LINK_PREFIX)
         new = first_seen(new, "obituary_url", ["id"]).select(*[f.name for f in RECORD_SCHEMA.fields])
         for df, path in ((out, outcomes_path), (new, records_path)):
             (df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
