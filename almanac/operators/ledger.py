@@ -27,7 +27,8 @@ def run_counters(outcomes: DataFrame, run_key: str, status: str = "status", is_a
     missing outcome and anything else; 'stopped' counts nothing.  The last
     error message (default text when blank) is kept, cut to 4000 chars."""
     s = _col(status)
-    saved = (s == fixed.SAVED) | (s.isNull() & F.coalesce(_col(is_alumni), F.lit(False)))
+    alumni = _col(is_alumni) if is_alumni in outcomes.columns else F.lit(False)
+    saved = (s == fixed.SAVED) | (s.isNull() & F.coalesce(alumni, F.lit(False)))
     dup = s == fixed.DUPLICATE
     stopped = s == fixed.STOPPED
     skipped = ~F.coalesce(saved, F.lit(False)) & ~F.coalesce(dup, F.lit(False)) & ~F.coalesce(stopped, F.lit(False))
@@ -117,3 +118,42 @@ def project_run(runs: DataFrame) -> DataFrame:
 def latest_run(runs: DataFrame, id_col: str = "id") -> DataFrame:
     """O3: the run with the highest id (a distributed top-1)."""
     return runs.orderBy(F.desc(id_col)).limit(1)
+
+
+def run_totals(run_id, outcomes: DataFrame | None = None, duplicates: DataFrame | None = None,
+               skipped_keys: DataFrame | None = None, failed: bool = False, stopped: bool = False,
+               started_at=None, finished_at=None, status: str = "status", error: str = "error",
+               order=None) -> DataFrame:
+    """T8 + T12: one run row from the run's pieces: processed ``outcomes``
+    (A9 rules), URLs found already stored (``duplicates``: +1 duplicate
+    each), plan keys skipped as completed (``skipped_keys``: +1 skipped
+    each), and the end status failed > stopped > success.  Counts are
+    aggregates; nothing is collected."""
+    from functools import reduce
+    parts = []
+    if outcomes is not None:
+        parts.append(run_counters(outcomes.withColumn("_run", F.lit(run_id)), "_run", status=status,
+                                  error=error, order=order))
+    if duplicates is not None:
+        parts.append(duplicates.agg(F.lit(run_id).alias("_run"), F.lit(0).cast("long").alias("saved_count"),
+                                    F.lit(0).cast("long").alias("skipped_count"),
+                                    F.count(F.lit(1)).alias("duplicate_count"),
+                                    F.lit(None).cast("string").alias("error_message")))
+    if skipped_keys is not None:
+        parts.append(skipped_keys.agg(F.lit(run_id).alias("_run"), F.lit(0).cast("long").alias("saved_count"),
+                                      F.count(F.lit(1)).alias("skipped_count"),
+                                      F.lit(0).cast("long").alias("duplicate_count"),
+                                      F.lit(None).cast("string").alias("error_message")))
+    if not parts:
+        raise ValueError("run_totals needs at least one of outcomes, duplicates, skipped_keys")
+    allp = reduce(lambda a, b: a.unionByName(b), parts)
+    tot = allp.groupBy("_run").agg(
+        F.sum("saved_count").alias("saved_count"), F.sum("skipped_count").alias("skipped_count"),
+        F.sum("duplicate_count").alias("duplicate_count"),
+        F.max("error_message").alias("error_message"))
+    return tot.select(
+        F.col("_run").alias("id"),
+        final_run_status(F.lit(failed), F.lit(stopped)).alias("status"),
+        F.lit(started_at).cast("timestamp").alias("started_at"),
+        F.lit(finished_at).cast("timestamp").alias("finished_at"),
+        "saved_count", "skipped_count", "duplicate_count", "error_message")

@@ -55,3 +55,14 @@ def test_tags(spark):
     assert got == {1: "updated", 2: "new", 3: "updated"}
     _, rejected = curate.split_tag_changes(ch)
     assert rejected.count() == 1
+
+
+def test_run_totals(spark):
+    out = spark.createDataFrame([("saved", None, 1), ("skipped", None, 2), ("error", "boom", 3)],
+                                "status string, error string, seq int")
+    dups = spark.createDataFrame([("u1",), ("u2",)], "url string")
+    skipped = spark.createDataFrame([("s", "k")], "site string, keyword string")
+    r = ledger.run_totals(7, out, dups, skipped, order=F.col("seq")).first()
+    assert (r["id"], r["status"], r["saved_count"], r["skipped_count"], r["duplicate_count"]) == (7, "success", 1, 3, 2)
+    assert r["error_message"] == "boom"
+    assert ledger.run_totals(8, duplicates=dups, stopped=True).first()["status"] == "stopped"
