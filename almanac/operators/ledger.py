@@ -28,12 +28,13 @@ def run_counters(outcomes: DataFrame, run_key: str, status: str = "status", is_a
     error message (default text when blank) is kept, cut to 4000 chars."""
     s = _col(status)
     alumni = _col(is_alumni) if is_alumni in outcomes.columns else F.lit(False)
+    err = _col(error) if error in outcomes.columns else F.lit(None).cast("string")
     saved = (s == fixed.SAVED) | (s.isNull() & F.coalesce(alumni, F.lit(False)))
     dup = s == fixed.DUPLICATE
     stopped = s == fixed.STOPPED
     skipped = ~F.coalesce(saved, F.lit(False)) & ~F.coalesce(dup, F.lit(False)) & ~F.coalesce(stopped, F.lit(False))
     ordering = order if order is not None else F.lit(0)
-    msg = F.when(s == fixed.ERROR, F.coalesce(F.nullif(_col(error), F.lit("")), F.lit("Obituary processing error.")))
+    msg = F.when(s == fixed.ERROR, F.coalesce(F.nullif(err, F.lit("")), F.lit("Obituary processing error.")))
     return outcomes.groupBy(run_key).agg(
         F.count_if(F.coalesce(saved, F.lit(False))).alias("saved_count"),
         F.count_if(skipped).alias("skipped_count"),
