@@ -80,7 +80,7 @@ def model(text, institutions, statuses, window):
 
 
 WORDS = ["the", "of", "Windsor", "University", "graduate", "B.A.", "alumni", "x", "é", "😀", "class",
-         "Assumption", "College", "degree", "grad", "studied", "Law", "UWindsor", " ", "  ", "\n"]
+         "Assumption", "College", "degree", "grad", "studied", "Law", "UWindsor", " ", "  ", "\n", "\u00a0", "\u2003", "graduated", "LL.B.", "J.D.", "Class of"]
 
 
 def test_randomised_against_model(spark):

@@ -107,3 +107,13 @@ def test_current_month_stream_predicate(spark):
     from almanac.streaming.ingest import current_month_only
     df = spark.createDataFrame([(dt.datetime(2026, 6, 3),), (dt.datetime(2026, 5, 31),), (None,)], "ts timestamp")
     assert current_month_only(df, "ts", "2026-06-15").count() == 1
+
+
+def test_null_ordering_and_ties(spark, records):
+    # O1: NULL last names sort last (PostgreSQL ascending), ties by id
+    nulls = records.where("id in (1, 2)").unionByName(
+        records.where("id = 2").selectExpr(*[("9 AS id" if c == "id" else ("CAST(NULL AS STRING) AS last_name" if c == "last_name" else c)) for c in records.columns]))
+    assert ids(serve.search(nulls)) == [1, 2, 9]
+    # O2: NULL publication dates first in newest-first order (CSV export), ties by id
+    flagged = records.selectExpr(*[("true AS is_alumni" if c == "is_alumni" else c) for c in records.columns])
+    assert [r["id"] for r in csv_rows(flagged).collect()] == ["4", "3", "1", "2"]
