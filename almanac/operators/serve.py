@@ -166,6 +166,16 @@ def location_groups(records: DataFrame, lat="latitude", lon="longitude", name="n
     )
 
 
+def location_members(records: DataFrame, lat="latitude", lon="longitude", name="name",
+                     id_col="id", columns=("name", "city", "province", "death_date", "id")) -> DataFrame:
+    """A6 members: the rows of each location group as a flat table keyed by
+    (lat, lon), ordered by group then name and id (a distributed sort, not a
+    per-group list, so a crowded location never lands in one row)."""
+    pts = records.where(finite(lat) & finite(lon))
+    return (pts.select(_col(lat).alias("lat"), _col(lon).alias("lon"), *[_col(c) for c in columns])
+               .orderBy("lat", "lon", F.asc_nulls_last(name), F.asc(id_col)))
+
+
 def location_bounds(groups: DataFrame, default=(42.3149, -83.0364)) -> DataFrame:
     """Extent of the location groups; the default view when there are none."""
     b = groups.agg(F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"),

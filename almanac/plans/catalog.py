@@ -122,6 +122,12 @@ def q_location_groups(spark, sf):
     return serve.location_groups(_located(spark, sf), name="c_name", city="city", id_col="c_custkey")
 
 
+@register("location_members")
+def q_location_members(spark, sf):
+    return serve.location_members(_located(spark, sf), name="c_name", id_col="c_custkey",
+                                  columns=("c_name", "city", "province", "c_custkey"))
+
+
 @register("location_bounds")
 def q_location_bounds(spark, sf):
     g = serve.location_groups(_located(spark, sf), name="c_name", city="city", id_col="c_custkey")

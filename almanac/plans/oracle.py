@@ -92,6 +92,11 @@ groups AS (SELECT latitude AS lat, longitude AS lon, count(*) AS n_records,
 
 ORACLE["location_groups"] = _LOCATED + "SELECT * FROM groups"
 
+ORACLE["location_members"] = _LOCATED + """
+SELECT latitude AS lat, longitude AS lon, c_name, city, province, c_custkey FROM loc
+WHERE latitude IS NOT NULL AND NOT isnan(latitude) AND longitude IS NOT NULL AND NOT isnan(longitude)
+"""
+
 ORACLE["location_bounds"] = _LOCATED + """
 SELECT coalesce(min(lat), 42.3149) AS min_lat, coalesce(max(lat), 42.3149) AS max_lat,
        coalesce(min(lon), -83.0364) AS min_lon, coalesce(max(lon), -83.0364) AS max_lon,
