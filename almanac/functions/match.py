@@ -45,35 +45,84 @@ def any_keyword_pattern(keywords) -> str:
     return "(?iU)(?:" + "|".join(parts) + ")"
 
 
-def _occurrences_of(text: Column, keyword: str, rank: int) -> Column:
-    pat = F.lit(keyword_pattern(keyword))
-    pieces = F.split(text, keyword_pattern(keyword), -1)
-    found = F.regexp_extract_all(text, pat, 0)
-    steps = F.zip_with(F.slice(pieces, 1, F.size(found)), found,
-                       lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(OCC_TYPE).alias("occ"))
-
-    def merge(acc, x):
-        start = acc["pos"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        occ = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"),
-                       F.lit(keyword).alias("keyword"))
-        return F.struct(end.alias("pos"), F.array_append(acc["occ"], occ).alias("occ"))
-
-    return F.aggregate(steps, init, merge, lambda acc: acc["occ"])
-
-
-def occurrences(text, keywords) -> Column:
-    """M1: every match of every distinct keyword as ``{start, rank, end,
-    keyword}`` (half-open, code points), ordered by start then keyword rank
-    (longest keyword first, then alphabetical)."""
-    text = _col(text)
+def _with_running_ends(df: DataFrame, steps: str, out: str) -> DataFrame:
+    """Inclusive running sums of an int array column, by blocks of about
+    sqrt(n): block totals, a running offset per block, then running sums
+    inside each block, each stage computed once per row.  O(n * sqrt(n))
+    element steps instead of the O(n^2) of appending to a growing array."""
+    s = F.col(steps)
+    n = F.size(s)
+    b = F.greatest(F.lit(64), F.ceil(F.sqrt(n)).cast("int"))
+    nb = ((n + b - 1) / b).cast("int")
+    blocks = F.sequence(F.lit(0), F.greatest(nb - 1, F.lit(0)))
+    df = df.withColumn("_re_tot", F.transform(
+        blocks, lambda k: F.aggregate(F.slice(s, k * b + 1, b), F.lit(0), lambda a, x: a + x)))
+    df = df.withColumn("_re_off", F.aggregate(
+        F.col("_re_tot"), F.struct(F.lit(0).alias("t"), F.array().cast("array<int>").alias("a")),
+        lambda acc, x: F.struct((acc["t"] + x).alias("t"), F.array_append(acc["a"], acc["t"]).alias("a")),
+        lambda acc: acc["a"]))
+    offsets = F.col("_re_off")
+
+    def block_ends(k):
+        init = F.struct(F.element_at(offsets, k + 1).alias("p"), F.array().cast("array<int>").alias("a"))
+        return F.aggregate(F.slice(s, k * b + 1, b), init,
+                           lambda acc, x: F.struct((acc["p"] + x).alias("p"),
+                                                   F.array_append(acc["a"], acc["p"] + x).alias("a")),
+                           lambda acc: acc["a"])
+
+    df = df.withColumn(out, F.when(n > 0, F.flatten(F.transform(blocks, block_ends)))
+                       .otherwise(F.array().cast("array<int>")))
+    return df.drop("_re_tot", "_re_off")
+
+
+def with_occurrences(df: DataFrame, text, keywords, out: str) -> DataFrame:
+    """M1 as staged columns: adds ``out`` = every match of every distinct
+    keyword as ``{start, rank, end, keyword}`` (half-open, code points),
+    ordered by start then keyword rank (longest keyword first, then
+    alphabetical).
+
+    For keyword ``j`` the text splits into pieces around its matches; match
+    ``m`` ends at the running sum of ``len(piece) + len(match)``.  All
+    keywords' step arrays are concatenated and summed once
+    (:func:`_with_running_ends`), then cut back into per-keyword spans.
+
+    To flatten the result use ``posexplode_outer`` and filter the generated
+    column: a plain ``explode`` makes Catalyst infer a filter on the array
+    and push it down through (inlining) the staged columns."""
     kws = fixed.longest_first(keywords)
+    t = "_oc_t"
+    df = df.withColumn(t, _col(text))
     if not kws:
-        return F.array().cast(OCC_TYPE)
-    arrays = [_occurrences_of(text, k, i) for i, k in enumerate(kws)]
-    allocc = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-    return F.array_sort(allocc)
+        return df.withColumn(out, F.array().cast(OCC_TYPE)).drop(t)
+    tmp = [t]
+    for j, k in enumerate(kws):
+        pat = keyword_pattern(k)
+        m, st = f"_oc_m{j}", f"_oc_s{j}"
+        df = df.withColumn(m, F.regexp_extract_all(F.col(t), F.lit(pat), 0))
+        df = df.withColumn(st, F.zip_with(F.slice(F.split(F.col(t), pat, -1), 1, F.size(m)), F.col(m),
+                                          lambda p, x: F.length(p) + F.length(x)))
+        tmp += [m, st]
+    steps = F.concat(*[F.col(f"_oc_s{j}") for j in range(len(kws))]) if len(kws) > 1 else F.col("_oc_s0")
+    df = _with_running_ends(df.withColumn("_oc_steps", steps), "_oc_steps", "_oc_ends")
+    tmp += ["_oc_steps", "_oc_ends"]
+    ends = F.col("_oc_ends")
+    parts, offset = [], F.lit(0)
+    for j, k in enumerate(kws):
+        m = F.col(f"_oc_m{j}")
+        base = F.when(offset > 0, F.element_at(ends, offset)).otherwise(F.lit(0))
+        parts.append(_spans(m, ends, offset, base, j, k))
+        offset = offset + F.size(m)
+    allocc = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return df.withColumn(out, F.array_sort(allocc).cast(OCC_TYPE)).drop(*tmp)
+
+
+def _spans(matches, ends, offset, base, rank: int, keyword: str):
+    """Occurrence structs of one keyword from the running end offsets."""
+    def occ(x, i):
+        e = F.element_at(ends, offset + i + 1) - base
+        return F.struct((e - F.length(x)).alias("start"), F.lit(rank).alias("rank"), e.alias("end"),
+                        F.lit(keyword).alias("keyword"))
+    return F.transform(matches, occ)
 
 
 def with_proximity_match(df: DataFrame, text, out: str = "match", institutions=None,
@@ -97,8 +146,10 @@ def with_proximity_match(df: DataFrame, text, out: str = "match", institutions=N
     t, inst, stat, pair = "_pm_t", "_pm_inst", "_pm_stat", "_pm_pair"
     df = spread(df).withColumn(t, T.collapse_ws(text))
     maybe = F.col(t).rlike(any_keyword_pattern(institutions)) & F.col(t).rlike(any_keyword_pattern(statuses))
-    df = df.withColumn(inst, F.when(maybe, occurrences(F.col(t), institutions)))
-    df = df.withColumn(stat, F.when(F.size(inst) > 0, occurrences(F.col(t), statuses)))
+    df = df.withColumn("_pm_maybe", maybe)
+    df = with_occurrences(df, F.when(F.col("_pm_maybe"), F.col(t)), institutions, inst)
+    df = df.withColumn("_pm_any", F.coalesce(F.size(inst) > 0, F.lit(False)))
+    df = with_occurrences(df, F.when(F.col("_pm_any"), F.col(t)), statuses, stat)
 
     def first_status(i):
         near = F.filter(F.col(stat), lambda s: F.greatest(
@@ -117,7 +168,7 @@ def with_proximity_match(df: DataFrame, text, out: str = "match", institutions=N
         p["s"]["keyword"].alias("status"),
         F.trim(F.substring(F.col(t), ex_start + 1, ex_end - ex_start)).alias("matched_text"),
     )))
-    return df.drop(t, inst, stat, pair)
+    return df.drop(t, inst, stat, pair, "_pm_maybe", "_pm_any")
 
 
 def with_simple_match(df: DataFrame, text, out: str = "match", keywords=None) -> DataFrame:

@@ -163,9 +163,12 @@ def q_proximity_match(spark, sf):
 @register("keyword_occurrences")
 def q_keyword_occurrences(spark, sf):
     """M1 flattened: one row per occurrence with code-point spans."""
-    d = table(spark, sf, "documents")
-    occ = M.occurrences(T.collapse_ws("text"), DOC_INSTITUTIONS + DOC_STATUSES)
-    return (d.select("doc_id", F.posexplode(occ).alias("pos", "o"))
+    d = M.with_occurrences(table(spark, sf, "documents"), T.collapse_ws("text"),
+                           DOC_INSTITUTIONS + DOC_STATUSES, "occ")
+    # posexplode_outer + a filter on the generated column: a plain explode
+    # makes the optimizer infer a size filter on the array and push it down
+    # through (and inline) the staged span columns
+    return (d.select("doc_id", F.posexplode_outer("occ").alias("pos", "o")).where(F.col("o").isNotNull())
              .select("doc_id", (F.col("pos") + 1).alias("ordinal"),
                      F.col("o.start").alias("start"), F.col("o.end").alias("end"),
                      F.col("o.keyword").alias("keyword")))
