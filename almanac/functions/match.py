@@ -151,13 +151,22 @@ def with_proximity_match(df: DataFrame, text, out: str = "match", institutions=N
     df = df.withColumn("_pm_any", F.coalesce(F.size(inst) > 0, F.lit(False)))
     df = with_occurrences(df, F.when(F.col("_pm_any"), F.col(t)), statuses, stat)
 
-    def first_status(i):
-        near = F.filter(F.col(stat), lambda s: F.greatest(
-            F.lit(0), F.greatest(i["start"], s["start"]) - F.least(i["end"], s["end"])) <= window)
-        return F.struct(i.alias("i"), F.get(near, 0).alias("s"))
+    elem = OCC_TYPE[len("array<"):-1]
+
+    def near(i, s):
+        return F.greatest(F.lit(0), F.greatest(i["start"], s["start"]) - F.least(i["end"], s["end"])) <= window
 
-    df = df.withColumn(pair, F.when(F.size(stat) > 0, F.get(
-        F.filter(F.transform(F.col(inst), first_status), lambda p: p["s"].isNotNull()), 0)))
+    def first_status(i):
+        # first status (in start order) within the window of occurrence i
+        return F.aggregate(F.col(stat), F.lit(None).cast(elem),
+                           lambda a, s: F.when(a.isNotNull(), a).when(near(i, s), s),
+                           lambda r: F.when(r.isNotNull(), F.struct(i.alias("i"), r.alias("s"))))
+
+    # institutions in order; once a pair is found the rest skip their scan
+    pair_type = f"struct<i:{elem},s:{elem}>"
+    df = df.withColumn(pair, F.when(F.size(stat) > 0, F.aggregate(
+        F.col(inst), F.lit(None).cast(pair_type),
+        lambda acc, i: F.when(acc.isNotNull(), acc).otherwise(first_status(i)))))
     p = F.col(pair)
     lo = F.least(p["i"]["start"], p["s"]["start"])
     hi = F.greatest(p["i"]["end"], p["s"]["end"])
