@@ -97,3 +97,14 @@ def test_randomised_against_model(spark):
 def test_empty_keyword_sets_match_nothing(spark):
     assert run(spark, ["graduate of University of Windsor"], institutions=[]) == [None]
     assert run(spark, ["graduate of University of Windsor"], mode="simple", keywords=[]) == [None]
+
+
+def test_running_ends_block_boundaries(spark):
+    from itertools import accumulate
+    rnd = random.Random(23)
+    lengths = [0, 1, 2, 63, 64, 65, 127, 128, 129, 200, 4095, 4097, 5000]
+    rows = [(n, [rnd.randint(1, 9) for _ in range(n)]) for n in lengths]
+    df = spark.createDataFrame(rows, "n int, steps array<int>")
+    got = {r["n"]: r["ends"] for r in M._with_running_ends(df, "steps", "ends").collect()}
+    for n, steps in rows:
+        assert got[n] == list(accumulate(steps)), n
