@@ -117,3 +117,20 @@ def test_null_ordering_and_ties(spark, records):
     # O2: NULL publication dates first in newest-first order (CSV export), ties by id
     flagged = records.selectExpr(*[("true AS is_alumni" if c == "is_alumni" else c) for c in records.columns])
     assert [r["id"] for r in csv_rows(flagged).collect()] == ["4", "3", "1", "2"]
+
+
+def test_csv_quoting_matches_python_csv(spark, tmp_path):
+    import csv
+    import glob
+    import io
+    from almanac.operators.export import write_csv
+    rows = spark.createDataFrame([("1", 'Mia "Mo" Stone, Jr', ""), ("2", "plain", "a;b")], "id string, name string, note string")
+    write_csv(rows.orderBy("id"), str(tmp_path / "q"))
+    data = open(glob.glob(str(tmp_path / "q") + "/part-*.csv")[0], "rb").read().decode("utf-8")
+    buf = io.StringIO()
+    buf.write("﻿")
+    w = csv.writer(buf)
+    w.writerow(["id", "name", "note"])
+    w.writerow(["1", 'Mia "Mo" Stone, Jr', ""])
+    w.writerow(["2", "plain", "a;b"])
+    assert data == buf.getvalue()
