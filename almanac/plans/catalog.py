@@ -866,3 +866,15 @@ def q_stream_notice_outcomes(spark, sf):
     opts = JobOptions(match_mode="simple", alumni_keywords=DOC_SIMPLE_KEYWORDS)
     notices_stream(stream, f"{d}/records", f"{d}/outcomes", dim, gaz, f"{d}/checkpoint", opts, LINK_PREFIX)
     return spark.read.parquet(f"{d}/outcomes").drop("batch_id")
+
+
+@register("serving_copy")
+def q_serving_copy(spark, sf):
+    """U5 derived serving table: one row per URL (the lowest id) from a
+    record table whose URLs repeat (orders, URL per customer)."""
+    from ..operators.admit import serving_copy
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.concat(F.lit("https://example.com/c/"), F.col("o_custkey").cast("string")).alias("obituary_url"),
+        "o_orderstatus", _day("o_orderdate").alias("order_date"))
+    return serving_copy(o).select("obituary_url", "id", "o_orderstatus", "order_date")

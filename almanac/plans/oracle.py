@@ -800,3 +800,11 @@ FROM ks LEFT JOIN st2 ON ks.site = st2.site AND ks.keyword = st2.keyword
         LEFT JOIN stops ON ks.site = stops.site AND ks.keyword = stops.keyword
         LEFT JOIN lst ON ks.site = lst.site AND ks.keyword = lst.keyword
 """
+
+
+ORACLE["serving_copy"] = """
+SELECT 'https://example.com/c/' || CAST(o_custkey AS VARCHAR) AS obituary_url,
+       min(o_orderkey) AS id, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus,
+       strftime(arg_min(o_orderdate, o_orderkey), '%Y-%m-%d') AS order_date
+FROM orders GROUP BY o_custkey
+"""
