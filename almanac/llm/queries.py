@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, repeats
+from . import near_dup, repeats, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,44 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op8_url_filter"] = r"""
+WITH cut AS (
+  SELECT page_id, coalesce(url, '') AS url,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS after_scheme
+  FROM pages),
+parts AS (
+  SELECT page_id,
+         translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_url,
+         translate(regexp_extract(after_scheme, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(after_scheme, length(regexp_extract(after_scheme, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM cut),
+ruled AS (
+  SELECT *, CASE
+      WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
+    list_filter([
+      CASE WHEN regexp_matches(lower_url, '[./-]porn[a-z0-9]*[./-]') THEN 'adult-pages' END,
+      CASE WHEN regexp_matches(lower_url, '/cart/(add|checkout)') THEN 'cart-pages' END,
+      CASE WHEN regexp_matches(lower_url, '[./-]casinos?[./-]') THEN 'casino-pages' END,
+      CASE WHEN regexp_matches(lower_url, '[?&]utm_source=feed([&#]|$)') THEN 'feed-copies' END,
+      CASE WHEN regexp_matches(lower_url, '/(wp-)?login(\.php)?([/?#]|$)') THEN 'login-forms' END,
+      CASE WHEN regexp_matches(lower_url, '[?&]page=[0-9]+&ref=') THEN 'paged-lists' END,
+      CASE WHEN regexp_matches(lower_url, '[?&;]phpsessid=[0-9a-f]+') THEN 'session-ids' END,
+      CASE WHEN regexp_matches(lower_url, '\.torrent([?#]|$)') THEN 'torrent-files' END], lambda x: x IS NOT NULL) AS fits
+  FROM parts)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN len(fits) > 0 THEN 'block' ELSE 'allow' END AS verdict,
+       array_to_string(fits, ',') AS patterns
+FROM ruled
+"""
