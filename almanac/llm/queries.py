@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, repeats, url_rules
+from . import near_dup, repeats, secret_ledger, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,45 @@ SELECT page_id, host, path, rule,
        array_to_string(fits, ',') AS patterns
 FROM ruled
 """
+
+
+@register
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.secret_digest(table(spark, sf_dir, "documents"))
+
+
+def _secret_sql() -> str:
+    """Per kind: the matches, the pieces between them, and running sums."""
+    names = ("[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
+             "|[aA][pP][iI]_?[kK][eE][yY]")
+    value = "[A-Za-z0-9+/_.=-]"
+    assign = rf"""(?:{names})["'']?\x20*[:=]\x20*["'']?{value}+"""
+    kinds = [("assign", assign), ("access", "AKIA[A-Z0-9]{16,}"), ("hex", "[0-9a-f]{24,}"),
+             ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+             ("jwt", r"eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+"),
+             ("github", "gh[opsur]_[A-Za-z0-9]{36,}"), ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}")]
+    parts = " UNION ALL ".join(
+        f"SELECT rid, {rank} AS rank, '{kind}' AS kind, unnest(found) AS m, unnest(pieces[:len(found)]) AS gap, "
+        f"unnest(range(len(found))) AS pos FROM (SELECT rid, regexp_extract_all(t, '{p}') AS found, "
+        f"string_split_regex(t, '{p}') AS pieces FROM d)" for rank, (kind, p) in enumerate(kinds, 1))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+hits AS ({parts}),
+placed AS (
+  SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY rid, kind ORDER BY pos) AS e FROM hits),
+spans AS (
+  SELECT rid, rank, kind, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM placed
+  WHERE kind <> 'assign' OR length(regexp_extract(m, '({names})["'']?\x20*[:=]\x20*["'']?({value}+)', 2)) >= 6),
+per AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank <= 3) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (rid)
+"""
+
+
+ORACLE["op3_secret_scan"] = _secret_sql()
