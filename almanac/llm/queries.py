@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, repeats, secret_ledger, url_rules
+from . import hash_forest, main_text, near_dup, repeats, secret_ledger, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,13 @@ FROM d LEFT JOIN per USING (rid)
 
 
 ORACLE["op3_secret_scan"] = _secret_sql()
+
+
+@register
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@register
+def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.nearest(table(spark, sf_dir, "embeddings"))
