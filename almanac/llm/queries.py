@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hash_forest, main_text, near_dup, repeats, secret_ledger, url_rules
+from . import hash_forest, line_dedup, main_text, near_dup, repeats, secret_ledger, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,30 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs, host_col="source")
+
+
+ORACLE["op1_line_dedup"] = """
+WITH pages AS (SELECT DISTINCT coalesce(source, '') AS host, text FROM documents WHERE text IS NOT NULL),
+totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
+held AS (
+  SELECT host, line, count(*) AS held
+  FROM (SELECT DISTINCT host, text, trim(line) AS line FROM (
+          SELECT host, text, unnest(string_split(text, chr(10))) AS line FROM pages))
+  WHERE line <> '' GROUP BY host, line),
+dropped AS (
+  SELECT host, list(line) AS lines FROM held JOIN totals USING (host)
+  WHERE held >= 5 AND held >= pages * 0.1 GROUP BY host),
+cut AS (
+  SELECT doc_id, source, text, string_split(text, chr(10)) AS before,
+         list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(lines, []), trim(x))) AS after
+  FROM documents LEFT JOIN dropped ON host = coalesce(source, ''))
+SELECT doc_id, source, array_to_string(after, chr(10)) AS text, CAST(coalesce(len(before), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(before) - len(after), 0) AS BIGINT) AS n_removed
+FROM cut
+"""
