@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hash_forest, line_dedup, main_text, near_dup, repeats, secret_ledger, url_rules
+from . import decontaminate, hash_forest, line_dedup, main_text, near_dup, repeats, secret_ledger, toxicity, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,13 @@ SELECT doc_id, source, array_to_string(after, chr(10)) AS text, CAST(coalesce(le
        CAST(coalesce(len(before) - len(after), 0) AS BIGINT) AS n_removed
 FROM cut
 """
+
+
+@register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
