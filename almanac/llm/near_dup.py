@@ -18,10 +18,12 @@ Pairs above the match threshold are confirmed on the full shingle sets.
 Equal sets are one class from the start.  Inside a list, members are first
 compared with the list's smallest member only; a list whose members then are
 one component is settled.  Of the other lists, members outside the list's
-largest component are compared with all members of other components: links
-inside a component cannot change it, so nothing is lost, and a large group of
-copies costs as many pairs as it has members.  There is no cap on lists,
-members or partners.
+largest component, its hub, are compared with all others: links inside a
+component cannot change it, so nothing is lost, and of a large group of copies
+only those that its smallest member did not reach are compared with more than
+one.  Where these are many, the full sets are compared in blocks of bounded
+size, and only a spanning forest of the links found leaves a block, so that
+pairs never become rows.  There is no cap on lists, members or partners.
 
 A pair at the limit 0.8 shares 32 of 64 coordinates but for one case in about
 10^8 (binomial tail); pairs closer than that are surer still.
@@ -32,6 +34,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,6 +45,10 @@ from .graph import components
 
 COORDS = 64
 MATCHES = 32
+#: Members on either side of a comparison of two blocks, and the pairs from
+#: which on a list's open members are compared in blocks, not as rows.
+BLOCK = 1024
+FEW = 64
 
 
 def shingles(text: str | None, width: int, cache: WordHashes) -> np.ndarray:
@@ -117,17 +124,27 @@ def _prefixes(classes: DataFrame, coords: int, matches: int) -> DataFrame:
                   .select(F.col("p.key").alias("key"), "rep", "n"))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int,
-               matches: int) -> DataFrame:
-    """Pairs (a, b) that collide in enough coordinates and hold on full sets."""
+def _full_sets(wanted: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(rep, members): the whole shingle sets of the classes in ``wanted``."""
+    named = wanted.distinct().join(classes.select("rep", "id", "mark"), "rep")
+    return staged(texts.join(named, "id").select("rep", "mark", "text")
+                  .mapInArrow(_sets(width), "rep long, members array<long>").dropDuplicates(["rep"]), "sets")
+
+
+def _colliding(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) that collide in ``matches`` coordinates."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
-    near = staged(pairs.join(side("a"), "a").join(side("b"), "b")
+    return staged(pairs.join(side("a"), "a").join(side("b"), "b")
                   .filter(F.size(F.array_intersect("sig_a", "sig_b")) >= matches)
-                  .select("a", "b", "n_a", "n_b"), "near")
-    wanted = (near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-                  .join(classes.select("rep", "id", "mark"), "rep"))
-    sets = staged(texts.join(wanted, "id").select("rep", "mark", "text")
-                  .mapInArrow(_sets(width), "rep long, members array<long>").dropDuplicates(["rep"]), "sets")
+                  .select("a", "b", "n_a", "n_b"), "colliding")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
+
+
+def _confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that hold on full sets."""
     both = (near.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("m_a")), "a")
                 .join(sets.select(F.col("rep").alias("b"), F.col("members").alias("m_b")), "b")
                 .withColumn("s", F.size(F.array_intersect("m_a", "m_b")).cast("long")))
@@ -141,19 +158,73 @@ def _led(posts: DataFrame, percent: int) -> DataFrame:
                  .select(F.col("l.rep").alias("a"), F.col("rep").alias("b")).distinct())
 
 
-def _across(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each unsettled list whose members are of two components."""
-    named = (posts.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-                  .withColumn("label", F.coalesce("label", "rep")))
-    named = staged(named, "named")
+def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hub, rep, n, outside): for each list with members of two components,
+    its members, filed under the largest component; ``outside`` are those that
+    are not of it."""
+    named = staged(posts.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+                        .withColumn("label", F.coalesce("label", "rep")), "named")
     parts = named.groupBy("key", "label").agg(F.count("*").alias("c"))
     unsettled = (parts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "label")).alias("top"))
-                      .filter("k > 1").select("key", F.col("top.label").alias("largest")))
-    members = staged(named.join(unsettled, "key"), "unsettled")
-    outside = members.filter("label <> largest").select(
-        "key", F.col("rep").alias("o_rep"), F.col("n").alias("o_n"), F.col("label").alias("o_label"))
-    return (members.join(outside, "key").filter("label <> o_label").filter(_sizes_allow("n", "o_n", percent))
-                   .select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct())
+                      .filter("k > 1").select("key", F.col("top.label").alias("hub")))
+    return (named.join(unsettled, "key").select("hub", "rep", "n", (F.col("label") != F.col("hub")).alias("outside"))
+                 .distinct())
+
+
+def _spanning(links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
+    """A star for each component of a block's links, which hang together as
+    the links do and are as many as the block has members."""
+    out, row_seen, column_seen = [], np.zeros(len(rows), bool), np.zeros(len(columns), bool)
+    for start in range(len(rows)):
+        if row_seen[start]:
+            continue
+        row_seen[start], frontier = True, np.array([start])
+        while len(frontier):
+            to = np.flatnonzero(links[frontier].any(axis=0) & ~column_seen)
+            column_seen[to] = True
+            frontier = np.flatnonzero(links[:, to].any(axis=1) & ~row_seen)
+            row_seen[frontier] = True
+            out.extend((rows[start], x) for x in (*columns[to], *rows[frontier]) if x != rows[start])
+    return out
+
+
+def _block_links(percent: int):
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            flat = [np.concatenate(side.members.to_numpy()) for side in (left, right)]
+            owner = [np.repeat(np.arange(len(side)), side.members.map(len)) for side in (left, right)]
+            shared = np.intersect1d(*map(np.unique, flat))
+            counts = np.zeros((len(left), len(right)), np.float32)
+            for at in range(0, len(shared), 4096):
+                part, held = shared[at:at + 4096], []
+                for values, of, side in zip(flat, owner, (left, right), strict=True):
+                    column = np.minimum(np.searchsorted(part, values), len(part) - 1)
+                    inside = part[column] == values
+                    bits = np.zeros((len(side), len(part)), np.float32)
+                    bits[of[inside], column[inside]] = 1
+                    held.append(bits)
+                counts += held[0] @ held[1].T
+            common = counts.astype(np.int64)
+            union = left.n.to_numpy()[:, None] + right.n.to_numpy()[None] - common
+            out = _spanning((common * 100 >= union * percent) & (common > 0), left.rep.to_numpy(), right.rep.to_numpy())
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return run
+
+
+def _linked_in_blocks(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the members outside a hub with all its members, in groups of
+    ``BLOCK`` by ``BLOCK``; only links are rows, never pairs."""
+    size = crowds.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("rows"),
+                                     F.ceil(F.count_if("outside") / BLOCK).alias("columns"))
+    full = staged(crowds.join(size, "hub").join(sets, "rep"), "crowds")
+    number = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = full.withColumn("i", number("rows", 1)).withColumn("j", all_of("columns")).select("hub", "i", "j", "rep", "n", "members")
+    right = (full.filter("outside").withColumn("j", number("columns", 2)).withColumn("i", all_of("rows"))
+                 .select("hub", "i", "j", "rep", "n", "members"))
+    return (left.groupBy("hub", "i", "j").cogroup(right.groupBy("hub", "i", "j"))
+                .applyInPandas(_block_links(percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
@@ -178,11 +249,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      .select(F.monotonically_increasing_id().alias("rep"), "m.id", "m.sig", "mark", "n"), "classes")
     posts = staged(_prefixes(classes, coords, matches), "prefixes")
 
-    led = staged(_led(posts, percent), "led")
-    links = staged(_confirmed(led, classes, texts, shingle_words, percent, matches), "links")
+    near = _colliding(_led(posts, percent), classes, matches)
+    links = staged(_confirmed(near, _full_sets(_ends(near), classes, texts, shingle_words), percent), "links")
     labels = components(links, "a", "b")
-    across = _across(posts, labels, percent).join(led, ["a", "b"], "left_anti")
-    more = _confirmed(staged(across, "across"), classes, texts, shingle_words, percent, matches)
+
+    opened = staged(_open(posts, labels), "open")
+    many = opened.groupBy("hub").agg((F.count_if("outside") * F.count("*")).alias("work")).filter(F.col("work") > FEW).select("hub")
+    few = opened.join(many, "hub", "left_anti")
+    outside = few.filter("outside").select("hub", F.col("rep").alias("o_rep"), F.col("n").alias("o_n"))
+    pairs = (few.join(outside, "hub").filter("rep <> o_rep").filter(_sizes_allow("n", "o_n", percent))
+                .select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct())
+    near = _colliding(pairs, classes, matches)
+    crowds = staged(opened.join(many, "hub"), "crowded")
+    sets = _full_sets(_ends(near).unionByName(crowds.select("rep")), classes, texts, shingle_words)
+    more = _confirmed(near, sets, percent).unionByName(_linked_in_blocks(crowds, sets, percent))
 
     placed = linkable.select("id", "mark").join(classes.select("rep", "mark"), "mark").select("id", "rep")
     spread = placed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
