@@ -48,7 +48,7 @@ MATCHES = 32
 #: Members on either side of a comparison of two blocks, and the pairs from
 #: which on a list's open members are compared in blocks, not as rows.
 BLOCK = 1024
-FEW = 64
+FEW = 20_000
 
 
 def shingles(text: str | None, width: int, cache: WordHashes) -> np.ndarray:
