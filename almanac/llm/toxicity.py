@@ -9,14 +9,16 @@ single characters ("i d i o t") are read as one.
 Nyström: the kernel is approximated from landmark words chosen from the
 training sentences, and a linear support vector machine (squared hinge) is
 fitted to the words in that space.  A sentence scores as its most toxic word
-does, a document as its most toxic sentence; a label says only that some
-sentence of the document is toxic, so for toxic documents the machine is
-refitted on the words that speak most for the label (multi-instance rounds).
+does, a document as its most toxic sentence.  A label says only that some
+sentence of the document is toxic; toxic words are those in more toxic
+documents than chance explains, and the machine is refitted with the words of
+clean documents that it holds for toxic (multi-instance rounds).
 Because the fitted function is linear in the kernel, a word is scored by one
 weight for each subsequence, and scoring is one pass without a shuffle.
 
-The fit takes at most ``DOCS`` documents and ``SENTENCES`` sentences of each
-label, chosen by a hash of the id; this bound is the only sample here.
+The fit takes at most ``DOCS`` labelled documents of each label, chosen by a
+hash of the id among those of up to ``DOC_CHARS`` characters, with all their
+sentences; this bound is the only sample here, and scores are of whole texts.
 """
 
 from __future__ import annotations
@@ -34,8 +36,11 @@ from pyspark.sql import functions as F
 from .common import CACHE_WORDS, small_batches, staged
 
 SPAN, DECAY = 5, 0.6
-DOCS, SENTENCES, SENTENCE_CHARS = 4000, 60_000, 400
-LANDMARKS, LEAST_DIFFERENT, CLEAN_WORDS, ROUNDS = 160, 0.8, 20_000, 2
+DOCS, DOC_CHARS = 1500, 12_000
+BIAS = -1.0
+#: Least share of a toxic word's sentences that are of toxic documents.
+PURE = 0.8
+TOXIC_MARKS, CLEAN_MARKS, LEAST_DIFFERENT, CLEAN_WORDS, ROUNDS = 120, 50, 0.9, 10_000, 5
 #: Scores from here on mean toxic.
 THRESHOLD = 0.3
 PIECE = 32
@@ -79,9 +84,9 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     so that a word's kernel with itself is one."""
     rows, codes, weights = [], [], []
     by_size = defaultdict(list)
+    words = [f"\x02{w}\x03" for w in words]  # so that a word's start and end count
     for at, word in enumerate(words):
-        if len(word) >= 3:
-            by_size[len(word)].append(at)
+        by_size[len(word)].append(at)
     for size, where in by_size.items():
         letters = np.frombuffer("".join(words[i] for i in where).encode("utf-32-le"), np.uint32).reshape(-1, size).astype(np.uint64)
         for a, b in _OFFSETS:
@@ -129,7 +134,8 @@ class Scorer:
         new = list(set().union(*held) - known.keys())
         for at in range(0, len(new), 20_000):
             known.update(zip(new[at:at + 20_000], self.decisions(new[at:at + 20_000]).tolist(), strict=True))
-        return np.array([max(map(known.__getitem__, words), default=self.bias) for words in held])
+        top = [max(map(known.__getitem__, words), default=self.bias) for words in held]
+        return np.clip(np.array(top, float), -1, 1)  # beyond the margin all are equal
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * decision + self.shift, -30, 30)))
@@ -151,105 +157,122 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def _margin(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+def _margin(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 3e-5) -> np.ndarray:
     """Linear support vector machine with squared hinge loss, by Newton steps
-    on the rows inside the margin."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, keep = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, penalty), 1e-9]
-    weight = weight / weight.sum()
-    for _ in range(30):
-        slack = 1 - y * (x @ w)
+    on the rows inside the margin.  The bias is fixed at ``BIAS``: a word like
+    no landmark is clean."""
+    w, keep, size = np.zeros(x.shape[1]), np.full(x.shape[1], penalty), 1.0
+
+    def loss(w: np.ndarray) -> float:
+        return float(keep @ (w * w) + weight @ np.maximum(0, 1 - y * (x @ w + BIAS)) ** 2)
+
+    now = loss(w)
+    for _ in range(60):
+        slack = 1 - y * (x @ w + BIAS)
         on = slack > 0
         grad = keep * w - (x[on] * (weight * y * slack)[on, None]).sum(axis=0)
         hess = (x[on] * weight[on, None]).T @ x[on] + np.diag(keep)
-        step = np.linalg.solve(hess + 1e-10 * np.eye(len(w)), grad)
-        w = w - step
-        if np.abs(step).max() < 1e-7:
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-4:
+            size /= 2
+        if then >= now - 1e-10:
             break
-    return w[:-1], float(w[-1])
+        w, now = w - size * step, then
+    return w
 
 
 def _fit(rows: list[tuple[int, int, str]]) -> Scorer | None:
     """``rows``: (document, label, sentence)."""
-    in_docs = {0: defaultdict(set), 1: defaultdict(set)}
-    docs = {0: set(), 1: set()}
-    bags: list[tuple[int, list[str]]] = []
+    # Words are counted by the different sentences that hold them, so that
+    # copies of a document do not count again.
+    held_by = {0: defaultdict(set), 1: defaultdict(set)}
+    different = {0: set(), 1: set()}
+    bags: list[tuple[int, int, list[str]]] = []
     for doc, label, sentence in rows:
         words = [p for w in words_of(sentence) for p in _pieces(w) if len(p) >= 3]
-        docs[label].add(doc)
-        bags.append((label, words))
+        mark = " ".join(words)
+        different[label].add(mark)
+        bags.append((doc, label, words))
         for w in words:
-            in_docs[label][w].add(doc)
-    if not docs[0] or not docs[1]:
+            held_by[label][w].add(mark)
+    if not different[0] or not different[1]:
         return None
-    n_toxic, n_clean = len(docs[1]), len(docs[0])
+    n_toxic, n_clean = len(different[1]), len(different[0])
     share = n_toxic / (n_toxic + n_clean)
 
     def surprise(word: str) -> float:
-        """Log likelihood ratio of the word's documents, if more are toxic."""
-        t, c = len(in_docs[1][word]), len(in_docs[0].get(word, ()))
-        if t <= share * (t + c):
+        """Log likelihood ratio of the word's sentences, if most are toxic."""
+        t, c = len(held_by[1][word]), len(held_by[0].get(word, ()))
+        if t < PURE * (t + c):
             return 0.0
         return t * math.log(t / (share * (t + c))) + (c * math.log(c / ((1 - share) * (t + c))) if c else 0.0)
 
-    scored = sorted(((surprise(w), w) for w in in_docs[1]), key=lambda x: (-x[0], x[1]))
-    # As surprising as the documents' number of different words makes likely.
+    scored = sorted(((surprise(w), w) for w in held_by[1]), key=lambda x: (-x[0], x[1]))
+    # More than the number of different words makes likely.
     limit = math.log(1 + len(scored))
     strong = [w for s, w in scored if s > limit] or [w for _, w in scored[:20]]
-    clean = sorted(in_docs[0], key=lambda w: (len(in_docs[0][w]) < 5, _mixed(w)))[:CLEAN_WORDS]
-
-    landmarks: list[str] = []
-    for pool, most in ((strong[:1500], LANDMARKS * 3 // 4), (clean[:400], LANDMARKS)):
-        between = _kernel(pool, pool) if pool else np.empty((0, 0))
-        taken: list[int] = []
-        for i in range(len(pool)):
-            if len(landmarks) >= most:
-                break
-            if not taken or between[i, taken].max() < LEAST_DIFFERENT:
-                taken.append(i)
-                landmarks.append(pool[i])
-    values, vectors = np.linalg.eigh(_kernel(landmarks, landmarks))
-    root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-
-    positive = Counter({w: len(in_docs[1][w]) for w in strong})
-    x_clean = _kernel(clean, landmarks) @ root
+    clean = sorted(held_by[0], key=lambda w: (len(held_by[0][w]) < 5, _mixed(w)))[:CLEAN_WORDS]
+
+    count = {label: {w: len(d) for w, d in held_by[label].items()} for label in (0, 1)}
+    bag_of: dict[int, tuple[int, set[str]]] = {}
+    for doc, label, bag in bags:
+        bag_of.setdefault(doc, (label, set()))[1].update(bag)
+    landmarks = _different(strong[:1500], TOXIC_MARKS)
+    positive = {w: math.sqrt(count[1][w]) for w in strong}
+    negative = {w: math.sqrt(count[0][w]) for w in clean if w not in positive}
+    hard = [w for w in clean if w not in positive][:500]
     scorer = None
-    for _ in range(ROUNDS + 1):
-        names = list(positive)
-        x = np.vstack([_kernel(names, landmarks) @ root, x_clean])
-        y = np.r_[np.ones(len(names)), -np.ones(len(clean))]
-        heavy = np.sqrt(np.array([positive[w] for w in names], float))
-        weight = np.r_[heavy / heavy.sum(), np.full(len(clean), 1 / max(1, len(clean)))]
-        w, bias = _margin(x, y, weight)
+    for _ in range(ROUNDS):
+        landmarks = landmarks + _different(hard, CLEAN_MARKS, landmarks)
+        values, vectors = np.linalg.eigh(_kernel(landmarks, landmarks))
+        root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
+        names = [*positive, *negative]
+        x = _kernel(names, landmarks) @ root
+        y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
+        weight = np.array([*positive.values(), *negative.values()])
+        for side in (y > 0, y < 0):
+            weight[side] /= max(weight[side].sum(), 1e-9)
+        w = _margin(x, y, weight)
         row, code, part = subsequences(landmarks)
         known, at = np.unique(code, return_inverse=True)
-        scorer = Scorer(known, np.bincount(at, part * (root @ w)[row], len(known)), bias)
-        # The words that speak for the label in each toxic document.
-        words = list(in_docs[1])
-        value = dict(zip(words, scorer.decisions(words), strict=True))
-        positive = Counter()
-        for label, bag in bags:
-            if label and bag:
-                best = max(bag, key=value.__getitem__)
-                if value[best] > 0 and surprise(best) > 0:
-                    positive[best] += 1
-        if not positive:
-            break
+        scorer = Scorer(known, np.bincount(at, part * (root @ w)[row], len(known)), BIAS)
+        # The word that looks most toxic in each clean document is not.
+        words = list({w for _, bag in bag_of.values() for w in bag})
+        value = dict(zip(words, scorer.decisions(words).tolist(), strict=True))
+        best = Counter((label, max(bag, key=lambda w: (value[w], w))) for label, bag in bag_of.values() if bag and label == 0)
+        for (label, word), n in best.items():
+            if label == 0 and word not in positive:
+                negative[word] = negative.get(word, 0) + n
+        hard = sorted((w for w in negative if value.get(w, -9) > -0.5), key=lambda w: (-negative[w] * (value[w] + 1), w))[:500]
     return scorer
 
 
+def _different(pool: list[str], most: int, beside: list[str] = []) -> list[str]:  # noqa: B006
+    """The first words of ``pool`` none of which is too close to another or to
+    one of ``beside``."""
+    if not pool:
+        return []
+    between = _kernel(pool, pool)
+    free = _kernel(pool, beside).max(axis=1) < LEAST_DIFFERENT if beside else np.ones(len(pool), bool)
+    taken: list[int] = []
+    for i in np.flatnonzero(free):
+        if len(taken) < most and (not taken or between[i, taken].max() < LEAST_DIFFERENT):
+            taken.append(i)
+    return [pool[i] for i in taken]
+
+
 def _mixed(word: str) -> int:
     return int.from_bytes(word.encode()[:8].ljust(8), "little") * 0x9E3779B97F4A7C15 % 2**64
 
 
-def _calibrate(scorer: Scorer, decisions: np.ndarray, labels: np.ndarray) -> None:
+def _calibrate(scorer: Scorer, decisions: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
     """Logistic regression of the label on the decision value."""
     x = np.c_[decisions, np.ones(len(decisions))]
     w = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (labels - p) - 1e-3 * w)
+        h = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weights * (labels - p)) - 1e-2 * w)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -268,13 +291,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                    .filter("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
                    .filter(~held_out(F.col("id"))))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    present = texts.filter("text IS NOT NULL").select("id").distinct().join(marks, "id")
+    present = texts.filter(F.length("text") <= DOC_CHARS).select("id").distinct().join(marks, "id")
     chosen = staged(present.filter("label = 1").orderBy(F.xxhash64("id"), "id").limit(DOCS)
                     .unionByName(present.filter("label = 0").orderBy(F.xxhash64("id"), "id").limit(DOCS)), "sample")
-    sample = staged(texts.filter("text IS NOT NULL").join(F.broadcast(chosen), "id"), "sample-texts")  # at most 2 * DOCS rows
-    whole = sample.mapInArrow(_sentence_rows, "id long, label int, at long, sentence string")
-    order = F.xxhash64("id", "at", "sentence")
-    rows = [r for label in (0, 1) for r in whole.filter(F.col("label") == label).orderBy(order).limit(SENTENCES).collect()]
+    sample = staged(texts.filter(F.length("text") <= DOC_CHARS).join(F.broadcast(chosen), "id")  # at most 2 * DOCS rows
+                         .dropDuplicates(["id"]), "sample-texts")
+    rows = sample.mapInArrow(_sentence_rows, "id long, label int, sentence string").orderBy("label", "id", "sentence").collect()
     scorer = _fit([(r.id, r.label, r.sentence) for r in rows])
     if scorer is None:
         return None
@@ -287,19 +309,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                                              names=["decision", "label"])
 
     seen = sample.select("text", "label").mapInArrow(decide, "decision double, label int").toPandas()
-    _calibrate(scorer, seen.decision.to_numpy(), seen.label.to_numpy(float))
+    shares = {r.label: r["count"] for r in marks.groupBy("label").count().collect()}
+    y = seen.label.to_numpy(int)
+    taken = np.bincount(y, minlength=2)
+    _calibrate(scorer, seen.decision.to_numpy(), y.astype(float), np.array([shares[k] / taken[k] for k in y]))
     return scorer
 
 
 def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, 128):
         names = batch.schema.names
-        rows = [(i, label, at, s) for i, label, text in zip(*(batch.column(names.index(c)).to_pylist() for c in ("id", "label", "text")), strict=True)
-                for at, s in enumerate(sentences(text)) if len(s) <= SENTENCE_CHARS]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()),
-             pa.array(columns[3], pa.string())], names=["id", "label", "at", "sentence"])
+        rows = [(i, label, s) for i, label, text in zip(*(batch.column(names.index(c)).to_pylist() for c in ("id", "label", "text")), strict=True)
+                for s in sentences(text)]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()),
+                                          pa.array(columns[2], pa.string())], names=["id", "label", "sentence"])
 
 
 def scored(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
