@@ -49,13 +49,14 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
 def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO,
                      least_pages: int = LEAST_PAGES) -> DataFrame:
     """``pages`` with ``text_col`` rid of boilerplate lines, and with n_lines
-    and n_removed (long) added, which must be new names.
+    and n_removed (long) added; columns with these names are replaced.
 
     A null text stays null and has no lines; an empty one has one, empty.
     Blank lines are never boilerplate and stay.  Rows without a host are one
     host.  Repeated rows count as one page and get the same answer each.  An
     empty table gives an empty result; other columns are carried along.
     """
+    pages = pages.drop(*[c for c in pages.columns if c.lower() in ("n_lines", "n_removed")])
     host, text = F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")), F.col(f"`{text_col}`").cast("string")
     known = pages.select(host.alias("host"), text.alias("text")).filter("text IS NOT NULL")
     per_host = staged(boilerplate(known, ratio, least_pages), "boilerplate").withColumnsRenamed(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hash_forest, line_dedup, main_text, near_dup, repeats, secret_ledger, toxicity, url_rules
+from . import decontaminate, hash_forest, line_dedup, main_text, mixing, near_dup, repeats, secret_ledger, toxicity, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return mixing.mixed(docs).drop("text")

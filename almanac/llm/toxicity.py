@@ -327,10 +327,11 @@ def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def scored(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with ``score_col``, a new name, added: 0 to 1, higher if a
-    label 1 is likelier.  Null and blank texts score as one without any
+    """``docs`` with ``score_col`` added (a column of that name is replaced):
+    0 to 1, higher if a label 1 is likelier.  Null and blank texts score as one without any
     telling word does; without a scorer all score 0.  Rows are scored one by
     one, so repeated rows and rows without an id score the same."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == score_col.lower()])
     if scorer is None:
         return docs.withColumn(score_col, F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
