@@ -25,8 +25,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import CACHE_WORDS, small_batches, staged
 
 SPAN, DECAY = 5, 0.6
-DOCS, DOC_CHARS = 1500, 12_000
+DOCS, DOC_CHARS = 1000, 12_000
 BIAS = -1.0
 #: Least share of a toxic word's sentences that are of toxic documents.
 PURE = 0.8
@@ -115,6 +116,9 @@ class Scorer:
         self.scale, self.shift = 1.0, 0.0
 
     def decisions(self, words: list[str]) -> np.ndarray:
+        return np.concatenate([self._decisions(words[at:at + 4000]) for at in range(0, len(words), 4000)] or [np.empty(0)])
+
+    def _decisions(self, words: list[str]) -> np.ndarray:
         pieces = [(i, p) for i, w in enumerate(words) for p in _pieces(w)]
         row, code, weight = subsequences([p for _, p in pieces])
         found = np.full(len(pieces), self.bias)
@@ -132,8 +136,7 @@ class Scorer:
         if len(known) > CACHE_WORDS:
             known.clear()
         new = list(set().union(*held) - known.keys())
-        for at in range(0, len(new), 20_000):
-            known.update(zip(new[at:at + 20_000], self.decisions(new[at:at + 20_000]).tolist(), strict=True))
+        known.update(zip(new, self.decisions(new).tolist(), strict=True))
         top = [max(map(known.__getitem__, words), default=self.bias) for words in held]
         return np.clip(np.array(top, float), -1, 1)  # beyond the margin all are equal
 
@@ -148,8 +151,8 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     table = np.zeros((len(known), len(landmarks)))
     table[at, l_row] = l_weight
     out = np.zeros((len(words), len(landmarks)))
-    for start in range(0, len(words), 2000):
-        row, code, weight = subsequences(words[start:start + 2000])
+    for start in range(0, len(words), 400):
+        row, code, weight = subsequences(words[start:start + 400])
         if len(known) and len(code):
             at = np.minimum(np.searchsorted(known, code), len(known) - 1)
             hit = known[at] == code
@@ -181,20 +184,21 @@ def _margin(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 3
     return w
 
 
-def _fit(rows: list[tuple[int, int, str]]) -> Scorer | None:
+def _fit(rows: Iterable[tuple[int, int, str]]) -> Scorer | None:
     """``rows``: (document, label, sentence)."""
     # Words are counted by the different sentences that hold them, so that
     # copies of a document do not count again.
-    held_by = {0: defaultdict(set), 1: defaultdict(set)}
-    different = {0: set(), 1: set()}
-    bags: list[tuple[int, int, list[str]]] = []
+    count: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    different: dict[int, set[int]] = {0: set(), 1: set()}
+    clean_bags: dict[int, set[str]] = defaultdict(set)
     for doc, label, sentence in rows:
-        words = [p for w in words_of(sentence) for p in _pieces(w) if len(p) >= 3]
-        mark = " ".join(words)
-        different[label].add(mark)
-        bags.append((doc, label, words))
-        for w in words:
-            held_by[label][w].add(mark)
+        words = {sys.intern(p) for w in words_of(sentence) for p in _pieces(w) if len(p) >= 3}
+        mark = hash(frozenset(words))
+        if mark not in different[label]:
+            different[label].add(mark)
+            count[label].update(words)
+        if not label:
+            clean_bags[doc] |= words
     if not different[0] or not different[1]:
         return None
     n_toxic, n_clean = len(different[1]), len(different[0])
@@ -202,21 +206,17 @@ def _fit(rows: list[tuple[int, int, str]]) -> Scorer | None:
 
     def surprise(word: str) -> float:
         """Log likelihood ratio of the word's sentences, if most are toxic."""
-        t, c = len(held_by[1][word]), len(held_by[0].get(word, ()))
+        t, c = count[1][word], count[0][word]
         if t < PURE * (t + c):
             return 0.0
         return t * math.log(t / (share * (t + c))) + (c * math.log(c / ((1 - share) * (t + c))) if c else 0.0)
 
-    scored = sorted(((surprise(w), w) for w in held_by[1]), key=lambda x: (-x[0], x[1]))
+    scored = sorted(((surprise(w), w) for w in count[1]), key=lambda x: (-x[0], x[1]))
     # More than the number of different words makes likely.
     limit = math.log(1 + len(scored))
     strong = [w for s, w in scored if s > limit] or [w for _, w in scored[:20]]
-    clean = sorted(held_by[0], key=lambda w: (len(held_by[0][w]) < 5, _mixed(w)))[:CLEAN_WORDS]
+    clean = sorted(count[0], key=lambda w: (count[0][w] < 5, _mixed(w), w))[:CLEAN_WORDS]
 
-    count = {label: {w: len(d) for w, d in held_by[label].items()} for label in (0, 1)}
-    bag_of: dict[int, tuple[int, set[str]]] = {}
-    for doc, label, bag in bags:
-        bag_of.setdefault(doc, (label, set()))[1].update(bag)
     landmarks = _different(strong[:1500], TOXIC_MARKS)
     positive = {w: math.sqrt(count[1][w]) for w in strong}
     negative = {w: math.sqrt(count[0][w]) for w in clean if w not in positive}
@@ -237,11 +237,10 @@ def _fit(rows: list[tuple[int, int, str]]) -> Scorer | None:
         known, at = np.unique(code, return_inverse=True)
         scorer = Scorer(known, np.bincount(at, part * (root @ w)[row], len(known)), BIAS)
         # The word that looks most toxic in each clean document is not.
-        words = list({w for _, bag in bag_of.values() for w in bag})
+        words = list(count[0])
         value = dict(zip(words, scorer.decisions(words).tolist(), strict=True))
-        best = Counter((label, max(bag, key=lambda w: (value[w], w))) for label, bag in bag_of.values() if bag and label == 0)
-        for (label, word), n in best.items():
-            if label == 0 and word not in positive:
+        for word, n in Counter(max(bag, key=lambda w: (value[w], w)) for bag in clean_bags.values() if bag).items():
+            if word not in positive:
                 negative[word] = negative.get(word, 0) + n
         hard = sorted((w for w in negative if value.get(w, -9) > -0.5), key=lambda w: (-negative[w] * (value[w] + 1), w))[:500]
     return scorer
@@ -296,8 +295,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     .unionByName(present.filter("label = 0").orderBy(F.xxhash64("id"), "id").limit(DOCS)), "sample")
     sample = staged(texts.filter(F.length("text") <= DOC_CHARS).join(F.broadcast(chosen), "id")  # at most 2 * DOCS rows
                          .dropDuplicates(["id"]), "sample-texts")
-    rows = sample.mapInArrow(_sentence_rows, "id long, label int, sentence string").orderBy("label", "id", "sentence").collect()
-    scorer = _fit([(r.id, r.label, r.sentence) for r in rows])
+    rows = sample.mapInArrow(_sentence_rows, "id long, label int, sentence string").orderBy("label", "id", "sentence").toArrow()
+    scorer = _fit(zip(*(rows.column(c).to_pylist() for c in ("id", "label", "sentence")), strict=True))
+    del rows
     if scorer is None:
         return None
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
@@ -308,7 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(sent.value.documents(batch.column(0).to_pylist(), known)), batch.column(1)],
                                              names=["decision", "label"])
 
-    seen = sample.select("text", "label").mapInArrow(decide, "decision double, label int").toPandas()
+    seen = sample.select("text", "label").mapInArrow(decide, "decision double, label int").toArrow().to_pandas()
     shares = {r.label: r["count"] for r in marks.groupBy("label").count().collect()}
     y = seen.label.to_numpy(int)
     taken = np.bincount(y, minlength=2)
