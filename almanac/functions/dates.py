@@ -15,6 +15,8 @@ from ..sources import fixed
 from ..sources.fixed import BODY_DATE_PATTERNS, PUBLISHED_IN_PAGE, PUBLISHED_PREFIX  # noqa: F401
 
 CANONICAL = fixed.CANONICAL_DATE
+# Month name or abbreviation, day, year, anywhere in a text.
+WRITTEN_OUT = r"(?i)\b(" + fixed.MONTHS + "|" + fixed.MONTHS_ABBR + r")\.? (\d{1,2}),? (\d{4})\b"
 # Accepted inputs, tried in order (our fixed list, see the module note).
 FORMATS = [
     "MMMM d, yyyy",
@@ -22,6 +24,8 @@ FORMATS = [
     "yyyy-MM-dd",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
     "M/d/yyyy",
 ]
 
@@ -31,9 +35,16 @@ def _col(c) -> Column:
 
 
 def parse_text_date(c, formats=None) -> Column:
-    """Timestamp of the first format that parses the trimmed text, else NULL."""
-    t = F.trim(_col(c))
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in (formats or FORMATS)])
+    """Timestamp of the first format that parses the text, else of the first
+    date written out inside it, else NULL.  White space of any kind and line
+    breaks count as one space, and '10th' as '10'."""
+    t = F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))
+    t = F.regexp_replace(t, r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1")
+    whole = [F.try_to_timestamp(t, F.lit(f)) for f in (formats or FORMATS)]
+    inside = WRITTEN_OUT
+    month = F.substring(F.initcap(F.regexp_extract(t, inside, 1)), 1, 3)
+    written = F.concat(month, F.lit(" "), F.regexp_extract(t, inside, 2), F.lit(", "), F.regexp_extract(t, inside, 3))
+    return F.coalesce(*whole, F.try_to_timestamp(written, F.lit("MMM d, yyyy")))
 
 
 def canonical_date(c, formats=None) -> Column:
@@ -62,7 +73,8 @@ def first_body_date(c) -> Column:
     """The candidate date text of a body: first match of the first pattern
     that matches anywhere."""
     c = F.coalesce(_col(c), F.lit(""))
-    return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 0), F.lit("")) for p in BODY_DATE_PATTERNS])
+    patterns = [p.replace("(?i)", "(?iU)") for p in BODY_DATE_PATTERNS]  # white space as Unicode has it
+    return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 0), F.lit("")) for p in patterns])
 
 
 def death_date_from_body(c, min_year_exclusive: int = fixed.MIN_DEATH_YEAR_EXCLUSIVE) -> Column:
@@ -123,9 +135,8 @@ def with_body_dates(df, body, header=None, prefix: str = "") -> "DataFrame":
     ``candidate_year``, then ``birth_date``/``death_date`` from the header
     pair when the header has text, else the body candidate kept only after
     2000.  Each regex pass runs once per row."""
-    from ..sources.tables import spread
     c, y = prefix + "candidate", prefix + "candidate_year"
-    df = spread(df).withColumn(c, first_body_date(body))
+    df = df.withColumn(c, first_body_date(body))
     df = df.withColumn(y, year_from_text(F.col(c)))
     body_death = F.when(F.col(y) > fixed.MIN_DEATH_YEAR_EXCLUSIVE, F.col(c))
     if header is None:

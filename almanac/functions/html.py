@@ -63,9 +63,19 @@ def link_pattern(prefix: str = "/") -> str:
     return r"""(?i)<a\s[^>]*?href\s*=\s*["'](""" + lit + r"""[^"']*)["']"""
 
 
+# An anchor's start tag, and the value of its own href (not of data-href),
+# quoted either way or not at all.
+ANCHOR = r"""(?i)<a(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*>"""
+HREF = r"""(?i)[\s"'/]href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
 def links(html, prefix: str = "/") -> Column:
-    """P9 raw: every ``href`` starting with ``prefix``, in page order."""
-    return F.regexp_extract_all(F.coalesce(_col(html), F.lit("")), F.lit(link_pattern(prefix)), 1)
+    """P9 raw: every ``href`` starting with ``prefix``, in page order; links in
+    comments are none, and character references are decoded."""
+    shown = F.regexp_replace(F.coalesce(_col(html), F.lit("")), r"(?s)<!--.*?(?:-->|$)", " ")
+    anchors = F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(0))
+    href = lambda a: unescape(F.concat(*[F.regexp_extract(a, HREF, k) for k in (1, 2, 3)]))
+    return F.filter(F.transform(anchors, href), lambda x: x.startswith(prefix))
 
 
 def site_root(url) -> Column:

@@ -43,30 +43,37 @@ def first_seen(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
         key, *[F.col(f"_first._v_{c}").alias(c) for c in others])
 
 
+PROCESSING_ERROR = "processing_error"
+
+
 def outcomes(candidates: DataFrame, existing: DataFrame, sites: DataFrame, gazetteer: DataFrame, *,
              key: str = "url", url_col: str = "url", first_col: str = "first_name",
              last_col: str = "last_name", body_col: str = "body", mode: str = fixed.MATCH_MODE_PROXIMITY,
              institutions=None, statuses=None, keywords=None,
-             window: int = fixed.DEFAULT_MATCH_WINDOW) -> DataFrame:
+             window: int = fixed.DEFAULT_MATCH_WINDOW, error_col: str | None = None) -> DataFrame:
     """T1 + T2 + W12 + JN1/JN2/JN4: one outcome row per candidate.
 
-    Gate order: missing name -> no affiliation match -> existing record
+    Gate order: processing error (of the page, from ``error_col``) -> missing name -> no affiliation match -> existing record
     (duplicate, carrying the stored name, flag and tags) -> unknown site ->
     saved (with city, province and coordinates).  ``existing`` has the key
     plus ``stored_name``, ``stored_is_alumni``, ``stored_tags``."""
     c = M.with_alumni_match(candidates, body_col, "_match", mode, institutions, statuses, keywords, window)
     ex = existing.select(F.col(key).alias("_ex_key"), "stored_name", "stored_is_alumni", "stored_tags")
+    # A key may have been stored twice: one row per key, so one outcome per candidate.
+    ex = (ex.where(F.col("_ex_key").isNotNull()).groupBy("_ex_key")
+            .agg(F.min(F.struct("stored_name", "stored_is_alumni", "stored_tags")).alias("_ex")).select("_ex_key", "_ex.*"))
     c = c.join(ex, F.col(key) == F.col("_ex_key"), "left")
     c = with_site(c, url_col, sites)
     c = with_coordinates(c, gazetteer)
+    failed = F.col(error_col).isNotNull() if error_col else F.lit(False)
     has_name = F.col(first_col).isNotNull() & F.col(last_col).isNotNull()
     matched = F.col("_match").isNotNull()
     dup = F.col("_ex_key").isNotNull()
     known = F.col("city").isNotNull()
-    status = (F.when(~has_name, F.lit(fixed.SKIPPED)).when(~matched, F.lit(fixed.SKIPPED))
+    status = (F.when(failed, F.lit(fixed.ERROR)).when(~has_name, F.lit(fixed.SKIPPED)).when(~matched, F.lit(fixed.SKIPPED))
               .when(dup, F.lit(fixed.DUPLICATE)).when(~known, F.lit(fixed.SKIPPED))
               .otherwise(F.lit(fixed.SAVED)))
-    reason = (F.when(~has_name, F.lit(fixed.MISSING_NAME)).when(~matched, F.lit(fixed.NO_ALUMNI_KEYWORD))
+    reason = (F.when(failed, F.lit(PROCESSING_ERROR)).when(~has_name, F.lit(fixed.MISSING_NAME)).when(~matched, F.lit(fixed.NO_ALUMNI_KEYWORD))
               .when(dup, F.lit(fixed.EXISTING_URL)).when(~known, F.lit(fixed.UNKNOWN_CITY)))
     name = F.when(has_name & matched & dup, F.col("stored_name")) \
         .when(has_name, T.full_name(F.col(first_col), F.col(last_col)))
@@ -78,7 +85,7 @@ def outcomes(candidates: DataFrame, existing: DataFrame, sites: DataFrame, gazet
         status.alias("status"), reason.alias("reason"), name.alias("name"),
         is_alumni.alias("is_alumni"),
         F.col("_match.institution").alias("institution"),
-        F.when(has_name & matched & dup, F.col("stored_tags")).when(saved, F.lit(fixed.DEFAULT_TAG)).alias("tags"),
+        F.when(has_name & matched & dup, F.col("stored_tags")).when(has_name, F.lit(fixed.DEFAULT_TAG)).alias("tags"),
         F.when(saved, F.col("latitude")).alias("lat"),
         F.when(saved, F.col("longitude")).alias("lon"),
     ).drop("_match", "_ex_key", "stored_name", "stored_is_alumni", "stored_tags", "latitude", "longitude") \

@@ -66,7 +66,7 @@ def _end_state(processed: DataFrame, stops: DataFrame, old_state: DataFrame, key
 
 def listing_scan_plan(pages: DataFrame, state: DataFrame, existing: DataFrame, *, site: str = "site",
                       page: str = "page", links: str = "links", url_col: str = "url",
-                      max_pages: int = fixed.DEFAULT_MAX_PAGES, threshold: int = fixed.DEFAULT_REPEAT_THRESHOLD,
+                      max_pages: int | None = fixed.DEFAULT_MAX_PAGES, threshold: int = fixed.DEFAULT_REPEAT_THRESHOLD,
                       resume: bool = True, force: bool = False):
     """T4 + T14 + T12.  ``pages``: (site, page, links) with links already
     absolute and distinct (P9).  ``state``: crawl state rows (subdomain =
@@ -86,7 +86,7 @@ def listing_scan_plan(pages: DataFrame, state: DataFrame, existing: DataFrame, *
         p = p.join(done, site, "left_anti")
         start = FR.resume_start_page(st, site)
         p = p.join(start, site, "left").where(F.col(page) >= F.coalesce(F.col("start_page"), F.lit(1))).drop("start_page")
-    p = cut_lineage(p.where(F.col(page) <= max_pages))
+    p = cut_lineage(p if max_pages is None else p.where(F.col(page) <= max_pages))
     scanned = cut_lineage(FR.repeated_pages(p, site, page, links, threshold))
     stops = (scanned.where(F.col("stop_reason").isNotNull())
              .groupBy(site).agg(F.min(F.struct(F.col(page).alias("p"), F.col("stop_reason").alias("r"))).alias("_s"))
@@ -106,7 +106,7 @@ def listing_scan_plan(pages: DataFrame, state: DataFrame, existing: DataFrame, *
 def keyword_search_plan(pages: DataFrame, state: DataFrame, existing: DataFrame, *, site: str = "site",
                         keyword: str = "keyword", page: str = "page", links: str = "links",
                         url_col: str = "url", url_dates: DataFrame | None = None, as_of: str | None = None,
-                        max_pages: int = fixed.DEFAULT_MAX_PAGES, resume: bool = True, force: bool = False):
+                        max_pages: int | None = fixed.DEFAULT_MAX_PAGES, resume: bool = True, force: bool = False):
     """T3 + T13 + T15 + T12.  ``pages``: (site, keyword, page, links).
     Optional current-month mode: ``url_dates`` (url, publication_date) and
     ``as_of`` apply N6, W15 and N2 per page.
@@ -133,7 +133,8 @@ def keyword_search_plan(pages: DataFrame, state: DataFrame, existing: DataFrame,
              .where((F.col(page) >= F.coalesce(F.col("start_page"), F.lit(1)))
                     & (F.col(page) >= F.coalesce(F.col("_own"), F.lit(1))))
              .drop("start_page", "_own"))
-    p = p.where(F.col(page) <= max_pages)
+    if max_pages is not None:
+        p = p.where(F.col(page) <= max_pages)
     # Per (site, keyword) a repeated link list stops the keyword
     p = cut_lineage(p.withColumn("_kw_site", F.concat_ws("\u0000", F.col(site), F.col(keyword))))
     scanned = FR.repeated_pages(p.select("_kw_site", site, keyword, page, links), "_kw_site", page, links, 1)
@@ -144,7 +145,7 @@ def keyword_search_plan(pages: DataFrame, state: DataFrame, existing: DataFrame,
     if url_dates is not None and as_of is not None:
         n4 = stop_pages.groupBy(*keys).agg(F.min(page).alias("stop_page"))
         rows, month_stops = _month_pages(rows, n4, url_dates, url_col, as_of, st, keys, site, page,
-                                         resume and not force, max_pages)
+                                         resume and not force)
         stops = stop_pages.unionByName(month_stops).groupBy(*keys).agg(F.min(page).alias("stop_page"))
     else:
         stops = stop_pages.groupBy(*keys).agg(F.min(page).alias("stop_page"))
@@ -169,29 +170,26 @@ def keyword_search_plan(pages: DataFrame, state: DataFrame, existing: DataFrame,
     return work, dups, end
 
 
-MONTH_MODE_MAX_PAGES = 100
-
-
 def _month_pages(rows: DataFrame, n4_stops: DataFrame, url_dates: DataFrame, url_col: str, as_of: str,
-                 st: DataFrame, keys: list[str], site: str, page: str, resume: bool, max_pages: int):
+                 st: DataFrame, keys: list[str], site: str, page: str, resume: bool):
     """Current-month mode (N6, W15, N2) page by page.
 
     A URL already handled on an earlier page of the site is dropped *before*
     a page is sorted by date, so whether a page is cut depends on what the
     earlier pages yielded: the pages are evaluated in order, one distributed
-    step per page number (at most ``max_pages``; the default is 2), each
-    step over all sites and keywords at once, with the visited set and the
-    retired keys carried as tables (lineage cut per step)."""
-    if max_pages > MONTH_MODE_MAX_PAGES:
-        raise ValueError(f"current-month mode reads page by page; max_pages must be <= {MONTH_MODE_MAX_PAGES}")
+    step per page number, each step over all sites and keywords at once,
+    with the visited set and the retired keys carried as tables (lineage cut
+    per step).  There is no cap on pages: the steps end after the last page
+    that any key still reads."""
     dated = rows.join(url_dates.select(F.col(url_col).alias("url"), F.col("publication_date").alias("_ts")),
                       "url", "left")
     dated = dated.join(n4_stops, keys, "left").where(F.col("stop_page").isNull() | (F.col(page) <= F.col("stop_page")))
     dated = cut_lineage(dated.drop("stop_page").withColumn("_cur", D.is_current_month(F.col("_ts"), as_of)))
-    numbers = sorted(r[0] for r in dated.select(page).distinct().collect())  # <= max_pages small ints
+    reading_now = dated.select(*keys, page)
+    n = dated.agg(F.min(page)).first()[0]
     visited = retired = None
     yielded, stops = [], []
-    for n in numbers:
+    while n is not None:
         cur = dated.where(F.col(page) == n)
         if retired is not None:
             cur = cur.join(retired, keys, "left_anti")
@@ -218,6 +216,7 @@ def _month_pages(rows: DataFrame, n4_stops: DataFrame, url_dates: DataFrame, url
         new_seen = kept.select(site, "url")
         visited = cut_lineage((new_seen if visited is None else visited.unionByName(new_seen)).distinct())
         retired = stop if retired is None else cut_lineage(retired.unionByName(stop).distinct())
+        n = reading_now.where(F.col(page) > n).join(retired, keys, "left_anti").agg(F.min(page)).first()[0]
     empty_rows = dated.select(*keys, page, "pos", "url").where(F.lit(False))
     empty_stops = dated.select(*keys, page).where(F.lit(False))
     out_rows = empty_rows

@@ -83,7 +83,8 @@ def repeated_pages(pages: DataFrame, site: str, page: str, links: str,
     sighting past the limit is a stopping repeat, so the result is exact."""
     k = threshold + 1
     sig = F.sha2(F.concat_ws("\n", F.col(links)), 256)
-    p = pages.withColumn("_n_links", F.size(links)).withColumn("_sig", F.when(F.col("_n_links") > 0, sig))
+    failed = F.col(links).isNull()  # the page could not be fetched
+    p = pages.withColumn("_n_links", F.when(failed, 0).otherwise(F.size(links))).withColumn("_sig", F.when(F.col("_n_links") > 0, sig))
     w = Window.partitionBy(site, "_sig").orderBy(F.col(page))
     firsts = (p.where(F.col("_sig").isNotNull()).select(site, "_sig", page)
               .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k))
@@ -91,7 +92,7 @@ def repeated_pages(pages: DataFrame, site: str, page: str, links: str,
     sighting = F.when(F.col("_sig").isNotNull(), F.coalesce(F.col("_rn"), F.lit(k + 1)))
     repeats = sighting - 1
     p = p.withColumn("sighting", sighting)
-    stop_reason = (F.when(F.col("_n_links") == 0, F.lit(fixed.STOP_NO_LINKS))
+    stop_reason = (F.when(failed, F.lit(fixed.STOP_ERROR)).when(F.col("_n_links") == 0, F.lit(fixed.STOP_NO_LINKS))
                    .when(repeats >= threshold, F.lit(fixed.STOP_REPEATED)))
     p = p.withColumn("stop_reason", stop_reason)
     stops = p.where(F.col("stop_reason").isNotNull()).groupBy(site).agg(F.min(page).alias("stop_page"))
@@ -100,15 +101,14 @@ def repeated_pages(pages: DataFrame, site: str, page: str, links: str,
     return p.select(
         *[c for c in pages.columns if c != links],
         F.col("_n_links").alias("n_links"),
-        F.least(F.col("sighting"), F.lit(k + 1)).alias("sighting"),
-        (F.col("sighting") > 1).alias("is_repeat"),
+        "sighting",
+        F.coalesce(F.col("sighting") > 1, F.lit(False)).alias("is_repeat"),
         "stop_reason", read.alias("read"),
         F.when(read & (F.col("sighting") == 1), F.col("_n_links")).otherwise(F.lit(0)).alias("n_yielded"))
 
 
 def resume_slice(cands: DataFrame, state: DataFrame, plan_key: list[str], page: str, order_col: str,
-                 url_col: str, resume: bool = True, force: bool = False,
-                 max_state_rows: int = 200_000) -> DataFrame:
+                 url_col: str, resume: bool = True, force: bool = False) -> DataFrame:
     """T6 + W13 + JN7 over candidate rows ``(plan_key..., page, order, url)``.
 
     ``state`` has one row per plan key with ``page_number``,
@@ -116,14 +116,12 @@ def resume_slice(cands: DataFrame, state: DataFrame, plan_key: list[str], page:
     'completed' (and 'pagination_blocked') keys are skipped whole; a
     'running' state with page and URL drops earlier pages, keeps only the
     rows after that URL on its page when the URL is there, and keeps later
-    pages whole.  The state table is one row per plan key (small), joined by
-    a checked broadcast."""
-    from ..sources.tables import sized_broadcast
+    pages whole.  The state table has one row per plan key."""
     if not resume or force:
         return cands
     st = state.select(*plan_key, F.col("page_number").alias("_sp"),
                       F.col("last_processed_url").alias("_su"), F.col("status").alias("_ss"))
-    c = cands.join(sized_broadcast(st, max_state_rows), list(plan_key), "left")
+    c = cands.join(st, list(plan_key), "left")
     done = F.coalesce(F.col("_ss").isin(fixed.STATE_COMPLETED, fixed.STATE_BLOCKED), F.lit(False))
     c = c.where(~done)
     # position of the resume URL on its page (a per-key fact, joined back)

@@ -24,12 +24,15 @@ def process_notices(record_pages: DataFrame, records: DataFrame, sites: DataFram
     ``sites``/``gazetteer``: dimensions.  New records carry the full record
     schema; their id is a hash of the URL (stable across runs)."""
     o = options or JobOptions()
-    f = page_fields(record_pages, url_col, html_col, link_prefix)
+    # In-run visited rule: a URL is read once; its later sightings are skipped.
+    seen = record_pages.groupBy(url_col).agg(F.min(html_col).alias(html_col), F.count(F.lit(1)).alias("_sightings"))
+    again = seen.where("_sightings > 1").select(url_col, F.explode(F.sequence(F.lit(2).cast("long"), "_sightings")).alias("_n"))
+    f = page_fields(seen, url_col, html_col, link_prefix)
     existing = records.select(F.col("obituary_url").alias(url_col), F.col("name").alias("stored_name"),
                               F.col("is_alumni").alias("stored_is_alumni"), F.col("tags").alias("stored_tags"))
     out = outcomes(f, existing, sites, gazetteer, key=url_col, url_col=url_col, body_col="body",
                    mode=o.match_mode, institutions=o.institution_keywords, statuses=o.status_keywords,
-                   keywords=o.alumni_keywords, window=o.match_window)
+                   keywords=o.alumni_keywords, window=o.match_window, error_col="error")
     saved = out.where(F.col("status") == fixed.SAVED)
     new_records = saved.select(
         F.xxhash64(url_col).alias("id"), F.lit(fixed.DEFAULT_TAG).alias("tags"),
@@ -38,5 +41,9 @@ def process_notices(record_pages: DataFrame, records: DataFrame, sites: DataFram
         F.col(url_col).alias("obituary_url"), F.col("body").alias("family_information"),
         T.sentence_filter(F.col("body")).alias("donation_information"),
         F.lit(True).alias("is_alumni"), "city", "province", "funeral_home", "latitude", "longitude")
-    return out.select(url_col, "status", "reason", "name", "is_alumni", "institution", "publication_text",
-                      "tags", "city", "province"), new_records
+    columns = (url_col, "status", "reason", "name", "is_alumni", "institution", "publication_text",
+               "tags", "city", "province", "error")
+    first = out.select(*columns)
+    later = again.select(url_col, F.lit(fixed.SKIPPED).alias("status"), F.lit(fixed.STOP_VISITED).alias("reason"))
+    rest = [F.lit(None).cast(first.schema[c].dataType).alias(c) for c in columns[3:]]
+    return first.unionByName(later.select("*", *rest)), new_records

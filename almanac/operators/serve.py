@@ -138,12 +138,12 @@ def year_buckets(records: DataFrame, as_of_year: int, ts="publication_date", id_
 
 def year_bucket_rows(records: DataFrame, ts="publication_date", id_col="id", flag="is_alumni",
                      floor: int = fixed.YEAR_BUCKET_FLOOR) -> DataFrame:
-    """A4 member rows: every dated flagged row with its bucket, newest first
-    inside a bucket (a distributed range sort, not a per-bucket list)."""
+    """A4 member rows: every dated flagged row with its bucket, newest first,
+    so the years descend and the 'Before' bucket is last (a distributed range sort, not a per-bucket list)."""
     dated = records.where(is_true(flag)) if flag is not None else records
     return (dated.where(_col(ts).isNotNull())
             .withColumn("bucket", year_bucket(ts, floor))
-            .orderBy(F.desc("bucket"), F.desc(ts), F.asc(id_col)))
+            .orderBy(F.desc(ts), F.asc(id_col)))
 
 
 def finite(c) -> Column:

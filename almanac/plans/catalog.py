@@ -17,7 +17,7 @@ from ..functions import html as H
 from ..functions import match as M
 from ..functions import text as T
 from ..operators import serve
-from ..sources.tables import sized_broadcast, table
+from ..sources.tables import table
 
 QUERIES = {}
 
@@ -45,8 +45,8 @@ def customer_records(spark, sf):
     """customer x nation x region as searchable records (city = nation,
     province = region)."""
     c = table(spark, sf, "customer")
-    n = sized_broadcast(table(spark, sf, "nation"), 10_000)
-    r = sized_broadcast(table(spark, sf, "region"), 10_000)
+    n = table(spark, sf, "nation")
+    r = table(spark, sf, "region")
     return (c.join(n, c.c_nationkey == n.n_nationkey, "left")
              .join(r, F.col("n_regionkey") == r.r_regionkey, "left")
              .select("c_custkey", "c_name", "c_mktsegment", "c_acctbal",
@@ -633,8 +633,8 @@ def q_attempts(spark, sf):
 
 def _order_records(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    n = sized_broadcast(table(spark, sf, "nation"), 10_000)
-    r = sized_broadcast(table(spark, sf, "region"), 10_000)
+    n = table(spark, sf, "nation")
+    r = table(spark, sf, "region")
     j = (o.join(c, o.o_custkey == c.c_custkey, "left")
           .join(n, F.col("c_nationkey") == n.n_nationkey, "left")
           .join(r, F.col("n_regionkey") == r.r_regionkey, "left"))
@@ -749,7 +749,6 @@ def q_stream_state(spark, sf):
 
 # ------------------------------------------------- T3/T4/T12 crawl plans --
 
-PLAN_MAX_PAGES = 1_000_000  # page ids stand for page numbers: no page cap
 
 
 def _plan_pages(spark, sf):
@@ -790,7 +789,7 @@ def _listing_plan(spark, sf):
     all_pages = _plan_pages(spark, sf)
     pages = all_pages.where(F.col("site").isNotNull()).drop("keyword")
     state = _plan_state(pages, ["site"], "__listing__")
-    return listing_scan_plan(pages, state, _plan_existing(all_pages), max_pages=PLAN_MAX_PAGES, threshold=1)
+    return listing_scan_plan(pages, state, _plan_existing(all_pages), max_pages=None, threshold=1)
 
 
 @register("listing_plan_work")
@@ -813,7 +812,7 @@ def _search_plan(spark, sf):
     all_pages = _plan_pages(spark, sf)
     pages = all_pages.where(F.col("site").isNotNull())
     state = _plan_state(pages, ["site", "keyword"])
-    return keyword_search_plan(pages, state, _plan_existing(all_pages), max_pages=PLAN_MAX_PAGES)
+    return keyword_search_plan(pages, state, _plan_existing(all_pages), max_pages=None)
 
 
 @register("search_plan_work")

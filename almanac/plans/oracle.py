@@ -431,7 +431,7 @@ oc AS (SELECT doc_id, url,
          CASE WHEN has_name AND matched AND NOT dup AND known THEN g_lat END AS latitude,
          CASE WHEN has_name AND matched AND NOT dup AND known THEN g_lon END AS longitude,
          CASE WHEN has_name AND matched AND dup THEN stored_tags
-              WHEN has_name AND matched AND NOT dup AND known THEN 'new' END AS tags
+              WHEN has_name THEN 'new' END AS tags
        FROM j)
 """
 
@@ -682,7 +682,6 @@ ORACLE["stream_state"] = ORACLE["latest_state"]
 # ---------------------------------------------- T3/T4/T12 crawl plans ---
 # Sequential rules stated with window functions (row_number per signature,
 # first stop page per key), independent of the Spark aggregate/join form.
-from .catalog import PLAN_MAX_PAGES  # noqa: E402
 
 _PLAN_BASE = "WITH " + _LINKS_CTE + f""",
 lk AS (SELECT page_id, list(link ORDER BY position) AS links FROM pl GROUP BY page_id),
@@ -713,7 +712,7 @@ sp AS (SELECT site, coalesce(min(CASE WHEN status = 'running' AND coalesce(page_
                                       THEN page_number END), 1) AS start_page FROM st2 GROUP BY site),
 p AS (SELECT pg.* FROM pg LEFT JOIN sp ON pg.site = sp.site
       WHERE NOT EXISTS (SELECT 1 FROM st2 WHERE st2.site = pg.site AND st2.status IN ('completed', 'pagination_blocked'))
-        AND pg.page >= coalesce(sp.start_page, 1) AND pg.page <= {PLAN_MAX_PAGES}),
+        AND pg.page >= coalesce(sp.start_page, 1)),
 s AS (SELECT *, len(links) AS n_links, CASE WHEN len(links) > 0 THEN array_to_string(links, chr(10)) END AS sig FROM p),
 r AS (SELECT *, CASE WHEN sig IS NOT NULL THEN row_number() OVER (PARTITION BY site, sig ORDER BY page) END AS rn FROM s),
 r2 AS (SELECT *, CASE WHEN n_links = 0 THEN 'no_links' WHEN rn - 1 >= 1 THEN 'repeated_page' END AS stop_reason FROM r),
@@ -758,7 +757,7 @@ p AS (SELECT pg.* FROM pg LEFT JOIN sp ON pg.site = sp.site
                        LEFT JOIN own ON pg.site = own.site AND pg.keyword = own.keyword
       WHERE NOT EXISTS (SELECT 1 FROM st2 WHERE st2.site = pg.site AND st2.keyword = pg.keyword
                                              AND st2.status = 'completed')
-        AND pg.page >= coalesce(sp.start_page, 1) AND pg.page >= coalesce(own.own, 1) AND pg.page <= {PLAN_MAX_PAGES}),
+        AND pg.page >= coalesce(sp.start_page, 1) AND pg.page >= coalesce(own.own, 1)),
 s AS (SELECT *, len(links) AS n_links, CASE WHEN len(links) > 0 THEN array_to_string(links, chr(10)) END AS sig FROM p),
 r AS (SELECT *, CASE WHEN sig IS NOT NULL THEN row_number() OVER (PARTITION BY site, keyword, sig ORDER BY page) END AS rn
       FROM s),

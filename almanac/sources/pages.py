@@ -28,13 +28,14 @@ from . import fixed
 NA = "N/A"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
         "param", "source", "track", "wbr"}
+ERROR_CHARS = 4000
 HIDDEN = {"script", "style", "template"}
 
 RAW_SCHEMA = (
     "url string, name_full string, name_upper string, testid_names array<string>, "
     "meta_titles array<string>, body_candidates array<string>, date_strings array<string>, "
     "date_header_text string, published_candidates array<string>, published_phrase string, "
-    "funeral_home string, links array<string>"
+    "funeral_home string, links array<string>, error string"
 )
 
 # plain values copied here: the row path below is shipped to workers by value
@@ -80,18 +81,23 @@ class _TreeBuilder(HTMLParser):
 
 
 def _walk(node):
-    for ch in node.children:
-        if isinstance(ch, _Node):
-            yield ch
-            yield from _walk(ch)
+    """Elements below ``node`` in page order, by a stack of our own: markup
+    may be nested deeper than Python calls can be."""
+    todo = [ch for ch in reversed(node.children) if isinstance(ch, _Node)]
+    while todo:
+        cur = todo.pop()
+        yield cur
+        todo.extend(ch for ch in reversed(cur.children) if isinstance(ch, _Node))
 
 
 def _strings(node):
-    for ch in node.children:
-        if isinstance(ch, str):
-            yield ch
-        elif ch.tag not in HIDDEN:
-            yield from _strings(ch)
+    todo = list(reversed(node.children))
+    while todo:
+        cur = todo.pop()
+        if isinstance(cur, str):
+            yield cur
+        elif cur.tag not in HIDDEN:
+            todo.extend(reversed(cur.children))
 
 
 def _text(node):
@@ -125,11 +131,8 @@ def _raw_fields(url, html, link_prefix):
     if _PHRASE is None:
         _PHRASE = re.compile(PHRASE_PATTERN)
     b = _TreeBuilder()
-    try:
-        b.feed(html or "")
-        b.close()
-    except Exception:  # malformed markup: keep what was built
-        pass
+    b.feed(html or "")
+    b.close()
     nodes = list(_walk(b.root))
     name_full = _find(nodes, "h1", "obit-name")
     name_upper = _find(nodes, "span", "obit-lastname-upper")
@@ -159,7 +162,15 @@ def _raw_fields(url, html, link_prefix):
     links = [n.attrs["href"] for n in nodes
              if n.tag == "a" and n.attrs.get("href", "").startswith(link_prefix)]
     return (url, _text(name_full) if name_full else None, _text(name_upper) if name_upper else None,
-            testids, metas, bodies, date_strings, header_text, pubs, m.group(1) if m else None, fh, links)
+            testids, metas, bodies, date_strings, header_text, pubs, m.group(1) if m else None, fh, links, None)
+
+
+def _fields_or_error(url, html, link_prefix, n_cols):
+    """A page that cannot be read is an error of that page, not of the job."""
+    try:
+        return _raw_fields(url, html, link_prefix)
+    except Exception as e:  # noqa: BLE001
+        return (url,) + (None,) * (n_cols - 2) + (f"{type(e).__name__}: {e}"[:ERROR_CHARS],)
 
 
 # Ship this module's code with the task (pickled by value), so Python
@@ -174,12 +185,11 @@ def raw_page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefi
 
     def run(batches):
         for pdf in batches:
-            rows = [_raw_fields(u, h, link_prefix) for u, h in zip(pdf[url_col], pdf[html_col])]
+            rows = [_fields_or_error(u, h, link_prefix, len(cols)) for u, h in zip(pdf[url_col], pdf[html_col])]
             yield pd.DataFrame(rows, columns=cols)
 
-    from .tables import spread
-    return spread(pages.select(F.col(url_col).alias(url_col), F.col(html_col).alias(html_col))) \
-        .mapInPandas(run, RAW_SCHEMA)
+    return (pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+                 .withColumnsRenamed({"url": url_col, "html": html_col}).mapInPandas(run, RAW_SCHEMA))
 
 
 def page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix=fixed.RECORD_LINK_PREFIX) -> DataFrame:
@@ -229,5 +239,6 @@ def page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix=fi
                      F.filter(F.array(F.col("published_phrase")), lambda x: x.isNotNull()))).alias("publication_text"),
         "funeral_home",
         F.array_distinct("links").alias("links"),
+        "error",
     )
     return out.withColumn("publication_date", D.publication_timestamp("publication_text"))

@@ -1,8 +1,7 @@
 """Table sources (S1-S3) and record/ledger schemas.
 
 Reads are plain Parquet scans so Catalyst can prune columns and push
-filters into the reader; nothing here triggers an action except the
-explicit size check in :func:`sized_broadcast`.
+filters into the reader; nothing here triggers an action.
 """
 
 from __future__ import annotations
@@ -21,15 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast a dimension only after checking it is small.  The check is
-    a bounded action (reads at most ``max_rows + 1`` rows); beyond the bound
-    the frame is returned as is and the join shuffles (AQE may still turn it
-    into a broadcast join at run time from real sizes)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 # Record table (both the stored and the serving copy).
 RECORD_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False),
@@ -95,15 +85,3 @@ def append_records(df: DataFrame, path: str) -> None:
 def backfill_tags(df: DataFrame, default: str = "new") -> DataFrame:
     """S10 data effect: tags NULL -> 'new'."""
     return df.withColumn("tags", F.coalesce(F.col("tags"), F.lit(default)))
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Even out CPU-heavy per-row work (regex spans, HTML parsing, text
-    clean-up).  A small input stored as one Parquet row group scans as a
-    single task; when a frame has fewer partitions than the cluster's
-    parallelism it is round-robin repartitioned (no key, so no skew).  On a
-    large table the scan already has many splits and this is a no-op."""
-    if df.isStreaming:
-        return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

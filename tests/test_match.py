@@ -1,4 +1,4 @@
-"""Keyword matching: the original's behaviour cases plus a randomised check
+"""Keyword matching: cases of our own plus a randomised check
 against a plain Python ``re`` model of the same rules."""
 
 import random
@@ -14,30 +14,26 @@ def run(spark, texts, **kw):
     return [r["m"].asDict() if r["m"] is not None else None for r in out]
 
 
-def test_case_insensitive_and_noise(spark):
-    got = run(spark, ["A proud graduate of the university of windsor.",
-                      "He was a proud UWindsor alumnus.",
-                      "A long-time Windsor resident.",
-                      "He loved UWindsor and the local community."])
+def test_case_and_near_misses(spark):
+    got = run(spark, ["In 1971 they were a GRADUATE OF the UNIVERSITY OF WINDSOR, and glad of it.",
+                      "Forty years on, still an UWindsor alumnus at heart.",
+                      "Born, raised and buried near Windsor.",
+                      "Swept the halls of UWindsor each night."])
     assert got[0]["institution"] == "University of Windsor"
-    assert got[1]["institution"] == "UWindsor" and got[1]["status"] == "alumnus"
-    assert got[2] is None
-    assert got[3] is None
+    assert (got[1]["institution"], got[1]["status"]) == ("UWindsor", "alumnus")
+    assert got[2:] == [None, None]
 
 
-def test_dotted_status_and_status_before_institution(spark):
-    a, b, c = run(spark, ["She earned her LL.B. from Windsor Law before serving her community.",
-                          "After graduating, he attended the University of Windsor and built a career.",
-                          "He studied at Windsor University School of Medicine before moving away."])
-    assert a["institution"] == "Windsor Law" and a["status"] == "LL.B." and "Windsor Law" in a["matched_text"]
-    assert b["institution"] == "University of Windsor" and b["status"] in {"graduating", "attended"}
-    assert c is None
+def test_dotted_status_and_order(spark):
+    a, b = run(spark, ["Called to the bar with an LL.B. of Windsor Law.",
+                       "Some graduating classes forget; the one at the University of Windsor did not."])
+    assert (a["institution"], a["status"]) == ("Windsor Law", "LL.B.") and "Windsor Law" in a["matched_text"]
+    assert (b["institution"], b["status"]) == ("University of Windsor", "graduating")
 
 
-def test_simple_mode_custom_phrase(spark):
-    (m,) = run(spark, ["Custom alumni phrase appears here."], mode="simple", keywords=["Custom Alumni Phrase"])
-    assert m == {"institution": "Custom Alumni Phrase", "status": "simple_keyword",
-                 "matched_text": "Custom Alumni Phrase"}
+def test_simple_mode_own_phrase(spark):
+    (m,) = run(spark, ["Every spring the Tall Ships Choir sang."], mode="simple", keywords=["tall ships choir"])
+    assert m["status"] == "simple_keyword" and m["institution"] == "tall ships choir"
 
 
 def test_window_edge(spark):
