@@ -7,13 +7,16 @@ disk, so a lost executor costs a re-read and never a wrong answer.
 
 from __future__ import annotations
 
+import pickle
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import shared_path
 
@@ -39,10 +42,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clash_free(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns of ``df``, so that extra columns, whatever they
-    are called, never meet an operator's own."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function that gives ``value``, which must be of bounded size, in any
+    task; sent once to each executor, with the code of its class."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
 
 
 class WordHashes(dict):

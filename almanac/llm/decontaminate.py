@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, staged
+from .common import shipped, small_batches, staged
 
 K1, B = 1.2, 0.75
 #: Least share of an item's weight in a passage, and least share of the
@@ -226,11 +226,10 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     kind = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], kind)
     for index in _indexes(items, item_id, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], get=shipped(docs.sparkSession, index)) -> Iterator[pa.RecordBatch]:
+            known = get()
             for batch in small_batches(batches, 128):
-                held = sent.value.verified(batch.column(1).to_pylist(), score, least_overlap)
+                held = known.verified(batch.column(1).to_pylist(), score, least_overlap)
                 found = [(i, *x) for i, own in zip(batch.column(0).to_pylist(), held, strict=True) for x in own]
                 if found:
                     ids, own, *rest = zip(*found, strict=True)
@@ -248,12 +247,11 @@ def uncontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", it
     nothing is shuffled.  The cases are those of :func:`contaminations`."""
     schema: T.StructType = docs.schema
     for index in _indexes(items, item_id, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], get=shipped(docs.sparkSession, index)) -> Iterator[pa.RecordBatch]:
+            known = get()
             for batch in small_batches(batches, 128):
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                yield batch.filter(pa.array([not x for x in sent.value.verified(texts, score, least_overlap)], pa.bool_()))
+                yield batch.filter(pa.array([not x for x in known.verified(texts, score, least_overlap)], pa.bool_()))
 
         docs = docs.mapInArrow(clean, schema)
     return docs

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, small_batches, staged
+from .common import CACHE_WORDS, shipped, small_batches, staged
 
 SPAN, DECAY = 5, 0.6
 DOCS, DOC_CHARS = 1000, 12_000
@@ -300,12 +300,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     del rows
     if scorer is None:
         return None
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+    get = shipped(docs.sparkSession, scorer)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        own, known = get(), {}
         for batch in small_batches(batches, 128):
-            yield pa.RecordBatch.from_arrays([pa.array(sent.value.documents(batch.column(0).to_pylist(), known)), batch.column(1)],
+            yield pa.RecordBatch.from_arrays([pa.array(own.documents(batch.column(0).to_pylist(), known)), batch.column(1)],
                                              names=["decision", "label"])
 
     seen = sample.select("text", "label").mapInArrow(decide, "decision double, label int").toArrow().to_pandas()
@@ -334,13 +334,13 @@ def scored(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", score
     docs = docs.drop(*[c for c in docs.columns if c.lower() == score_col.lower()])
     if scorer is None:
         return docs.withColumn(score_col, F.lit(0.0))
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+    get = shipped(docs.sparkSession, scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        own, known = get(), {}
         for batch in small_batches(batches, 128):
-            found = sent.value.documents(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), known)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.probability(found), pa.float64())],
+            found = own.documents(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), known)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.probability(found), pa.float64())],
                                              names=[*batch.schema.names, score_col])
 
     return docs.mapInArrow(run, docs.withColumn(score_col, F.lit(0.0)).schema)
