@@ -5,8 +5,8 @@ several rules.  Here every rule is a set-based predicate over a table of
 (site, keyword, page, position, url) rows, partitioned by the plan key, so
 sites run in parallel and the order inside a plan key only shows up as an
 ordering column.  Per-key "first/last/min" facts are aggregates (map-side
-partial, skew-proof) joined back on the key; AQE splits a skewed join
-partition, so a hot site does not land in one task.
+partial, skew-proof) joined back on the key; adaptive execution splits a
+skewed join partition unless an aggregate on the same key follows.
 """
 
 from __future__ import annotations
@@ -43,28 +43,28 @@ def stale_cut(cands: DataFrame, plan_key: list[str], page: str, pos: str, ts: st
     kept (N6).  Pages after the first stopping page are never read (N5).
 
     The first stale row of a page is the newest non-current row, so the
-    prefix is "current and newer than it": an aggregate per page joined
-    back, no ordered scan.  Returns the kept rows plus ``stop_page``."""
+    prefix is "current and newer than it".  Whether a page stops its key, and
+    where a key stops, follow from four facts per page, which are partial
+    aggregates over one scan; they return to the rows by one join of a table
+    of one row per page.  Returns the kept rows plus ``stop_page``."""
     pk = list(plan_key) + [page]
     cur = D.is_current_month(F.col(ts), as_of)
-    first_cur = F.min_by(cur, F.col(pos))  # first listed row, dated or not
+    dated = F.col(ts).isNotNull()
     rows = cands.withColumn("_cur", cur)
-    page_stats = rows.groupBy(*pk).agg(
-        F.max(F.when(F.col(ts).isNotNull() & ~F.col("_cur"), F.col(ts))).alias("_stale_ts"),
-        first_cur.alias("_first_cur"))
-    gate = (F.col(page) == 1) & ~F.coalesce(F.col("_first_cur"), F.lit(False))
-    kept_flag = (F.col(ts).isNotNull() & F.col("_cur") & ~gate
-                 & (F.col("_stale_ts").isNull() | (F.col(ts) > F.col("_stale_ts"))))
-    marked = rows.join(page_stats, pk, "left").withColumn("_kept", kept_flag)
-    per_page = marked.groupBy(*pk).agg(
-        F.count_if(F.col("_kept")).alias("_n_kept"),
-        F.max(F.col("_stale_ts").isNotNull()).alias("_cut"),
-        F.max(gate).alias("_gate"))
-    stops = (per_page.where((F.col("_n_kept") == 0) | F.col("_cut") | F.col("_gate"))
-             .groupBy(*plan_key).agg(F.min(page).alias("stop_page")))
-    kept = marked.where("_kept").join(stops, list(plan_key), "left")
-    kept = kept.where(F.col("stop_page").isNull() | (F.col(page) <= F.col("stop_page")))
-    return kept.drop("_cur", "_stale_ts", "_first_cur", "_kept")
+    facts = rows.groupBy(*pk).agg(
+        F.max(F.when(dated & ~F.col("_cur"), F.col(ts))).alias("_stale_ts"),
+        F.max(F.when(dated & F.col("_cur"), F.col(ts))).alias("_newest"),
+        F.min_by("_cur", F.col(pos)).alias("_first_cur"))  # first listed row, dated or not
+    stale = F.col("_stale_ts").isNotNull()
+    facts = facts.withColumn("_gate", (F.col(page) == 1) & ~F.coalesce(F.col("_first_cur"), F.lit(False)))
+    empty = F.col("_gate") | F.col("_newest").isNull() | (stale & (F.col("_newest") <= F.col("_stale_ts")))
+    stops = facts.where(empty | stale).groupBy(*plan_key).agg(F.min(page).alias("stop_page"))
+    open_pages = (facts.where(~empty).join(stops, list(plan_key), "left")
+                       .where(F.col("stop_page").isNull() | (F.col(page) <= F.col("stop_page")))
+                       .select(*pk, "_stale_ts", "stop_page"))
+    kept = rows.join(open_pages, pk)
+    kept = kept.where(dated & F.col("_cur") & (F.col("_stale_ts").isNull() | (F.col(ts) > F.col("_stale_ts"))))
+    return kept.select(*cands.columns, "stop_page")
 
 
 def repeated_pages(pages: DataFrame, site: str, page: str, links: str,
@@ -84,7 +84,10 @@ def repeated_pages(pages: DataFrame, site: str, page: str, links: str,
     k = threshold + 1
     sig = F.sha2(F.concat_ws("\n", F.col(links)), 256)
     failed = F.col(links).isNull()  # the page could not be fetched
+    # Everything after this needs the count and the signature only.
     p = pages.withColumn("_n_links", F.when(failed, 0).otherwise(F.size(links))).withColumn("_sig", F.when(F.col("_n_links") > 0, sig))
+    p = p.withColumn("_failed", failed).drop(links)
+    failed = F.col("_failed")
     w = Window.partitionBy(site, "_sig").orderBy(F.col(page))
     firsts = (p.where(F.col("_sig").isNotNull()).select(site, "_sig", page)
               .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k))

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from almanac.plans.catalog import QUERIES
 from conftest import SMALL
 
 STREAMS = {"stream_dedup", "stream_dedup_watermark", "stream_counters", "stream_state", "stream_notice_outcomes"}
@@ -19,14 +19,14 @@ def formatted(df):
         df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
 def test_no_cartesian_or_nested_loop(spark, name):
-    p = plan(E.queries()[name](spark, SMALL))
+    p = plan(QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
 def test_per_key_facts_reduce_before_shuffle(spark):
-    q = E.queries()
+    q = QUERIES
     assert re.search(r"WindowGroupLimit.*Partial", plan(q["latest_per_key"](spark, SMALL)))
     assert re.search(r"WindowGroupLimit.*Partial", plan(q["attempts"](spark, SMALL)))
     assert re.search(r"WindowGroupLimit.*Partial", plan(q["repeated_pages"](spark, SMALL)))
@@ -38,7 +38,7 @@ def test_per_key_facts_reduce_before_shuffle(spark):
 def test_document_text_not_shuffled(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        f = formatted(E.queries()["outcomes"](spark, SMALL))
+        f = formatted(QUERIES["outcomes"](spark, SMALL))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     blocks = [b for b in f.split("\n\n") if ") Exchange" in b]
@@ -47,9 +47,9 @@ def test_document_text_not_shuffled(spark):
 
 def test_crawl_plans_stay_linear(spark):
     for name in ["listing_plan_work", "search_plan_work", "listing_plan_state", "search_plan_state"]:
-        assert plan(E.queries()[name](spark, SMALL)).count("Exchange") <= 12, name
+        assert plan(QUERIES[name](spark, SMALL)).count("Exchange") <= 12, name
 
 
 def test_scan_prunes_columns(spark):
-    p = plan(E.queries()["keyword_hits_simple"](spark, SMALL))
+    p = plan(QUERIES["keyword_hits_simple"](spark, SMALL))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
