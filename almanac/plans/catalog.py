@@ -877,3 +877,59 @@ def q_serving_copy(spark, sf):
         F.concat(F.lit("https://example.com/c/"), F.col("o_custkey").cast("string")).alias("obituary_url"),
         "o_orderstatus", _day("o_orderdate").alias("order_date"))
     return serving_copy(o).select("obituary_url", "id", "o_orderstatus", "order_date")
+
+
+@register("record_lookup")
+def q_record_lookup(spark, sf):
+    """One record by id."""
+    recs = customer_records(spark, sf)
+    return serve.point_lookup(recs, 7, id_col="c_custkey").select("c_custkey", "c_name", "city", "province")
+
+
+@register("target_site")
+def q_target_site(spark, sf):
+    """A run limited to one site."""
+    from ..operators.frontier import order_sites
+    p = table(spark, sf, "pages")
+    sites = p.select(T.host_label("url").alias("subdomain")).where(F.col("subdomain").isNotNull())
+    return order_sites(sites, PRIORITY_SITES, target="www")
+
+
+@register("json_records")
+def q_json_records(spark, sf):
+    """The public projection with dates as ISO text."""
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"),
+        F.col("o_orderdate").cast("timestamp").alias("publication_date"), F.col("o_orderpriority").alias("tags"))
+    return serve.json_projection(o, ["id", "name", "publication_date", "tags"])
+
+
+@register("custom_keyword_hits")
+def q_custom_keyword_hits(spark, sf):
+    """S6 + M5: a job's own keyword list, given as comma-separated text."""
+    from ..sources.fixed import parse_keyword_list
+    words = parse_keyword_list(" apache license , ,mit license,that ", [])
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    out = M.with_alumni_match(d, "text", "m", "simple", keywords=words)
+    return out.where("m IS NOT NULL").select("doc_id", F.col("m.institution").alias("keyword"))
+
+
+@register("appended_records")
+def q_appended_records(spark, sf):
+    """S2 + JN3: append the admitted orders to a record table twice; the
+    second run admits nothing, so the table holds each URL once."""
+    import uuid
+
+    from ..operators.admit import split_existing
+    from ..session import shared_path
+    from ..sources.tables import RECORD_SCHEMA, append_records, read_records
+    path = shared_path(spark, f"records-{uuid.uuid4().hex}")
+    o = table(spark, sf, "orders")
+    given = {"id": F.col("o_orderkey"), "name": F.col("o_orderstatus"), "is_alumni": F.lit(True),
+             "obituary_url": F.concat(F.lit("https://example.com/o/"), F.col("o_orderkey").cast("string"))}
+    recs = o.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORD_SCHEMA.fields])
+    append_records(recs.where("name = 'F'"), path)
+    for _ in range(2):
+        new, _dup = split_existing(recs, read_records(spark, path), "obituary_url")
+        append_records(new, path)
+    return read_records(spark, path).select("id", "name", "obituary_url")

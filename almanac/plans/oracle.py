@@ -807,3 +807,35 @@ SELECT 'https://example.com/c/' || CAST(o_custkey AS VARCHAR) AS obituary_url,
        strftime(arg_min(o_orderdate, o_orderkey), '%Y-%m-%d') AS order_date
 FROM orders GROUP BY o_custkey
 """
+
+
+# ------------------------------------------------ further bindings ---
+
+ORACLE["record_lookup"] = """
+SELECT c_custkey, c_name, n_name AS city, r_name AS province
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+WHERE c_custkey = 7
+"""
+
+ORACLE["target_site"] = """
+SELECT DISTINCT 'www' AS subdomain, CAST(NULL AS INTEGER) AS priority_pos
+FROM pages WHERE starts_with(lower(split_part(url, '://', 2)), 'www.')
+"""
+
+ORACLE["json_records"] = """
+SELECT o_orderkey AS id, o_orderstatus AS name, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS publication_date,
+       o_orderpriority AS tags FROM orders
+"""
+
+ORACLE["custom_keyword_hits"] = """
+SELECT doc_id, CASE WHEN contains(lower(text), 'apache license') THEN 'apache license'
+                    WHEN contains(lower(text), 'mit license') THEN 'mit license' ELSE 'that' END AS keyword
+FROM documents
+WHERE contains(lower(text), 'apache license') OR contains(lower(text), 'mit license') OR contains(lower(text), 'that')
+"""
+
+ORACLE["appended_records"] = """
+SELECT o_orderkey AS id, o_orderstatus AS name, 'https://example.com/o/' || o_orderkey AS obituary_url FROM orders
+"""
+
+ORACLE["stream_dedup_watermark"] = "SELECT DISTINCT user_id FROM events"
