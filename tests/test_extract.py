@@ -3,14 +3,17 @@
 from almanac.sources.pages import page_fields
 
 
-def notice(first="Ottilie", last="BRANDVOLD", published="May 4, 2025"):
+GRADUATE = "Ferry captain and graduate of the University of Windsor."
+
+
+def notice(first="Ottilie", last="BRANDVOLD", published="May 4, 2025", body="Kept bees on the island. <i>Sang &amp; laughed.</i>"):
     return (f"<html><head><title>{first} {last.title()} Obituary | Harbour Gazette</title></head><body>"
             f'<span class="obit-fh">Quiet Bay Chapel</span>'
             f'<h1 class="obit-name">{first} {last}</h1><span class="obit-lastname-upper">{last}</span>'
             '<h2 class="obit-dates"><em>April 12, 1941</em><em>April 30, 2025</em></h2>'
             f'<div class="details-published">Published online {published}</div>'
             '<script>document.write("<span class=details-copy>hidden</span>")</script>'
-            '<span class="details-copy">Kept bees on the island. <i>Sang &amp; laughed.</i></span>'
+            f'<span class="details-copy">{body}</span>'
             '<p><a href="/obituary/first">1</a> <a href="/about">2</a> <a href="/obituary/second">3</a>'
             ' <a href="/obituary/first">4</a></p></body></html>')
 

@@ -3,7 +3,7 @@
 from almanac.operators.records import process_notices
 from almanac.options import JobOptions
 from almanac.sources.tables import RECORD_SCHEMA
-from test_extract import notice
+from test_extract import GRADUATE, notice
 
 
 def test_options_from_env():
@@ -23,22 +23,24 @@ def test_options_from_env():
 
 def test_process_notices(spark):
     pages = [
-        ("https://windsorstar.remembering.ca/obituary/a", notice("Ann", "LEE")),
-        ("https://windsorstar.remembering.ca/obituary/b", notice("Bo", "KIM")),
-        ("https://nowhere.remembering.ca/obituary/c", notice("Cy", "DOE")),
-        ("https://windsorstar.remembering.ca/obituary/d", notice("Di", "RAY").replace("University of Windsor", "a college")),
+        ("https://windsorstar.remembering.ca/obituary/a", notice("Ann", "LEE", body=GRADUATE)),
+        ("https://windsorstar.remembering.ca/obituary/b", notice("Bo", "KIM", body=GRADUATE)),
+        ("https://nowhere.remembering.ca/obituary/c", notice("Cy", "DOE", body=GRADUATE)),
+        ("https://windsorstar.remembering.ca/obituary/d", notice("Di", "RAY")),
         ("https://windsorstar.remembering.ca/obituary/e", "<p>no name here</p>"),
+        ("https://windsorstar.remembering.ca/obituary/a", notice("Ann", "LEE", body=GRADUATE)),  # listed twice
     ]
     pdf = spark.createDataFrame(pages, "url string, html string")
     stored = spark.createDataFrame([], RECORD_SCHEMA).unionByName(spark.createDataFrame(
         [(7, "updated", "Bo Kim", "Bo", "Kim", None, None, None, "https://windsorstar.remembering.ca/obituary/b",
-          None, None, True, None, None, None, None, None)], RECORD_SCHEMA))
+          None, None, True, None, None, None, None, None)] * 2, RECORD_SCHEMA))  # stored twice
     sites = spark.createDataFrame([("windsorstar", "Windsor", "Ontario")], "subdomain string, city string, province string")
     gaz = spark.createDataFrame([("Windsor", "Ontario", 1.0, 2.0)], "city string, province string, latitude double, longitude double")
     out, new = process_notices(pdf, stored, sites, gaz)
-    got = {r["url"][-1]: (r["status"], r["reason"]) for r in out.collect()}
-    assert got == {"a": ("saved", None), "b": ("duplicate", "existing_url"), "c": ("skipped", "unknown_city"),
-                   "d": ("skipped", "no_alumni_keyword"), "e": ("skipped", "missing_name")}
+    got = sorted(((r["url"][-1], r["status"], r["reason"], r["tags"]) for r in out.collect()), key=str)
+    assert got == [("a", "saved", None, "new"), ("a", "skipped", "already_visited", None),
+                   ("b", "duplicate", "existing_url", "updated"), ("c", "skipped", "unknown_city", "new"),
+                   ("d", "skipped", "no_alumni_keyword", "new"), ("e", "skipped", "missing_name", None)]
     (rec,) = new.collect()
-    assert (rec["name"], rec["city"], rec["latitude"], rec["death_date"]) == ("Ann Lee", "Windsor", 1.0, "June 01, 2026")
-    assert rec["publication_date"].year == 2026 and new.columns == [f.name for f in RECORD_SCHEMA.fields]
+    assert (rec["name"], rec["city"], rec["latitude"], rec["death_date"]) == ("Ann Lee", "Windsor", 1.0, "April 30, 2025")
+    assert rec["publication_date"].year == 2025 and new.columns == [f.name for f in RECORD_SCHEMA.fields]

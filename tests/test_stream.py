@@ -44,9 +44,9 @@ def test_notice_stream_replay_and_history(spark, tmp_path):
     """Second batch sees the first batch's records (duplicate); replaying a
     batch id overwrites its partition."""
     from almanac.streaming.ingest import file_stream, notices_stream
-    from test_extract import notice
+    from test_extract import GRADUATE, notice
     src = tmp_path / "src"
-    a = spark.createDataFrame([("https://windsorstar.remembering.ca/obituary/a", notice("Ann", "LEE"))],
+    a = spark.createDataFrame([("https://windsorstar.remembering.ca/obituary/a", notice("Ann", "LEE", body=GRADUATE))],
                               "url string, html string")
     a.coalesce(1).write.parquet(str(src / "1"))
     a.coalesce(1).write.parquet(str(src / "2"))
