@@ -146,15 +146,18 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     alone = long_enough.join(several, "digest", "left_anti")
     kept_rows = single.unionByName(alone).select("id", "digest", F.explode(F.arrays_zip("marks", "places")).alias("a"))
     spots = kept_rows.select("id", "digest", F.col("a.marks").alias("mark"), F.col("a.places").alias("place"))
-    twice = spots.groupBy("mark").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("mark")
+    # The repeated anchors (below: windows) are written before they are joined:
+    # as a table they let Spark split the rows of a hot one.
+    twice = staged(spots.groupBy("mark").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("mark"), "marks")
     candidates = staged(spots.join(twice, "mark").groupBy("id", "digest")
                         .agg(F.collect_set("place").alias("places")), "candidates")
 
     # Level two: the whole windows around them.
     own_texts = staged(texts.join(candidates, "id").select("id", "digest", "text", "places"), "candidate-texts")
     windows = staged(own_texts.mapInArrow(_extend(words), "id long, digest string, start long, h1 long, h2 long"), "windows")
-    origin = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    starts = (windows.join(origin.select("h1", "h2", "lo"), ["h1", "h2"]).filter("id > lo")
+    origin = staged(windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
+                           .select("h1", "h2", "lo"), "origins")
+    starts = (windows.join(origin, ["h1", "h2"]).filter("id > lo")
                      .groupBy("id", "digest").agg(F.collect_set("start").alias("starts")))
     cut = own_texts.select("id", "digest", "text").join(starts, ["id", "digest"]).select("id", "digest", "text", "starts")
     cut = cut.mapInArrow(_cut(words), "id long, digest string, n_removed long, kept_text string")
