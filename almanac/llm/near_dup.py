@@ -45,9 +45,10 @@ from .graph import components
 
 COORDS = 64
 MATCHES = 32
-#: Members on either side of a comparison of two blocks, and the pairs from
-#: which on a list's open members are compared in blocks, not as rows.
-BLOCK = 1024
+#: Members, and their shingles, on either side of a comparison of two blocks;
+#: the pairs from which on a list's open members are compared in blocks, not as
+#: rows.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 FEW = 20_000
 
 
@@ -205,9 +206,10 @@ def _block_links(percent: int):
                     bits[of[inside], column[inside]] = 1
                     held.append(bits)
                 counts += held[0] @ held[1].T
+            # common * 100 >= (n + n' - common) * percent, in whole numbers.
             common = counts.astype(np.int64)
-            union = left.n.to_numpy()[:, None] + right.n.to_numpy()[None] - common
-            out = _spanning((common * 100 >= union * percent) & (common > 0), left.rep.to_numpy(), right.rep.to_numpy())
+            least = (left.n.to_numpy()[:, None] + right.n.to_numpy()[None]) * percent
+            out = _spanning((common * (100 + percent) >= least) & (common > 0), left.rep.to_numpy(), right.rep.to_numpy())
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
     return run
 
@@ -215,8 +217,10 @@ def _block_links(percent: int):
 def _linked_in_blocks(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of the members outside a hub with all its members, in groups of
     ``BLOCK`` by ``BLOCK``; only links are rows, never pairs."""
-    size = crowds.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("rows"),
-                                     F.ceil(F.count_if("outside") / BLOCK).alias("columns"))
+    n_outside = F.when(F.col("outside"), F.col("n"))
+    size = crowds.groupBy("hub").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("rows"),
+        F.ceil(F.greatest(F.count_if("outside") / BLOCK, F.sum(n_outside) / BLOCK_SHINGLES)).alias("columns"))
     full = staged(crowds.join(size, "hub").join(sets, "rep"), "crowds")
     number = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
