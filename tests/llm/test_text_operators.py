@@ -82,6 +82,36 @@ def test_url_rules(spark):
     assert U.judge_urls(df.limit(0)).collect() == []
 
 
+def test_url_rules_on_parts_of_tokens_against_sql(spark):
+    import duckdb
+    from almanac.llm.queries import ORACLE
+    urls = ["http://x.org/casinos/a", "http://x.org/casino/a", "http://x.org/pornvideos/1", "http://x.org/a-porn.b", "http://porn9.org/",
+            "http://x.org/casinosx/a", "http://x.org/xporn/", "http://X.org/PORNO/é/casinos-casino.torrent", "http://x.net/es/casinos/"]
+    rows = list(enumerate([*urls, None, "http://x.org/y/login?page=1&ref=&utm_source=feed"]))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    got = {tuple(r) for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == set(con.execute(ORACLE["op8_url_filter"]).fetchall())
+    assert {r[0] for r in got if r[5]} == {0, 1, 2, 3, 4, 7, 8, 10}
+
+
+def test_rules_are_filed_where_their_urls_look(spark):
+    assert U.required_literals(r"/(?:wp-)?login(?:\.php)?(?:[/?#]|$)") == [("login", True)]
+    assert U.required_literals("[./-]porn[a-z0-9]*[./-]") == [("porn", False)]
+    assert U.required_literals("(?:x|-)ad/") == [("ad", False)] and U.required_literals("(?:x-)?ad/") == [("ad", False)]
+    assert U.required_literals("/ad[^a]") == [("ad", False)] and U.required_literals("a|b") == []
+    for regex, literals in (("/(?:casino|poker)/", ["casino"]), ("ad", ["ad"]), ("/(?:casino)?s/", ["casino"])):
+        try:
+            U.rule_table(spark, [], [("r", "block", regex, literals)])
+        except ValueError:
+            continue
+        raise AssertionError(regex)
+    rules = U.rule_table(spark, [], [("in", "block", "[a-z]*viagra[0-9]*", ["viagra"])])
+    df = spark.createDataFrame([(1, "http://a.org/buyviagra24")], "page_id long, url string")
+    assert U.judge_urls(df, rules=rules).head().patterns == "in"
+
+
 def test_main_text(spark):
     page = ("<html><head><title>t</title><style>p{}</style></head><body><nav><a href=/>home</a></nav><div class='ad'>buy</div>"
             "<article><h1>Head</h1><p><b>One<br>two &amp; three<p>Four,&nbsp; five.</article><aside>side</aside>"
