@@ -4,11 +4,11 @@ A page is cut into blocks, each with its path of tags from the root.  Per path
 the text length and the punctuation are added up and divided by the number of
 blocks on it; the two ratios are smoothed over the neighbouring paths in page
 order, fused by multiplication, and paths from a share of the best score on
-are content.  Containers that say what they are (navigation, footers, forms,
-advertising, comments ...) are left out beforehand.  If a content path lies in
-an ``article`` or ``main`` element, the text of those elements is the content;
-else the content paths and the blocks beside them under the same parent, link
-lists excepted.
+are content, with the blocks beside them under the same parent and those of
+the ``article`` or ``main`` element that a content path lies in, link lists
+excepted.  An element without a content path, such as a teaser card, is not
+kept for its name.  Containers that say what they are (navigation, footers,
+forms, advertising, comments ...) are left out beforehand.
 
 A page is small, and its paths are its own; so each is worked on by itself in
 an Arrow batch, and nothing is shuffled.
@@ -63,7 +63,7 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class _Block:
     __slots__ = ("path", "parent", "pieces", "linked", "content", "text")
 
-    def __init__(self, path: int, parent: int, content: bool):
+    def __init__(self, path: int, parent: int, content: tuple[int, ...]):
         self.path, self.parent, self.content, self.pieces, self.linked, self.text = path, parent, content, [], 0, ""
 
 
@@ -87,8 +87,8 @@ def blocks(page: str) -> list[_Block]:
     is a loop over tags, so that neither depth nor unclosed tags matter."""
     found: list[_Block] = []
     paths: dict[tuple[int, str], int] = {}
-    # tag, path, left out, in content, in a link
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # tag, path, left out, article and main elements around, in a link
+    stack: list[tuple[str, int, bool, tuple[int, ...], bool]] = [("", 0, False, (), False)]
     opened: dict[str, int] = {}
     block: _Block | None = None
     at, end = 0, len(page)
@@ -157,10 +157,10 @@ def blocks(page: str) -> list[_Block]:
         _, path, out, content, link = stack[-1]
         if not out and tag not in ("html", "body"):
             out = tag in OUTSIDE or tag == "header" and not content or (
-                tag not in CONTENT and bool(m[3]) and _is_furniture(m[3].rstrip(">"), content))
+                tag not in CONTENT and bool(m[3]) and _is_furniture(m[3].rstrip(">"), bool(content)))
         if not m[3].endswith("/>") or tag in BLOCK:
-            stack.append((tag, paths.setdefault((path, tag), len(paths) + 1), out,
-                          content or tag in CONTENT and not out, link or tag == "a"))
+            own = paths.setdefault((path, tag), len(paths) + 1)
+            stack.append((tag, own, out, (*content, own) if tag in CONTENT and not out else content, link or tag == "a"))
             opened[tag] = opened.get(tag, 0) + 1
     for b in found:
         b.text = " ".join("".join(b.pieces).split())
@@ -198,13 +198,10 @@ def main_text(page: str | None) -> str:
     scores = path_scores(own)
     least = SHARE * max(scores.values())
     chosen = {p for p, s in scores.items() if s >= least}
-    if any(b.content for b in own):
-        kept = [b for b in own if b.content]
-        if not all(map(_is_link_list, kept)):
-            kept = [b for b in kept if not _is_link_list(b)]
-    else:
-        parents = {b.parent for b in own if b.path in chosen}
-        kept = [b for b in own if not _is_link_list(b) and (b.path in chosen or b.parent in parents)]
+    parents = {b.parent for b in own if b.path in chosen}
+    elements = {c for b in own if b.path in chosen for c in b.content}
+    kept = [b for b in own if not _is_link_list(b) and (
+        b.path in chosen or b.parent in parents and not b.content or bool(b.content) and b.content[-1] in elements)]
     return " ".join(b.text for b in kept)
 
 

@@ -129,6 +129,20 @@ def test_main_text(spark):
     assert M.extract_main_text(df.limit(0)).collect() == []
 
 
+BODY = ("<p>Here is a longer text, with a comma. And a second sentence, of some length, follows it.</p>"
+        "<p>Another paragraph, of some length, with more to say. It ends here, after all.</p>")
+BODY_TEXT = ("Here is a longer text, with a comma. And a second sentence, of some length, follows it. "
+             "Another paragraph, of some length, with more to say. It ends here, after all.")
+
+
+def test_main_text_is_chosen_by_scores_beside_article_cards():
+    cards = "".join(f"<article><h3><a href={i}>Teaser {i}</a></h3><p>Short words.</p></article>" for i in range(4))
+    for page in (f"<div><h1>T</h1>{BODY}</div><section>{cards}</section>", f"<section>{cards}</section><div><h1>T</h1>{BODY}</div>",
+                 f"<main><div><h1>T</h1>{BODY}</div><section>{cards}</section></main>",
+                 f"<main><h1>T</h1><article>{BODY}</article><section>{cards}</section></main>"):
+        assert M.main_text(f"<body>{page}</body>") == f"T {BODY_TEXT}", page
+
+
 def test_native_operators_have_no_python(spark):
     df = spark.createDataFrame([(1, "s", "a\nb", "http://a.com/")], "doc_id long, source string, text string, url string")
     for out in (L.drop_boilerplate(df), S.secret_digest(df), U.judge_urls(df, "doc_id")):
