@@ -143,6 +143,25 @@ def test_main_text_is_chosen_by_scores_beside_article_cards():
         assert M.main_text(f"<body>{page}</body>") == f"T {BODY_TEXT}", page
 
 
+def test_main_text_in_containers_named_like_furniture():
+    for tag in ("div class='layout has-sidebar'", "div class=no-sidebar", "div id=comments-open", "form action=x.aspx", "div class='content widget'"):
+        end = tag.split()[0]
+        for inner in (f"<article>{BODY}</article>", f"<div>{BODY}</div>"):
+            page = f"<nav>Menu. Here.</nav><{tag}>{inner}<div class=ad><p>Buy it. Now.</p></div></{end}><footer>Ours. All.</footer>"
+            assert M.main_text(page) == BODY_TEXT, page
+    assert M.main_text("<nav>Menu. Here.</nav><div class=ad>Buy it. Now.</div><form>name</form>") == ""
+    many = "<p>I think so too, really. It is so.</p>" * 40
+    assert M.main_text(f"<article>{BODY}</article><div class=comments>{many}</div>") == BODY_TEXT
+
+
+def test_main_text_drops_links_only_in_runs():
+    page = (f"<h1><a href=1>Title</a></h1>{BODY}<figure><figcaption><a href=2>Caption</a></figcaption></figure>"
+            "<ol><li><a href=3>One source</a></li><li><a href=4>Other source</a></li></ol>")
+    assert M.main_text(f"<article>{page}</article>") == f"Title {BODY_TEXT} Caption One source Other source"
+    menu = "<ul><li><a href=3>One link</a></li><li><a href=4>Other link</a></li></ul>"
+    assert M.main_text(f"<main><h2><a href=1>Title</a></h2>{BODY}{menu}</main>") == f"Title {BODY_TEXT}"
+
+
 def test_native_operators_have_no_python(spark):
     df = spark.createDataFrame([(1, "s", "a\nb", "http://a.com/")], "doc_id long, source string, text string, url string")
     for out in (L.drop_boilerplate(df), S.secret_digest(df), U.judge_urls(df, "doc_id")):
