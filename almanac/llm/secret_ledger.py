@@ -3,7 +3,9 @@
 Every version of every path is addressed by the SHA-256 of its content (its
 blob).  A blob is scanned once however many paths and versions hold it, and
 only for the rules that the ledger has not yet recorded for it in their present
-version; the findings are joined back to all paths.
+version.  The ledger is a folder with two tables, the scanned pairs and what
+was found; a run appends to both, and the findings of all runs, those of the
+rules' present versions, are joined back to all paths.
 
 Spans are found by built-in expressions: the matches of a rule and the pieces
 between them come from the regular expression functions, and a running sum of
@@ -12,12 +14,13 @@ their lengths within the blob gives code-point offsets, end exclusive.
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from ..session import shared_path
 
 
 class Rule(NamedTuple):
@@ -30,6 +33,18 @@ class Rule(NamedTuple):
     least: int = 0
 
 
+class Ledger(NamedTuple):
+    #: (blob, kind, version) that have been scanned.
+    scanned: DataFrame
+    #: (blob, kind, version, start, end, value) of what those scans found; a
+    #: row may be there more than once.
+    findings: DataFrame
+
+
+SCANNED = "blob string, kind string, version int"
+FINDINGS = f"{SCANNED}, start long, end long, value string"
+
+
 def either_case(word: str) -> str:
     """A-Z and a-z alike, other letters not (no Unicode case folding)."""
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -97,6 +112,37 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     return scanned, findings
 
 
+def read_ledger(spark: SparkSession, folder: str) -> Ledger:
+    """The ledger in ``folder``, which is made if it is not there."""
+    def table(name: str, schema: str) -> DataFrame:
+        path = f"{folder.rstrip('/')}/{name}"
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    return Ledger(table("scanned", SCANNED), table("findings", FINDINGS))
+
+
+def extend_ledger(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, new: bool = False) -> Ledger:
+    """Scan what the ledger in ``folder`` does not hold of ``versions``,
+    append it, and return the ledger.  One run at a time may extend a folder.
+    ``new``: the folder is known not to be there yet.
+
+    The findings are written first: a run that dies in between leaves pairs
+    that are scanned again, and findings that are there twice.
+    """
+    spark = versions.sparkSession
+    scanned, findings = scan_unseen(versions, None if new else read_ledger(spark, folder).scanned, rules)
+    findings.write.mode("append").parquet(f"{folder.rstrip('/')}/findings")
+    scanned.write.mode("append").parquet(f"{folder.rstrip('/')}/scanned")
+    return read_ledger(spark, folder)
+
+
+def present_findings(ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The findings of the rules in their present versions."""
+    present = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    return ledger.findings.filter(F.array_contains(present, F.struct("kind", "version")))
+
+
 def spans_by_path(versions: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(path, blob, spans): each version's findings in order, an array of
     {start, rank, end, kind, value}; empty for a version without any."""
@@ -107,18 +153,22 @@ def spans_by_path(versions: DataFrame, findings: DataFrame, rules: tuple[Rule, .
 
 
 def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  ledger: DataFrame | None = None) -> DataFrame:
+                  ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans), one row for each
     row of ``docs``.
 
+    ``ledger``: the folder of a ledger; what it holds is not scanned again,
+    and it is extended by what is.  Without one, a ledger is begun in the
+    shared folder.
+
     Null and empty texts have no spans (the digest is that of an empty
     string).  Rows with equal texts, the same id or not, and rows without an
     id get the same answer each.  An empty table gives an empty result; other
     columns of ``docs`` are not looked at.
     """
     versions = addressed(docs, id_col, text_col)
-    _, findings = scan_unseen(versions, ledger)
-    found = spans_by_path(versions, staged(findings, "findings"))
+    folder = ledger or shared_path(docs.sparkSession, f"llm-secret-ledger-{uuid.uuid4().hex}")
+    found = spans_by_path(versions, present_findings(extend_ledger(versions, folder, rules, new=not ledger), rules), rules)
     spans = F.coalesce("spans", F.array())
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
     written = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

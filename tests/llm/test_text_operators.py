@@ -63,6 +63,26 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert sorted(r.path for r in paths) == ["a", "b"]
 
 
+def test_second_run_on_a_ledger_gives_the_rows_of_a_full_scan(spark, tmp_path):
+    rows = [(1, "token=abcdef1 " + "0f" * 12), (2, "token=abcdef1 " + "0f" * 12), (3, "clean"), (4, None)]
+    more = [*rows, (5, "passwd: zzzzzzz"), (6, "token=abcdef1 " + "0f" * 12)]
+    make = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    folder = str(tmp_path / "ledger")
+    first, full = key(S.secret_digest(make(rows))), key(S.secret_digest(make(more)))
+    assert first[0][1:4] == (1, 0, 1)
+    assert key(S.secret_digest(make(rows), ledger=folder)) == first
+    held = S.read_ledger(spark, folder).findings.count()
+    assert key(S.secret_digest(make(rows), ledger=folder)) == first  # all of it was known
+    assert key(S.secret_digest(make(more), ledger=folder)) == full  # some of it was
+    ledger = S.read_ledger(spark, folder)
+    assert ledger.findings.count() == held + 1 and ledger.scanned.count() == ledger.scanned.distinct().count() == 4 * len(S.RULES)
+    newer = tuple(r._replace(version=2, least=8) if r.kind == "assign" else r for r in S.RULES)
+    again = key(S.secret_digest(make(more), ledger=folder, rules=newer))
+    assert again == key(S.secret_digest(make(more), rules=newer)) and again != full
+    assert key(S.secret_digest(make(more), ledger=folder)) == full  # the earlier version is still known
+
+
 def test_url_rules(spark):
     urls = {None: ("", "", None, "allow"), "": ("", "", None, "allow"), "no scheme/en/": ("", "", None, "allow"),
             "http://WWW.Example.com/en/x?y": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
