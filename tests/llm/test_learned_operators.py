@@ -136,6 +136,24 @@ def test_held_out_toxicity(spark):
     assert T.toxicity(docs, labels.limit(0)).where("score <> 0").count() == 0
 
 
+def test_rare_words_of_a_toxic_stem_and_sums_over_a_sentence():
+    rnd = random.Random(3)
+    make = lambda n: "".join(rnd.choice("abdefgilmnoprstu") for _ in range(n))
+    clean = [make(rnd.randint(3, 9)) for _ in range(600)]
+    say = lambda *more: " ".join([rnd.choice(clean) for _ in range(10)] + list(more))
+    # Each toxic word is there once; only their stem is shared.
+    rows = [(i, int(i < 60), s) for i in range(400) for s in [say(), say(*["zwonkk" + make(4)] * (i < 60)), say()]]
+    scorer = T._fit(rows)
+    new = [say("zwonkk" + make(4)) for _ in range(50)]
+    top = scorer.documents([*new, *(say() for _ in range(50))], {})
+    assert (top[:50] > 0).mean() > 0.9 and (top[50:] > 0).mean() < 0.1
+    # A sentence adds up; two sentences do not.
+    word = "zwonkkabcd"
+    value = scorer.values([word, clean[0]])
+    one = scorer.documents([f"{word} {clean[0]}", f"{word}. {clean[0]}"], {})
+    assert np.allclose(one, np.clip([value.sum() + T.BIAS, max(value) + T.BIAS], -1, 1))
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(1)
     points = rng.standard_normal((700, 16)).astype(np.float32)
