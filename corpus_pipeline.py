@@ -25,13 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; ``n_chars`` follows the text.  A
-    document of nothing else stays as it is: it is no less clean than one with
-    a line more."""
-    before = docs.withColumn("_before", F.col("text"))
-    cut = line_dedup.drop_boilerplate(before, host_col="source")
-    text = F.when((F.trim("text") == "") & (F.trim("_before") != ""), F.col("_before")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    """Boilerplate lines of a source go, from a document of nothing else too;
+    ``n_chars`` follows the text."""
+    cut = line_dedup.drop_boilerplate(docs, host_col="source")
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

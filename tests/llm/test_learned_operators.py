@@ -212,6 +212,13 @@ def test_stages_return_documents(spark, stage):
         assert len(kept) > 0.8 * len(every) and toxic & (every - kept)
 
 
+def test_line_stage_empties_documents_of_boilerplate_only(spark):
+    import corpus_pipeline as P
+    rows = [(i, f"menu\nown {i}", "en", "s", 9, 1) for i in range(20)] + [(50, "menu", "en", "s", 4, 1), (51, None, "en", "s", 7, 1)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in P.drop_lines(spark, spark.createDataFrame(rows, DOCS), SMALL).collect()}
+    assert got[3] == ("own 3", 5) and got[50] == ("", 0) and got[51] == (None, 7)
+
+
 def test_run_is_the_stages_in_order(spark):
     import corpus_pipeline as P
     assert [n for n, _ in P.STAGES] == ["toxicity", "line dedup", "near-dedup", "decontamination", "mixing"]
