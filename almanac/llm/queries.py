@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, hash_forest, line_dedup, main_text, mixing, near_dup, repeats, secret_ledger, toxicity, url_rules
+from . import centroids, decontaminate, hash_forest, line_dedup, main_text, mixing, near_dup, repeats, secret_ledger, toxicity, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +163,44 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     return mixing.mixed(docs).drop("text")
+
+
+@register
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    digest = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _centroid_sql(rounds: int = 10) -> str:
+    """Lloyd's rounds written out, each as an assignment and its means."""
+    def assigned(name: str, c: str) -> str:
+        return f"""
+{name} AS MATERIALIZED (
+  SELECT rid, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT rid, k, list_sum(list_transform(list_zip(q, m), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::HUGEINT AS d
+    FROM points, {c}) GROUP BY rid)"""
+
+    steps = []
+    for i in range(rounds):
+        steps += [assigned(f"a{i}", f"c{i}"), f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT k, coalesce(new, m) AS m FROM c{i} LEFT JOIN (
+    SELECT k, list((CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END)::HUGEINT ORDER BY p) AS new FROM (
+      SELECT k, p, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n
+      FROM (SELECT k, unnest(q) AS x, unnest(range(64)) AS p FROM a{i} JOIN points USING (rid)) GROUP BY k, p)
+    GROUP BY k) USING (k))"""]
+    return f"""
+WITH points AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS k, q AS m FROM points
+  QUALIFY k < 8),{','.join(steps)},{assigned('z', f'c{rounds}')}
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM z JOIN points USING (rid) JOIN c{rounds} USING (k)
+"""
+
+
+ORACLE["op11_centroids"] = _centroid_sql()
