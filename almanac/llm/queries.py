@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, hash_forest, line_dedup, main_text, mixing, near_dup, repeats, secret_ledger, toxicity, url_rules
+from . import audit, centroids, decontaminate, hash_forest, line_dedup, main_text, mixing, near_dup, repeats, secret_ledger, toxicity, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,82 @@ FROM z JOIN points USING (rid) JOIN c{rounds} USING (k)
 
 
 ORACLE["op11_centroids"] = _centroid_sql()
+
+
+@register
+def op12_audit_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.repair(audit.damaged(table(spark, sf_dir, "conversations"))).withColumnRenamed("id", "conv_id")
+
+
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+    lambda v, z: xor(v >> 1, 3988292384::UBIGINT * (v & 1)))), 4294967295::UBIGINT)"""
+
+ORACLE["op12_audit_dp"] = rf"""
+WITH RECURSIVE fated AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate
+  FROM conversations),
+kept AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM fated WHERE fate <> 0),
+marked AS (
+  SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         lag(role) OVER w AS before, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+faults AS MATERIALIZED (
+  SELECT *, left(role, 1) AS letter,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM marked),
+moves(s, letter, t) AS (VALUES (0, 'u', 2), (0, 's', 1), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserts(s, t, c, e) AS (VALUES (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'),
+                               (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, t AS s, c::BIGINT AS cost, e AS audit
+  FROM (SELECT DISTINCT conv_id FROM faults) JOIN inserts ON s = 0
+  UNION ALL
+  SELECT conv_id, i, s, best.cost, best.audit FROM (
+    SELECT d.conv_id, f.i, x.t AS s, min({{'cost': d.cost + m.c + x.c, 'audit': d.audit || m.e || x.e}}) AS best
+    FROM dp d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1
+    JOIN LATERAL (
+      SELECT d.s AS t, 4 AS c, 'D' AS e
+      UNION ALL SELECT v.t, CASE f.fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K' FROM moves v
+        WHERE v.s = d.s AND v.letter = f.letter AND f.fault IN ('', 'truncated')
+      UNION ALL SELECT v.t, CASE f.fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R' FROM moves v
+        WHERE v.s = d.s AND v.letter <> 's' AND f.fault IN ('', 'truncated')) m ON true
+    JOIN inserts x ON x.s = m.t
+    GROUP BY d.conv_id, f.i, x.t)),
+ends AS (
+  SELECT d.conv_id, min({{'cost': cost, 'audit': audit}}) AS best
+  FROM dp d JOIN (SELECT conv_id, max(i) AS n FROM faults GROUP BY conv_id) l ON l.conv_id IS NOT DISTINCT FROM d.conv_id AND i = n
+  WHERE s IN (0, 3) GROUP BY d.conv_id),
+edits AS (
+  SELECT conv_id, e.audit AS audit, unnest(string_split(e.audit, '')) AS edit, unnest(range(1, length(e.audit) + 1)) AS pos
+  FROM (SELECT conv_id, best AS e FROM ends)),
+used AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER w AS row_i, count(*) FILTER (edit <> 'D') OVER w AS place,
+         count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id) % 2 AS with_system
+  FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+repaired AS (
+  SELECT u.conv_id, string_agg(
+      CASE WHEN edit = 'K' THEN f.role WHEN (place - with_system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+      CASE WHEN edit = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY pos) AS lines
+  FROM used u LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM u.conv_id AND f.i = u.row_i
+  WHERE edit <> 'D' GROUP BY u.conv_id),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND left(before, 1) || letter NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.best.cost, 0) AS cost,
+       coalesce(e.best.audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
