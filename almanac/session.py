@@ -75,3 +75,21 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The store of ``path``, as Hadoop's file system, and the path in it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def child_paths(spark: SparkSession, path: str) -> list[str]:
+    """The files and folders directly in ``path``; none if there is no such folder."""
+    store, at = _file_system(spark, path)
+    return [str(status.getPath()) for status in store.listStatus(at)] if store.exists(at) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file, or a folder with all in it."""
+    store, at = _file_system(spark, path)
+    store.delete(at, True)

@@ -8,8 +8,11 @@ R2 first-seen-wins de-duplication: against all history with
    the keys already written, then appended; re-running a batch after a
    failure writes nothing twice), or within a bounded delay with
    ``dropDuplicatesWithinWatermark``.
-R3 running counters and R4 latest state per key: streaming aggregates whose
-   complete result replaces the table each batch.
+R3 running counters and R4 latest state per key: streaming aggregates in update
+   mode, whose changed rows are upserted into a keyed table
+   (:class:`almanac.sources.keyed.KeyedTable`), so that a batch rewrites only
+   the hash buckets it touches; or, for small results, in complete mode, where
+   the result replaces the table each batch.
 R5 the current-month cut-off is a plain predicate on the content date
    (not a watermark).
 
@@ -19,6 +22,7 @@ a machine-local one.
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..session import shared_path
+from ..sources.keyed import KeyedTable
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
@@ -54,6 +59,39 @@ def _run(writer, checkpoint: str, available_now: bool = True):
     return q
 
 
+def _run_batches(writer, write_batch, checkpoint: str, available_now: bool, stop, every: float = 0.1):
+    """Run ``write_batch`` on every batch; with ``stop``, until ``stop(query)``
+    is true, a stop request inside a run.  A batch that has begun is written to
+    its end, and no later one begins, so the run ends between two batches and
+    the next run with the same checkpoint goes on after it.  (If the end of a
+    batch was not noted in the checkpoint any more, it is done again, which the
+    sinks of this module take without a double row.)"""
+    if stop is None:
+        return _run(writer.foreachBatch(write_batch), checkpoint, available_now)
+    writing, closed = threading.Lock(), threading.Event()
+
+    def guarded(batch: DataFrame, batch_id: int):
+        with writing:
+            if closed.is_set():
+                raise RuntimeError("the run was asked to stop")
+            write_batch(batch, batch_id)
+
+    w = writer.foreachBatch(guarded).option("checkpointLocation", checkpoint)
+    query = (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
+    while not query.awaitTermination(every):
+        if stop(query):
+            with writing:
+                closed.set()
+            query.stop()
+            break
+    return query
+
+
+def batches_done(n: int):
+    """A stop request once a run has committed ``n`` batches."""
+    return lambda query: sum(p["numInputRows"] > 0 for p in query.recentProgress) >= n
+
+
 def dedup_history(stream: DataFrame, key: str, order: list[str], sink: str, checkpoint: str,
                   columns: list[str] | None = None, available_now: bool = True, buckets: int = 64):
     """R2 against all history: append the first row per key that is not in
@@ -105,6 +143,30 @@ def complete_table(agg: DataFrame, sink: str, checkpoint: str, available_now: bo
     return _run(agg.writeStream.outputMode("complete").foreachBatch(write_batch), checkpoint, available_now)
 
 
+def upsert_table(agg: DataFrame, table: KeyedTable, checkpoint: str, available_now: bool = True, stop=None):
+    """R3/R4 sink: the rows that a batch changed are upserted into ``table``.
+    ``agg`` runs in update mode, so a batch carries the changed keys and not the
+    whole result.  A batch that is replayed after a failure changes nothing
+    twice: the table knows the last batch of this checkpoint."""
+    def write_batch(batch: DataFrame, batch_id: int):
+        if table.committed(checkpoint) < batch_id:
+            table.upsert(batch, batch_id, writer=checkpoint)
+        else:  # the aggregate's own state is still to be brought up to this batch
+            batch.write.format("noop").mode("overwrite").save()
+
+    return _run_batches(agg.writeStream.outputMode("update"), write_batch, checkpoint, available_now, stop)
+
+
+def append_batches(stream: DataFrame, sink: str, checkpoint: str, available_now: bool = True, stop=None):
+    """R1 sink: every row of the stream once.  A batch overwrites its own
+    ``batch_id`` partition, so one that is replayed replaces its first attempt."""
+    def write_batch(batch: DataFrame, batch_id: int):
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+
+    return _run_batches(stream.writeStream, write_batch, checkpoint, available_now, stop)
+
+
 def current_month_only(stream: DataFrame, ts: str, as_of: str) -> DataFrame:
     """Keep rows whose content date is in the ``as_of`` month."""
     return stream.where(D.is_current_month(F.col(ts), as_of))

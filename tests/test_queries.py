@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from almanac.plans.catalog import QUERIES as CATALOG
+from almanac.plans.registry import QUERIES as CATALOG
 from conftest import SMALL
 
 QUERIES = CATALOG  # the corpus operators have tests of their own
