@@ -244,3 +244,52 @@ def q_site_requests(spark, sf):
     from ..operators.frontier import request_grid
     sites = table(spark, sf, "pages").select(T.host_label("url").alias("site")).where("site IS NOT NULL").distinct()
     return request_grid(sites, "site", ["notice & co"], max_pages=3)
+
+
+# ----------------------------------------------- M1/JN6 keyword index --
+
+def _document_index(spark, sf):
+    from ..operators import keyword_index as K
+    path = fresh(spark, "words")
+    K.build(table(spark, sf, "documents"), "doc_id", "text", path)
+    return K.Index(spark, path)
+
+
+@register("indexed_occurrences", O.ORACLE["keyword_occurrences"])
+def q_indexed_occurrences(spark, sf):
+    """M1 by the positional index."""
+    from pyspark.sql import Window
+    found = _document_index(spark, sf).occurrences(C.DOC_INSTITUTIONS + C.DOC_STATUSES)
+    order = Window.partitionBy("doc").orderBy("start", "rank")
+    return found.select(F.col("doc").alias("doc_id"), F.row_number().over(order).alias("ordinal"), "start", "end", "keyword")
+
+
+@register("indexed_proximity", O.ORACLE["proximity_match"])
+def q_indexed_proximity(spark, sf):
+    """M2 + JN6 by the positional index and binned pairs."""
+    from ..operators import keyword_index as K
+    d = K.proximity_match(table(spark, sf, "documents"), _document_index(spark, sf), "doc_id", "text", "m",
+                          C.DOC_INSTITUTIONS, C.DOC_STATUSES, window=C.DOC_WINDOW)
+    m = F.col("m")
+    return d.select("doc_id", m.isNotNull().alias("is_match"), m["institution"].alias("institution"), m["status"].alias("status"),
+                    m["matched_text"].alias("matched_text"))
+
+
+@register("indexed_phrases", rf"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{O._RE2_WS}', ' ', 'g')) AS t FROM documents),
+b AS (SELECT trim(regexp_replace(coalesce(text, ''), '{O._RE2_WS}', ' ', 'g')) AS t FROM benchmark),
+k AS (SELECT DISTINCT regexp_extract(t, '^\pL+ \pL+ \pL+') AS phrase FROM b),
+hits AS (
+  SELECT doc_id, phrase, lower(t) AS t, lower(phrase) AS p, unnest(range(1, length(t) - length(phrase) + 2)) AS place
+  FROM d, k WHERE phrase <> '' AND contains(lower(t), lower(phrase)))
+SELECT phrase AS keyword, count(*) AS n_places, count(DISTINCT doc_id) AS n_docs FROM hits
+WHERE substr(t, place, length(p)) = p AND (place = 1 OR NOT regexp_matches(substr(t, place - 1, 1), '^{O._RE2_WORD}$'))
+  AND (place + length(p) > length(t) OR NOT regexp_matches(substr(t, place + length(p), 1), '^{O._RE2_WORD}$'))
+GROUP BY phrase""")
+def q_indexed_phrases(spark, sf):
+    """M1 with a keyword for every benchmark item (its first three words)."""
+    first = F.regexp_extract(T.collapse_ws("text"), r"^\p{L}+ \p{L}+ \p{L}+", 0)
+    phrases = table(spark, sf, "benchmark").select(first.alias("p")).where("p <> ''").distinct()
+    words = [r.p for r in phrases.collect()]  # a job's keyword list
+    return (_document_index(spark, sf).occurrences(words).groupBy("keyword")
+            .agg(F.count("*").alias("n_places"), F.countDistinct("doc").alias("n_docs")))
