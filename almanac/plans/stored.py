@@ -293,3 +293,26 @@ def q_indexed_phrases(spark, sf):
     words = [r.p for r in phrases.collect()]  # a job's keyword list
     return (_document_index(spark, sf).occurrences(words).groupBy("keyword")
             .agg(F.count("*").alias("n_places"), F.countDistinct("doc").alias("n_docs")))
+
+
+# ------------------------------------------------ N3/N5/A12 page stream --
+
+@register("stream_repeated_pages", O.ORACLE["repeated_pages"])
+def q_stream_repeated_pages(spark, sf):
+    """N3 + N5 + A12 over a stream: pages arrive in page order in four parts,
+    each read by a run of its own; sightings and stops are kept between them."""
+    from ..functions import html as H
+    from ..streaming.ingest import file_stream
+    from ..streaming.page_flow import repeated_pages_stream, stop_table
+    pages = table(spark, sf, "pages").select(
+        "page_id", T.host_label("url").alias("site"), H.absolute_links("html", "url", C.LINK_PREFIX).alias("links"))
+    path = fresh(spark, "pageflow")
+    stops = stop_table(spark, f"{path}/stops", buckets=16)
+    first, last = table(spark, sf, "pages").agg(F.min("page_id"), F.max("page_id")).first()
+    width = (last - first) // 4 + 1
+    for i in range(4):
+        part = pages.where(F.col("page_id").between(first + i * width, first + (i + 1) * width - 1))
+        part.write.mode("append").parquet(f"{path}/landing")
+        repeated_pages_stream(file_stream(spark, f"{path}/landing", pages.schema), "site", "page_id", "links", stops,
+                              f"{path}/sink", f"{path}/checkpoint", threshold=C.REPEAT_THRESHOLD)
+    return spark.read.parquet(f"{path}/sink").drop("batch_id").withColumnRenamed("page", "page_id")
