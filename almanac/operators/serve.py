@@ -35,7 +35,7 @@ def like_literal(q: str) -> str:
     the original; a backslash escapes the next character as in PostgreSQL,
     so a backslash before an ordinary character is dropped (Spark rejects
     that form)."""
-    return re.sub(r"\\([^%_\\])", r"\1", q)
+    return re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], q, flags=re.S)
 
 
 def contains_ci(c, q: str | None) -> Column | None:

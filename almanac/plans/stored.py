@@ -316,3 +316,33 @@ def q_stream_repeated_pages(spark, sf):
         repeated_pages_stream(file_stream(spark, f"{path}/landing", pages.schema), "site", "page_id", "links", stops,
                               f"{path}/sink", f"{path}/checkpoint", threshold=C.REPEAT_THRESHOLD)
     return spark.read.parquet(f"{path}/sink").drop("batch_id").withColumnRenamed("page", "page_id")
+
+
+# --------------------------------------------------- W2/W4 substring index --
+
+@register("indexed_search", O.ORACLE["faceted_search"])
+def q_indexed_search(spark, sf):
+    """W1-W5 by 3-gram lists: the search of ``faceted_search``."""
+    from ..operators import search_index as S
+    path, columns = fresh(spark, "grams"), ["c_name", "c_mktsegment", "city", "body"]
+    S.build(C.customer_records(spark, sf), path, "c_custkey", columns)
+    out = S.SearchIndex(spark, path, "c_custkey", columns).search(
+        first_name="customer#0000", city="a", query="build", flag="flag", first_col="c_name", last_col="c_mktsegment",
+        city_col="city", province_col="province", body_col="body")
+    return out.select("c_custkey", "c_name", "c_mktsegment", "city", "province")
+
+
+@register("indexed_body_search", """
+SELECT doc_id, lang, source FROM documents
+WHERE n_chars > 0 AND (lang ILIKE '%apache%lic_nse, version%' OR source ILIKE '%apache%lic_nse, version%'
+                       OR text ILIKE '%apache%lic_nse, version%')""")
+def q_indexed_body_search(spark, sf):
+    """W4 over whole documents by 3-gram lists; wildcards stay wildcards."""
+    from ..operators import search_index as S
+    path, columns = fresh(spark, "grams"), ["lang", "source", "text"]
+    docs = table(spark, sf, "documents").withColumn("flag", F.col("n_chars") > 0).withColumn("city", F.col("source"))
+    S.build(docs, path, "doc_id", columns)
+    out = S.SearchIndex(spark, path, "doc_id", columns).search(
+        query="apache%lic_nse, version", flag="flag", first_col="lang", last_col="source", city_col="city",
+        province_col="city", body_col="text")
+    return out.select("doc_id", "lang", "source")
