@@ -13,8 +13,8 @@ ask the same: the keyword's own words, whole, in any case, with white space
 between them.
 
 The index is partitioned by a hash of the word, so that a search reads the
-buckets of its words; a bucket's rows are dealt to several files by document, so
-that a word with a third of all rows is no single task's.
+buckets of its words.  It is written without a shuffle, a file of a bucket for
+each task, so that a word with a third of all rows is no single task's.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from ..functions import text as T
 from ..sources import fixed
 
 WORD = r"(?U)\w+"
-BUCKETS, FILES = 64, 8
+BUCKETS = 64
 #: Rows of a keyword list that is sent to every task (some MB); a longer list
 #: is joined by a shuffle.
 SENT_ROWS = 100_000
@@ -82,9 +82,9 @@ def build(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
     """Write the index of ``docs`` to ``path``.  The id must be unique: rows
     that share one would be one text."""
     rows = positions(docs, id_col, text_col).withColumn("bucket", _bucket("word"))
-    # Without a number: adaptive execution joins what is small.
-    (rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(FILES))).sortWithinPartitions("bucket", "word")
-         .write.partitionBy("bucket").parquet(path))
+    # Each task writes the buckets of its own texts: a row for every word is
+    # too much to shuffle, and files are as large as the scan's splits make them.
+    rows.sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(path)
 
 
 @dataclass(frozen=True)

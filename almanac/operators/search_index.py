@@ -67,9 +67,8 @@ def build(records: DataFrame, path: str, id_col: str, columns: list[str]) -> Non
     # An outer explode: a plain one lets the optimizer ask for the array's size first, which makes it twice.
     posts = (with_grams(texts, "text", "grams").select("id", "column", F.explode_outer("grams").alias("gram"))
              .where("gram IS NOT NULL").withColumn("_g", _bucket("gram")))
-    # A frequent gram's list is dealt to several tasks by id.
-    (posts.repartition("_g", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("_g", "gram")
-          .write.partitionBy("_g").parquet(f"{path}/postings"))
+    # Each task writes its own part of every list: they are too much to shuffle.
+    posts.sortWithinPartitions("_g", "gram").write.partitionBy("_g").parquet(f"{path}/postings")
     sizes = SearchIndex(records.sparkSession, path, id_col, columns).postings().groupBy("_g", "column", "gram").agg(F.count("*").alias("n"))
     sizes.repartition("_g").write.partitionBy("_g").parquet(f"{path}/sizes")
 
