@@ -45,7 +45,7 @@ def fold(word) -> Column:
         upper = F.when(F.length(F.upper(x)) == 1, F.upper(x)).otherwise(x)
         return F.substring(F.lower(upper), 1, 1)
     slow = F.array_join(F.transform(F.split(c, ""), one), "")
-    return F.when(c.rlike(r"[^\x00-\x7f]"), slow).otherwise(F.lower(c))
+    return F.when(F.octet_length(c) > F.length(c), slow).otherwise(F.lower(c))
 
 
 def words_of(df: DataFrame, text: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import shared_path
+from ..session import child_paths, shared_path
 from ..sources.keyed import KeyedTable
 from ..sources.store import RecordStore
 from ..sources.tables import table
@@ -89,16 +89,18 @@ def q_stored_lookup(spark, sf):
 
 # ----------------------------------------------- T5/R1/R3/R4/R6 streaming --
 
-#: Files that a corpus table arrives in, and those that a first run reads.
+#: Batches that a corpus table arrives in, and those that a first run reads.
 ARRIVALS, FIRST_RUN = 6, 2
 
 
-def landed(spark: SparkSession, rows: DataFrame, by: str, files: int = ARRIVALS) -> DataFrame:
-    """``rows`` as a stream of ``files`` files, one a batch."""
+def landed(spark: SparkSession, rows: DataFrame, by: str, batches: int = ARRIVALS) -> DataFrame:
+    """``rows`` as a stream of files, an equal share of them a batch, however
+    many tasks wrote them."""
     from ..streaming.ingest import file_stream
     path = fresh(spark, "landing")
-    rows.repartitionByRange(files, by).write.parquet(path)
-    return file_stream(spark, path, rows.schema, max_files_per_trigger=1)
+    rows.repartitionByRange(max(batches, int(spark.conf.get("spark.sql.shuffle.partitions"))), by).write.parquet(path)
+    files = sum(p.endswith(".parquet") for p in child_paths(spark, path))
+    return file_stream(spark, path, rows.schema, max_files_per_trigger=max(1, -(-files // batches)))
 
 
 def _state_events(e: DataFrame) -> DataFrame:
@@ -197,7 +199,7 @@ WHERE strftime(o_orderdate, '%Y-%m') = '2001-07'""")
 def q_stream_current_month(spark, sf):
     """Rows of the month of a given day, from a stream."""
     from ..streaming.ingest import append_batches, current_month_only
-    orders = landed(spark, table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey", files=3)
+    orders = landed(spark, table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey", batches=3)
     path = fresh(spark, "month")
     append_batches(current_month_only(orders, "o_orderdate", C.STALE_AS_OF), f"{path}/sink", f"{path}/checkpoint")
     sink = spark.read.schema("o_orderkey long, o_orderdate timestamp").parquet(f"{path}/sink")
