@@ -21,9 +21,11 @@ one component is settled.  Of the other lists, members outside the list's
 largest component, its hub, are compared with all others: links inside a
 component cannot change it, so nothing is lost, and of a large group of copies
 only those that its smallest member did not reach are compared with more than
-one.  Where these are many, the full sets are compared in blocks of bounded
-size, and only a spanning forest of the links found leaves a block, so that
-pairs never become rows.  There is no cap on lists, members or partners.
+one.  Where these are many, they are compared in blocks of bounded size, first
+by their signatures, which mark the members that collide often enough with one
+of another component, then these by their full sets; only a spanning forest of
+the links found leaves a block, so that pairs never become rows.  There is no
+cap on lists, members or partners.
 
 A pair at the limit 0.8 shares 32 of 64 coordinates but for one case in about
 10^8 (binomial tail); pairs closer than that are surer still.
@@ -50,6 +52,8 @@ MATCHES = 32
 #: rows.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 FEW = 20_000
+#: Signatures on either side of a comparison of two blocks of them.
+SIGNATURES = 8192
 
 
 def shingles(text: str | None, width: int, cache: WordHashes) -> np.ndarray:
@@ -160,7 +164,7 @@ def _led(posts: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """(hub, rep, n, outside): for each list with members of two components,
+    """(hub, rep, n, label, outside): for each list with members of two components,
     its members, filed under the largest component; ``outside`` are those that
     are not of it."""
     named = staged(posts.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -168,8 +172,8 @@ def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
     parts = named.groupBy("key", "label").agg(F.count("*").alias("c"))
     unsettled = (parts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "label")).alias("top"))
                       .filter("k > 1").select("key", F.col("top.label").alias("hub")))
-    return (named.join(unsettled, "key").select("hub", "rep", "n", (F.col("label") != F.col("hub")).alias("outside"))
-                 .distinct())
+    return (named.join(unsettled, "key")
+                 .select("hub", "rep", "n", "label", (F.col("label") != F.col("hub")).alias("outside")).distinct())
 
 
 def _spanning(links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
@@ -214,21 +218,57 @@ def _block_links(percent: int):
     return run
 
 
+def _in_blocks(crowds: DataFrame, held: DataFrame, rows, columns, name: str):
+    """Every hub's members, dealt into ``rows`` parts, cogrouped with those
+    outside of it, dealt into ``columns`` parts; ``held`` goes along by rep."""
+    size = crowds.groupBy("hub").agg(F.ceil(rows).alias("rows"), F.ceil(columns).alias("columns"))
+    full = staged(crowds.join(size, "hub").join(held, "rep"), name)
+    number = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = full.withColumn("i", number("rows", 1)).withColumn("j", all_of("columns"))
+    right = full.filter("outside").withColumn("j", number("columns", 2)).withColumn("i", all_of("rows"))
+    keep = ["hub", "i", "j", "rep", "n", "label", *(c for c in held.columns if c != "rep")]
+    return left.select(keep).groupBy("hub", "i", "j").cogroup(right.select(keep).groupBy("hub", "i", "j"))
+
+
+def _block_partners(matches: int, percent: int):
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [np.zeros(len(side), bool) for side in (left, right)]
+        if len(left) and len(right):
+            sigs = [np.ascontiguousarray(np.stack(side.sig.to_numpy()).T) for side in (left, right)]
+            (n, label), (m, other) = ((side.n.to_numpy(), side.label.to_numpy()) for side in (left, right))
+            for at in range(0, len(left), 512):
+                part = slice(at, at + 512)
+                hits = np.zeros((len(n[part]), len(m)), np.uint16)
+                for x, y in zip(sigs[0][:, part], sigs[1], strict=True):
+                    hits += x[:, None] == y
+                near = hits >= matches
+                near &= label[part, None] != other
+                near &= np.minimum(n[part, None], m) * 100 >= np.maximum(n[part, None], m) * percent
+                found[0][part] = near.any(axis=1)
+                found[1] |= near.any(axis=0)
+        reps = np.concatenate([side.rep.to_numpy()[f] for side, f in zip((left, right), found, strict=True)])
+        return pd.DataFrame({"hub": np.full(len(reps), key[0], np.int64), "rep": reps.astype(np.int64)})
+    return run
+
+
+def _partnered(crowds: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
+    """The rows of ``crowds`` that collide in ``matches`` coordinates with one
+    of another component and of a size that allows a link."""
+    low = F.transform("sig", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+    marked = (_in_blocks(crowds, classes.select("rep", low.alias("sig")), F.count("*") / SIGNATURES,
+                         F.count_if("outside") / SIGNATURES, "marked")
+              .applyInPandas(_block_partners(matches, percent), "hub long, rep long"))
+    return staged(crowds.join(marked.distinct(), ["hub", "rep"], "left_semi"), "partnered")
+
+
 def _linked_in_blocks(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of the members outside a hub with all its members, in groups of
     ``BLOCK`` by ``BLOCK``; only links are rows, never pairs."""
     n_outside = F.when(F.col("outside"), F.col("n"))
-    size = crowds.groupBy("hub").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("rows"),
-        F.ceil(F.greatest(F.count_if("outside") / BLOCK, F.sum(n_outside) / BLOCK_SHINGLES)).alias("columns"))
-    full = staged(crowds.join(size, "hub").join(sets, "rep"), "crowds")
-    number = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
-    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = full.withColumn("i", number("rows", 1)).withColumn("j", all_of("columns")).select("hub", "i", "j", "rep", "n", "members")
-    right = (full.filter("outside").withColumn("j", number("columns", 2)).withColumn("i", all_of("rows"))
-                 .select("hub", "i", "j", "rep", "n", "members"))
-    return (left.groupBy("hub", "i", "j").cogroup(right.groupBy("hub", "i", "j"))
-                .applyInPandas(_block_links(percent), "a long, b long"))
+    return (_in_blocks(crowds, sets, F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES),
+                       F.greatest(F.count_if("outside") / BLOCK, F.sum(n_outside) / BLOCK_SHINGLES), "crowds")
+            .applyInPandas(_block_links(percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
@@ -260,11 +300,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     opened = staged(_open(posts, labels), "open")
     many = opened.groupBy("hub").agg((F.count_if("outside") * F.count("*")).alias("work")).filter(F.col("work") > FEW).select("hub")
     few = opened.join(many, "hub", "left_anti")
-    outside = few.filter("outside").select("hub", F.col("rep").alias("o_rep"), F.col("n").alias("o_n"))
-    pairs = (few.join(outside, "hub").filter("rep <> o_rep").filter(_sizes_allow("n", "o_n", percent))
+    outside = few.filter("outside").select("hub", F.col("rep").alias("o_rep"), F.col("n").alias("o_n"),
+                                           F.col("label").alias("o_label"))
+    pairs = (few.join(outside, "hub").filter("label <> o_label").filter(_sizes_allow("n", "o_n", percent))
                 .select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct())
     near = _colliding(pairs, classes, matches)
-    crowds = staged(opened.join(many, "hub"), "crowded")
+    crowds = _partnered(staged(opened.join(many, "hub"), "crowded"), classes, matches, percent)
     sets = _full_sets(_ends(near).unionByName(crowds.select("rep")), classes, texts, shingle_words)
     more = _confirmed(near, sets, percent).unionByName(_linked_in_blocks(crowds, sets, percent))
 

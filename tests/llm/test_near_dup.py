@@ -72,6 +72,27 @@ def test_five_word_shingles_in_blocks(spark, monkeypatch):
     check(spark, 2, 11)
 
 
+def test_crowd_around_shared_passages(spark, monkeypatch):
+    """Texts that share a passage but are no copies, among them copies that the
+    list's smallest member does not reach; signatures and sets in small blocks."""
+    monkeypatch.setattr(N, "FEW", 0)
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "SIGNATURES", 8)
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    passage, rows = [rnd.choice(words) for _ in range(40)], []
+    for _ in range(40):
+        own = [rnd.choice(words) for _ in range(40)]
+        for _ in range(rnd.choice((1, 1, 3))):
+            text = own + passage
+            text[rnd.randrange(len(text))] = rnd.choice(words)
+            rows.append(" ".join(text))
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows))
+    got, _ = run(spark, rows, 5)
+    assert {i: g[1] for i, g in got.items()} == brute(rows, 5)
+
+
 def test_null_and_repeated_ids(spark):
     text = " ".join(f"v{i}" for i in range(30))
     df = spark.createDataFrame([(None, text, 0, ""), (9, text, 0, ""), (9, "other words " + "x y z " * 9, 0, ""), (4, text, 0, ""),
