@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_path
 
@@ -25,6 +26,8 @@ MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Entries after which a worker's word cache is emptied, so that its memory
 #: does not grow with the vocabulary.
 CACHE_WORDS = 1_000_000
+#: Bits of the map of wanted ids, 8 MB at any number of ids.
+SIFT_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +45,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sifted(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be among that of ``wanted``: all of
+    those, and a few others where hashes meet.  A map of ``SIFT_BITS`` bits is
+    broadcast, so that a join that follows moves hardly more rows than it
+    keeps; ids far beyond that number fill the map, and all rows pass."""
+    at = F.pmod(F.xxhash64(key), F.lit(SIFT_BITS)) + 1
+    marks = (wanted.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket"))
+                   .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits")))
+    held = F.expr("getbit(cast(conv(hex(substring(_bits, cast(_pos div 8 as int) + 1, 1)), 16, 10) as int), cast(_pos % 8 as int)) = 1")
+    placed = df.withColumn("_in", F.bitmap_bucket_number(at)).withColumn("_pos", F.bitmap_bit_position(at))
+    return placed.join(F.broadcast(marks), (F.col("_in") == F.col("_bucket")) & held).select(*df.columns)
+
+
 def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """A function that gives ``value``, which must be of bounded size, in any
     task; sent once to each executor, with the code of its class."""

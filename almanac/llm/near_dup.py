@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_long, list_array, small_batches, staged, window_hashes
+from .common import WordHashes, as_long, list_array, sifted, small_batches, staged, window_hashes
 from .graph import components
 
 COORDS = 64
@@ -131,8 +131,8 @@ def _prefixes(classes: DataFrame, coords: int, matches: int) -> DataFrame:
 
 def _full_sets(wanted: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(rep, members): the whole shingle sets of the classes in ``wanted``."""
-    named = wanted.distinct().join(classes.select("rep", "id", "mark"), "rep")
-    return staged(texts.join(named, "id").select("rep", "mark", "text")
+    named = staged(wanted.distinct().join(classes.select("rep", "id", "mark"), "rep"), "wanted")
+    return staged(sifted(texts, named, "id").join(named, "id").select("rep", "mark", "text")
                   .mapInArrow(_sets(width), "rep long, members array<long>").dropDuplicates(["rep"]), "sets")
 
 
