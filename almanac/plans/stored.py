@@ -348,3 +348,28 @@ def q_indexed_body_search(spark, sf):
         query="apache%lic_nse, version", flag="flag", first_col="lang", last_col="source", city_col="city",
         province_col="city", body_col="text")
     return out.select("doc_id", "lang", "source")
+
+
+# ------------------------------------------------------ A1-A3 by sketches --
+
+@register("sketched_counts", """
+SELECT year(o_orderdate) AS year, COUNT(*) AS total_records, COUNT(DISTINCT o_custkey) AS total_names,
+       COUNT(DISTINCT nullif(o_orderpriority, '')) AS total_cities, true AS names_within, true AS cities_within
+FROM orders GROUP BY 1""")
+def q_sketched_counts(spark, sf):
+    """A1-A3 a year from sketches of its days, kept as a table that two runs
+    append to: exact counts, and whether the merged estimates are within the
+    error bound of them."""
+    from ..operators import sketches as K
+    orders, path = table(spark, sf, "orders"), fresh(spark, "sketches")
+    names = {"names": "o_custkey", "cities": "o_orderpriority"}
+    for part in (F.col("o_orderstatus") == "F", ~F.col("o_orderstatus").eqNullSafe("F")):
+        K.day_sketches(orders.where(part), "o_orderdate", names, blank=False).write.mode("append").parquet(path)
+    found = K.merged_counts(spark.read.parquet(path), list(names), {"year": F.year("day")})
+    exact = orders.groupBy(F.year("o_orderdate").alias("_year")).agg(
+        F.count(F.lit(1)).alias("total_records"), F.countDistinct("o_custkey").alias("total_names"),
+        F.countDistinct(F.nullif("o_orderpriority", F.lit(""))).alias("total_cities"))
+    both = found.join(exact, F.col("year").eqNullSafe(F.col("_year")), "full_outer").where("n_rows = total_records")
+    return both.select("year", "total_records", "total_names", "total_cities",
+                       K.within_bound("names", "total_names").alias("names_within"),
+                       K.within_bound("cities", "total_cities").alias("cities_within"))
