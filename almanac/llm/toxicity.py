@@ -55,6 +55,8 @@ WINDOW, STEMS = 32, range(5, 9)
 #: Clean sentences from which on a stem is known to be clean.
 LEAST_SEEN = 3
 HARD_BAGS = 1_500
+#: Words compared at once when landmarks are chosen, and rows of a product.
+POOL_PART, ROW_PART = 128, 2_048
 #: Documents of each label to set aside for the probability, or none are.
 LEAST_ASIDE = 5
 
@@ -130,6 +132,13 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, code, weight / norm[row]
 
 
+def _beyond(decision: np.ndarray) -> np.ndarray:
+    """Beyond the margin the decision grows by a hundredth at most, in order:
+    the probability is fitted to the margin, and ties are of equal values only."""
+    size = np.abs(decision)
+    return np.where(size > 1, np.sign(decision) * (1 + 0.01 * (1 - 1 / np.maximum(size, 1))), decision)
+
+
 class Scorer:
     """A weight for each subsequence: word -> its part of a sentence's decision
     value."""
@@ -162,7 +171,7 @@ class Scorer:
         new = list(set().union(*(words for ws in held for words in ws)) - known.keys())
         known.update(zip(new, self.values(new).tolist(), strict=True))
         top = [max((sum(map(known.__getitem__, words)) for words in ws), default=0.0) + self.bias for ws in held]
-        return np.clip(np.array(top, float), -1, 1)  # beyond the margin all are equal
+        return _beyond(np.array(top, float))
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * decision + self.shift, -30, 30)))
@@ -194,9 +203,10 @@ def _bag_kernel(bags: list[list[str]], landmarks: list[str]) -> np.ndarray:
         if not len(key):
             continue
         total = np.bincount(which, weight[hit])
-        bag = key // len(known)
-        first = np.flatnonzero(np.r_[True, bag[1:] != bag[:-1]])
-        out[start + bag[first]] = np.add.reduceat(total[:, None] * table[key % len(known)], first)
+        bag, code = key // len(known), key % len(known)
+        ends = np.searchsorted(bag, np.arange(len(part) + 1))
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):  # bag by bag: its rows of the table only
+            out[start + i] = total[a:b] @ table[code[a:b]]
     return out
 
 
@@ -213,8 +223,11 @@ def _margin(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1
     for _ in range(60):
         slack = 1 - y * (x @ w + BIAS)
         on = slack > 0
-        grad = keep * w - (x[on] * (weight * y * slack)[on, None]).sum(axis=0)
-        hess = (x[on] * weight[on, None]).T @ x[on] + np.diag(keep)
+        grad = keep * w - x.T @ np.where(on, weight * y * slack, 0.0)
+        hess, inside = np.diag(keep), np.flatnonzero(on)
+        for start in range(0, len(inside), ROW_PART):  # never a second copy of x
+            at = inside[start:start + ROW_PART]
+            hess = hess + (x[at] * weight[at, None]).T @ x[at]
         step, size = np.linalg.solve(hess, grad), 1.0
         while (then := loss(w - size * step)) > now and size > 1e-4:
             size /= 2
@@ -284,7 +297,9 @@ def _fit(rows: Iterable[tuple[int, int, str]]) -> Scorer | None:
         spread, vectors = np.linalg.eigh(_kernel(landmarks, landmarks))
         root = vectors / np.sqrt(np.maximum(spread, 1e-6)) @ vectors.T
         plus = sorted(positive, key=sorted)
-        x = _bag_kernel([*map(sorted, plus), *map(sorted, negative)], landmarks) @ root
+        x = _bag_kernel([*map(sorted, plus), *map(sorted, negative)], landmarks)
+        for start in range(0, len(x), ROW_PART):
+            x[start:start + ROW_PART] = x[start:start + ROW_PART] @ root
         y = np.r_[np.ones(len(plus)), -np.ones(len(negative))]
         weight = np.array([1.0] * len(plus) + [float(n) for n in negative.values()])
         for side in (y > 0, y < 0):
@@ -319,16 +334,22 @@ def _fit(rows: Iterable[tuple[int, int, str]]) -> Scorer | None:
 
 def _different(pool: list[str], most: int, beside: list[str] = []) -> list[str]:  # noqa: B006
     """The first words of ``pool`` none of which is too close to another or to
-    one of ``beside``."""
-    if not pool:
-        return []
-    between = _kernel(pool, pool)
-    free = _kernel(pool, beside).max(axis=1) < LEAST_DIFFERENT if beside else np.ones(len(pool), bool)
-    taken: list[int] = []
-    for i in np.flatnonzero(free):
-        if len(taken) < most and (not taken or between[i, taken].max() < LEAST_DIFFERENT):
-            taken.append(i)
-    return [pool[i] for i in taken]
+    one of ``beside``.  The pool is compared in parts, with the words taken so
+    far and within the part, so no table of all its subsequences is made."""
+    taken: list[str] = []
+    for start in range(0, len(pool), POOL_PART):
+        if len(taken) >= most:
+            break
+        part = pool[start:start + POOL_PART]
+        known = [*beside, *taken]
+        free = _kernel(part, known).max(axis=1) < LEAST_DIFFERENT if known else np.ones(len(part), bool)
+        between = _kernel(part, part)
+        own: list[int] = []
+        for i in np.flatnonzero(free):
+            if len(taken) + len(own) < most and (not own or between[i, own].max() < LEAST_DIFFERENT):
+                own.append(i)
+        taken += [part[i] for i in own]
+    return taken
 
 
 def _mixed(word: str) -> int:
@@ -356,7 +377,8 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> Scorer | None:
     """Fit on the labelled rows that are not held out; None if they do not
-    show both labels.  Of contradicting labels the larger counts."""
+    show both labels.  Of contradicting labels the larger counts, of several
+    texts of an id the least."""
     marks = (labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
                    .filter("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
                    .filter(~held_out(F.col("id"))))
@@ -365,7 +387,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = staged(present.filter("label = 1").orderBy(F.xxhash64("id"), "id").limit(DOCS)
                     .unionByName(present.filter("label = 0").orderBy(F.xxhash64("id"), "id").limit(DOCS)), "sample")
     sample = staged(texts.filter(F.length("text") <= DOC_CHARS).join(F.broadcast(chosen), "id")  # at most 2 * DOCS rows
-                         .dropDuplicates(["id"]), "sample-texts")
+                         .groupBy("id", "label").agg(F.min("text").alias("text")), "sample-texts")
     rows = sample.mapInArrow(_sentence_rows, "id long, label int, sentence string").orderBy("label", "id", "sentence").toArrow()
     rows = list(zip(*(rows.column(c).to_pylist() for c in ("id", "label", "sentence")), strict=True))
     aside = {label: {i for i, own, _ in rows if own == label and _mixed(str(i)) // 7 % 5 == 0} for label in (0, 1)}

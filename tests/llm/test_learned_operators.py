@@ -136,6 +136,31 @@ def test_held_out_toxicity(spark):
     assert T.toxicity(docs, labels.limit(0)).where("score <> 0").count() == 0
 
 
+def test_landmarks_in_parts_and_ordered_scores():
+    words = [f"{a}{b}{c}" for a in ("bor", "tal", "quin", "mes") for b in ("en", "ok", "ust", "ra") for c in ("ta", "lo", "mund", "", "x")]
+    words = (words + [w + "e" for w in words])[:T.POOL_PART + 20]
+    full = T._kernel(words, words)
+    plain: list[int] = []
+    for i in range(len(words)):
+        if len(plain) < 60 and all(full[i, j] < T.LEAST_DIFFERENT for j in plain):
+            plain.append(i)
+    assert T._different(words, 60) == [words[i] for i in plain] and len(plain) > 10
+    assert words[plain[0]] not in T._different(words, 60, beside=[words[plain[0]]])
+    bags = [words[:3], [], words[5:40], words[40:41]]
+    assert np.allclose(T._bag_kernel(bags, words[:9]), [full[[words.index(w) for w in b], :9].sum(axis=0) for b in bags])
+    line = np.array([-9.0, -1.5, -1, -0.2, 0, 0.7, 1, 1.0001, 3, 300])
+    assert (np.diff(T._beyond(line)) > 0).all() and np.abs(T._beyond(line)).max() < 1.01
+    assert T._beyond(line)[2:7].tolist() == line[2:7].tolist()
+
+
+def test_one_text_of_a_repeated_id(spark):
+    rows = [(i, "plain words here.", 0) for i in range(40)] + [(100 + i, "you blorfing fool.", 1) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(100, "zebra crossing."), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int")
+    one = sorted(map(tuple, T.toxicity(docs, labels).collect()), key=str)
+    assert one == sorted(map(tuple, T.toxicity(docs.repartition(7), labels).collect()), key=str) and len(one) == 82
+
+
 def test_rare_words_of_a_toxic_stem_and_sums_over_a_sentence():
     rnd = random.Random(3)
     make = lambda n: "".join(rnd.choice("abdefgilmnoprstu") for _ in range(n))
