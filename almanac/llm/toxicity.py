@@ -133,8 +133,8 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _beyond(decision: np.ndarray) -> np.ndarray:
-    """Beyond the margin the decision grows by a hundredth at most, in order:
-    the probability is fitted to the margin, and ties are of equal values only."""
+    """Beyond the margin the decision grows by a hundredth at most, in order,
+    so that ties are of equal values only."""
     size = np.abs(decision)
     return np.where(size > 1, np.sign(decision) * (1 + 0.01 * (1 - 1 / np.maximum(size, 1))), decision)
 
@@ -163,7 +163,7 @@ class Scorer:
         np.maximum.at(best, np.array([i for i, _ in pieces], np.int64), found)
         return best
 
-    def documents(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
+    def decisions(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
         """Decision value of each text; ``bias`` for one without words."""
         held = [[set(words) for s in sentences(t) for words in windows(words_of(s))] for t in texts]
         if len(known) > CACHE_WORDS:
@@ -171,7 +171,12 @@ class Scorer:
         new = list(set().union(*(words for ws in held for words in ws)) - known.keys())
         known.update(zip(new, self.values(new).tolist(), strict=True))
         top = [max((sum(map(known.__getitem__, words)) for words in ws), default=0.0) + self.bias for ws in held]
-        return _beyond(np.array(top, float))
+        return np.array(top, float)
+
+    def documents(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
+        """The decision values, those beyond the margin as equal: to these the
+        probability is fitted."""
+        return np.clip(self.decisions(texts, known), -1, 1)
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * decision + self.shift, -30, 30)))
@@ -438,7 +443,7 @@ def scored(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", score
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = get(), {}
         for batch in small_batches(batches, 128):
-            found = own.documents(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), known)
+            found = _beyond(own.decisions(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), known))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.probability(found), pa.float64())],
                                              names=[*batch.schema.names, score_col])
 
