@@ -4,7 +4,7 @@ record rows to append."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,18 +16,35 @@ from .admit import outcomes
 
 def process_notices(record_pages: DataFrame, records: DataFrame, sites: DataFrame, gazetteer: DataFrame,
                     options: JobOptions | None = None, url_col: str = "url", html_col: str = "html",
-                    link_prefix: str = fixed.RECORD_LINK_PREFIX):
+                    link_prefix: str = fixed.RECORD_LINK_PREFIX,
+                    order_col: str | None = None, stop_at=None):
     """Returns ``(outcome_rows, new_records)``.
 
     ``record_pages``: fetched notice pages (url, html); ``records``: the
     stored record table (``obituary_url``, ``name``, ``is_alumni``, ``tags``);
     ``sites``/``gazetteer``: dimensions.  New records carry the full record
-    schema; their id is a hash of the URL (stable across runs)."""
+    schema; their id is a hash of the URL (stable across runs).
+
+    ``order_col`` tells which of a URL's sightings is the first (nulls last;
+    ties, and pages without such a column, by a hash of the page).  A stop
+    requested at position ``stop_at`` of it turns every sighting from there on
+    into ``stopped`` / ``stop_requested``, unread; one without a position is
+    read.  No pages give no rows; null HTML is a page without fields, and rows
+    with a null URL are sightings of one unknown URL."""
     o = options or JobOptions()
-    # In-run visited rule: a URL is read once; its later sightings are skipped.
-    seen = record_pages.groupBy(url_col).agg(F.min(html_col).alias(html_col), F.count(F.lit(1)).alias("_sightings"))
-    again = seen.where("_sightings > 1").select(url_col, F.explode(F.sequence(F.lit(2).cast("long"), "_sightings")).alias("_n"))
-    f = page_fields(seen, url_col, html_col, link_prefix)
+    order = F.col(order_col) if order_col else F.lit(0)
+    pages = record_pages.select(url_col, html_col, order.alias("_order"), F.xxhash64(html_col).alias("_digest"))
+    halted = F.coalesce(F.col("_order") >= stop_at, F.lit(False)) if stop_at is not None else F.lit(False)
+    read = pages.where(~halted)
+    # In-run visited rule: a URL counts once, at its first sighting; the later ones are skipped.
+    # Fields are taken where the page lies, so no exchange carries HTML, and of a URL's
+    # sightings one row a task is shuffled.
+    again = (read.groupBy(url_col).agg(F.count(F.lit(1)).alias("_sightings")).where("_sightings > 1")
+                 .select(url_col, F.explode(F.sequence(F.lit(2).cast("long"), "_sightings")).alias("_n")))
+    sighting = Window.partitionBy(url_col).orderBy(F.col("_order").asc_nulls_last(), "_digest")
+    f = (page_fields(read, url_col, html_col, link_prefix, keep=("_order", "_digest"))
+         .withColumn("_sighting", F.row_number().over(sighting)).where("_sighting = 1")
+         .drop("_sighting", "_order", "_digest"))
     existing = records.select(F.col("obituary_url").alias(url_col), F.col("name").alias("stored_name"),
                               F.col("is_alumni").alias("stored_is_alumni"), F.col("tags").alias("stored_tags"))
     out = outcomes(f, existing, sites, gazetteer, key=url_col, url_col=url_col, body_col="body",
@@ -44,6 +61,12 @@ def process_notices(record_pages: DataFrame, records: DataFrame, sites: DataFram
     columns = (url_col, "status", "reason", "name", "is_alumni", "institution", "publication_text",
                "tags", "city", "province", "error")
     first = out.select(*columns)
-    later = again.select(url_col, F.lit(fixed.SKIPPED).alias("status"), F.lit(fixed.STOP_VISITED).alias("reason"))
-    rest = [F.lit(None).cast(first.schema[c].dataType).alias(c) for c in columns[3:]]
-    return first.unionByName(later.select("*", *rest)), new_records
+    none = [F.lit(None).cast(first.schema[c].dataType).alias(c) for c in columns[3:]]
+
+    def unread(rows: DataFrame, status: str, reason: str) -> DataFrame:
+        return rows.select(url_col, F.lit(status).alias("status"), F.lit(reason).alias("reason"), *none)
+
+    found = first.unionByName(unread(again, fixed.SKIPPED, fixed.STOP_VISITED))
+    if stop_at is not None:
+        found = found.unionByName(unread(pages.where(halted), fixed.STOPPED, fixed.STOP_REQUESTED))
+    return found, new_records

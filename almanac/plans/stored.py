@@ -373,3 +373,67 @@ def q_sketched_counts(spark, sf):
     return both.select("year", "total_records", "total_names", "total_cities",
                        K.within_bound("names", "total_names").alias("names_within"),
                        K.within_bound("cities", "total_cities").alias("cities_within"))
+
+
+# ----------------------------------------- T1/T2/T12 a run that is stopped --
+
+STOP_AT, SECOND_LATER = 900_000, 50_000
+
+
+def _customer_pages(c: DataFrame) -> DataFrame:
+    """Customers as notice pages at a position of the run, by their balance,
+    and every tenth once more, later and with another name.  The
+    name stands in one of the three places that the extractor looks in."""
+    key = F.col("c_custkey")
+    name = F.concat(F.lit("Ines Kolb"), key.cast("string"))
+    heading = (F.when(key % 11 == 0, F.lit(""))
+               .when(key % 3 == 0, F.concat(F.lit('<h1 class="obit-name">Ines KOLB'), key.cast("string"),
+                                            F.lit('</h1><span class="obit-lastname-upper">KOLB'), key.cast("string"), F.lit("</span>")))
+               .when(key % 3 == 1, F.concat(F.lit('<p data-testid="desktop-menu-fullname">'), name, F.lit("</p>")))
+               .otherwise(F.concat(F.lit("<title>"), name, F.lit(" Obituary | Gazette</title>"))))
+    study = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"),
+                   F.lit("Ferry captain and graduate of the University of Windsor.")).otherwise(F.lit("Kept bees &amp; sang."))
+    html = F.concat(heading, F.lit('<div class="details-published">Published online May '),
+                    (key % 28 + 1).cast("string"), F.lit(', 2025</div><span class="details-copy">'), study, F.lit("</span>"))
+    url = F.concat(F.lit("https://src"), F.col("c_nationkey").cast("string"), F.lit(".example.com/obituary/"), key.cast("string"))
+    position = F.round(F.col("c_acctbal") * 100).cast("long")
+    first = c.select(url.alias("url"), html.alias("html"), position.alias("position"))
+    later = c.where(key % 10 == 0).select(url.alias("url"), F.lit("<h1>Other Page</h1>").alias("html"),
+                                          (position + SECOND_LATER).alias("position"))
+    return first.unionByName(later)
+
+
+@register("record_run", f"""
+WITH p AS (SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS m, CAST(round(c_acctbal * 100) AS BIGINT) AS pos, 1 AS s FROM customer
+           UNION ALL
+           SELECT c_custkey, c_nationkey, c_mktsegment, CAST(round(c_acctbal * 100) AS BIGINT) + {SECOND_LATER}, 2 FROM customer WHERE c_custkey % 10 = 0),
+g AS (SELECT p.*, n_name AS place,
+             CASE WHEN pos >= {STOP_AT} THEN 'stop_requested' WHEN s = 2 THEN 'already_visited'
+                  WHEN k % 11 = 0 THEN 'missing_name' WHEN m NOT IN ('BUILDING', 'MACHINERY') THEN 'no_alumni_keyword'
+                  WHEN k % 7 = 0 THEN 'existing_url' WHEN n_name IS NULL THEN 'unknown_city' END AS reason
+      FROM p LEFT JOIN nation ON n_nationkey = n AND n_nationkey % 5 <> 0)
+SELECT 'https://src' || n || '.example.com/obituary/' || k AS url,
+       CASE reason WHEN 'stop_requested' THEN 'stopped' WHEN 'existing_url' THEN 'duplicate' ELSE
+            CASE WHEN reason IS NULL THEN 'saved' ELSE 'skipped' END END AS status, reason,
+       CASE WHEN reason IN ('stop_requested', 'already_visited', 'missing_name') THEN NULL
+            WHEN reason = 'existing_url' THEN 'Stored ' || k ELSE 'Ines Kolb' || k END AS name,
+       CASE WHEN reason IN ('stop_requested', 'already_visited') THEN NULL ELSE place END AS city,
+       CASE WHEN reason IN ('stop_requested', 'already_visited') THEN NULL
+            ELSE 'May ' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0') || ', 2025' END AS publication_text
+FROM g""")
+def q_record_run(spark, sf):
+    """T1 + T2 + T12 with P2, P3, P7, P8 and P11: a run over notice pages of
+    all customers, stopped on its way; the first sighting of a URL counts."""
+    from ..operators.records import process_notices
+    c = table(spark, sf, "customer")
+    key = F.col("c_custkey")
+    stored = c.where(key % 7 == 0).select(
+        F.concat(F.lit("https://src"), F.col("c_nationkey").cast("string"), F.lit(".example.com/obituary/"),
+                 key.cast("string")).alias("obituary_url"),
+        F.concat(F.lit("Stored "), key.cast("string")).alias("name"), F.lit(True).alias("is_alumni"), F.lit("new").alias("tags"))
+    sites = (table(spark, sf, "nation").where("n_nationkey % 5 <> 0")
+             .select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("subdomain"),
+                     F.col("n_name").alias("city"), F.lit("Ontario").alias("province")))
+    places = sites.select("city", "province", F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"))
+    out, _ = process_notices(_customer_pages(c), stored, sites, places, order_col="position", stop_at=STOP_AT)
+    return out.select("url", "status", "reason", "name", "city", "publication_text")

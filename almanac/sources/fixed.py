@@ -82,6 +82,7 @@ MISSING_NAME, NO_ALUMNI_KEYWORD, EXISTING_URL, UNKNOWN_CITY = (
 STATE_RUNNING, STATE_COMPLETED, STATE_BLOCKED, STATE_ERROR = (
     "running", "completed", "pagination_blocked", "error")
 # page-reader stop reasons
+STOP_REQUESTED = "stop_requested"
 STOP_VISITED, STOP_NO_LINKS, STOP_REPEATED, STOP_ERROR = (
     "already_visited", "no_links", "repeated_page", "error")
 # run statuses

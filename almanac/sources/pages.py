@@ -178,22 +178,33 @@ def _fields_or_error(url, html, link_prefix, n_cols):
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def raw_page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix=fixed.RECORD_LINK_PREFIX) -> DataFrame:
+def raw_page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix=fixed.RECORD_LINK_PREFIX,
+                    keep: tuple[str, ...] = ()) -> DataFrame:
     """Arrow-batched extractor: one output row per page with the raw
-    selector texts (schema ``RAW_SCHEMA``)."""
+    selector texts (schema ``RAW_SCHEMA``) and the columns of ``keep``."""
     cols = [c.split()[0] for c in RAW_SCHEMA.split(", ")]
+    # Kept columns pass the extractor as text, so that pandas changes no type.
+    texts = {c: f"_keep{i}" for i, c in enumerate(keep)}
 
     def run(batches):
         for pdf in batches:
             rows = [_fields_or_error(u, h, link_prefix, len(cols)) for u, h in zip(pdf[url_col], pdf[html_col])]
-            yield pd.DataFrame(rows, columns=cols)
+            out = pd.DataFrame(rows, columns=cols)
+            for c in texts.values():
+                out[c] = pdf[c].to_numpy()
+            yield out
 
-    return (pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-                 .withColumnsRenamed({"url": url_col, "html": html_col}).mapInPandas(run, RAW_SCHEMA))
+    raw = (pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"),
+                        *[F.col(c).cast("string").alias(t) for c, t in texts.items()])
+                .withColumnsRenamed({"url": url_col, "html": html_col})
+                .mapInPandas(run, ", ".join([RAW_SCHEMA, *[f"{t} string" for t in texts.values()]])))
+    return raw.withColumns({c: F.col(t).cast(pages.schema[c].dataType) for c, t in texts.items()}).drop(*texts.values()) \
+        if keep else raw
 
 
-def page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix=fixed.RECORD_LINK_PREFIX) -> DataFrame:
-    """P1-P8 + P11: the record fields of each page.
+def page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix=fixed.RECORD_LINK_PREFIX,
+                keep: tuple[str, ...] = ()) -> DataFrame:
+    """P1-P8 + P11: the record fields of each page, and its columns ``keep``.
 
     name (P3): (a) the obit-name header minus the upper-case last name,
     (b) the first of the full-name selectors and h1 that splits into two
@@ -204,7 +215,7 @@ def page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix=fi
 
     The candidate lists have fixed length, so each candidate is its own
     staged column (code-generated, computed once) rather than a lambda."""
-    raw = raw_page_fields(pages, url_col, html_col, link_prefix)
+    raw = raw_page_fields(pages, url_col, html_col, link_prefix, keep)
     n_b, n_c = len(TESTID_SELECTORS) + 1, 3
     for i in range(n_b):
         raw = raw.withColumn(f"_nb{i}", T.split_name(F.element_at("testid_names", i + 1)))
@@ -240,5 +251,6 @@ def page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefix=fi
         "funeral_home",
         F.array_distinct("links").alias("links"),
         "error",
+        *keep,
     )
     return out.withColumn("publication_date", D.publication_timestamp("publication_text"))
