@@ -437,3 +437,30 @@ def q_record_run(spark, sf):
     places = sites.select("city", "province", F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"))
     out, _ = process_notices(_customer_pages(c), stored, sites, places, order_col="position", stop_at=STOP_AT)
     return out.select("url", "status", "reason", "name", "city", "publication_text")
+
+
+# ------------------------------------------------------ S7 export in parts --
+
+@register("exported_lines", """
+SELECT o_orderkey || ',"' || o_orderstatus || ', ""' || o_orderpriority || '""' || '"' AS line, true AS in_order
+FROM orders UNION ALL SELECT 'id,note', true""")
+def q_exported_lines(spark, sf):
+    """S7 over all orders: the lines of the parts, and whether each part keeps
+    to its range, titles before all.  Spark's reader leaves out the BOM, which
+    is tested on the bytes."""
+    from ..operators.export import write_csv_parts
+    path = fresh(spark, "export")
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat("o_orderstatus", F.lit(', "'), "o_orderpriority", F.lit('"')).alias("note"))
+    write_csv_parts(rows, path + "/parts", [F.desc("_cells.id")], path + "/manifest")
+    lines = (spark.read.option("lineSep", "\r\n").text(path + "/parts")
+                  .select(F.col("value").alias("line"), F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("part"),
+                          F.regexp_extract("value", r"^(\d+)", 1).try_cast("long").alias("id")))
+    ranges = lines.groupBy("part").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count_if(F.col("id").isNull()).alias("titles"))
+    at = spark.read.parquet(path + "/manifest").select("position", F.substring_index("part", "/", -1).alias("part"))
+    before = ranges.join(at, "part")  # a row a part
+    after = before.select((F.col("position") - 1).alias("position"), F.col("most").alias("next"))
+    kept = before.join(after, "position", "left").select(
+        "part", (F.coalesce(F.col("least") > F.col("next"), F.lit(True))
+                 & (F.col("titles") == F.when(F.col("position") == 0, 1).otherwise(0))).alias("in_order"))
+    return lines.join(kept, "part").select("line", "in_order")

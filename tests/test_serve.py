@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from almanac.operators import serve
 from almanac.operators.export import csv_rows, write_csv
@@ -134,3 +135,25 @@ def test_csv_quoting_matches_python_csv(spark, tmp_path):
     w.writerow(["1", 'Mia "Mo" Stone, Jr', ""])
     w.writerow(["2", "plain", "a;b"])
     assert data == buf.getvalue()
+
+
+def test_csv_in_parts(spark, tmp_path):
+    import csv
+    import io
+    from almanac.operators.export import write_csv_parts
+    data = [(i, f"n{i % 7}", 'a "b", c' if i % 5 == 0 else None if i % 5 == 1 else " x\ny " if i % 5 == 2 else "", i % 3) for i in range(3000)]
+    rows = spark.createDataFrame(data, "id long, _line string, note string, _rank int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little data would be one part
+    try:
+        parts = write_csv_parts(rows, str(tmp_path / "p"), [F.desc("_cells._line"), "id"], str(tmp_path / "m"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    held = [open(p.removeprefix("file:"), "rb").read() for p in parts]
+    buf = io.StringIO()
+    w = csv.writer(buf)
+    w.writerow(["id", "_line", "note", "_rank"])
+    w.writerows(["" if v is None else v for v in r] for r in sorted(data, key=lambda r: (-int(r[1][1:]), r[0])))
+    assert b"".join(held).decode("utf-8") == "\ufeff" + buf.getvalue() and len(parts) > 1
+    assert [r.part for r in spark.read.parquet(str(tmp_path / "m")).orderBy("position").collect()] == parts
+    with pytest.raises(ValueError):
+        write_csv_parts(rows.where("false"), str(tmp_path / "none"), ["id"])
