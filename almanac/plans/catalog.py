@@ -858,7 +858,8 @@ def q_stream_notice_outcomes(spark, sf):
     from ..streaming.ingest import file_stream, new_run_dir, notices_stream
     d = new_run_dir(spark, "notices")
     pages = table(spark, sf, "pages")
-    stream = file_stream(spark, sf.rstrip("/"), pages.schema, glob="pages.parquet").select("url", "html")
+    # The table may be one file or a folder of parts.  A source takes a file by a pattern only.
+    stream = file_stream(spark, f"{sf.rstrip('/')}/{{pages.parquet}}", pages.schema).select("url", "html")
     dim = _site_dimension(pages)
     gaz = dim.select("city", "province", (F.length("city") * 1.5).alias("latitude"),
                      (F.length("province") * -2.0).alias("longitude"))

@@ -40,6 +40,20 @@ def test_notice_stream_equals_batch(spark):
     assert rows(s) == rows(b)
 
 
+def test_notice_stream_of_a_table_in_parts(spark, tmp_path):
+    """The page table as a folder of part files gives the rows of one file."""
+    from test_extract import GRADUATE, notice
+    pages = spark.createDataFrame([(i, f"https://windsorstar.remembering.ca/obituary/{i}", notice(f"Ann{i}", "LEE", body=GRADUATE))
+                                   for i in range(6)], "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "parts" / "pages.parquet"))
+    pages.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "file" / "pages.parquet")
+    query = E.queries()["stream_notice_outcomes"]
+    got = rows(query(spark, str(tmp_path / "parts")))
+    assert len(got) == 6 and got == rows(query(spark, str(tmp_path / "file")))
+
+
 def test_notice_stream_replay_and_history(spark, tmp_path):
     """Second batch sees the first batch's records (duplicate); replaying a
     batch id overwrites its partition."""
