@@ -20,8 +20,12 @@ from .enrich import with_coordinates, with_site
 
 def split_existing(candidates: DataFrame, existing: DataFrame, key: str):
     """JN3/JN5: (new, duplicates) = candidates anti / semi joined with the
-    existing keys."""
-    keys = existing.select(key).where(F.col(key).isNotNull())
+    existing keys.
+
+    The keys are never broadcast: a store's size is guessed from its files, in
+    which keys are packed and most other columns are empty, so that millions of
+    them pass for a few MB and would be gathered on the driver."""
+    keys = existing.select(key).where(F.col(key).isNotNull()).hint("merge")
     return (candidates.join(keys, key, "left_anti"), candidates.join(keys, key, "left_semi"))
 
 

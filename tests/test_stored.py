@@ -50,6 +50,17 @@ def test_store_is_not_moved(spark, tmp_path, no_broadcast, kind, partitions):
     assert len(scan) == 1 and "Bucketed: true" in scan[0] and "SelectedBucketsCount: 8 out of 8" in scan[0]
 
 
+@pytest.mark.parametrize("kind", ["new", "duplicates"])
+def test_stored_keys_are_not_broadcast(spark, tmp_path, kind):
+    """Files of a few MB can hold millions of keys: no side goes through the driver."""
+    urls(spark, 0, 600).write.parquet(str(tmp_path / "s"))
+    asked = urls(spark, 500, 700).unionByName(spark.createDataFrame([(None, -1), ("u500", 500)], "url string, n long"))
+    new, dup = split_existing(asked, spark.read.parquet(str(tmp_path / "s")), "url")
+    df = new if kind == "new" else dup
+    assert "Broadcast" not in plan(df)
+    assert sorted(r.n for r in df.collect()) == ([-1, *range(600, 700)] if kind == "new" else [500, *range(500, 600)])
+
+
 def test_outcome_join_leaves_the_store_in_place(spark, tmp_path, no_broadcast):
     stored = spark.createDataFrame([("u1", "Stored One", True, "new"), ("u2", "Stored Two", False, "updated"), ("u2", "Again", False, "new")],
                                    "url string, stored_name string, stored_is_alumni boolean, stored_tags string")
