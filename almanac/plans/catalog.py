@@ -683,7 +683,7 @@ def q_tag_updates(spark, sf):
 
 def _events_stream(spark, sf):
     from ..streaming.ingest import file_stream
-    return file_stream(spark, sf.rstrip("/"), table(spark, sf, "events").schema, glob="events.parquet")
+    return file_stream(spark, f"{sf.rstrip('/')}/{{events.parquet}}", table(spark, sf, "events").schema)
 
 
 @register("stream_dedup")
