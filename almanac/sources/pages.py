@@ -1,4 +1,4 @@
-"""One Arrow pass over page HTML (``mapInPandas``).
+"""One Arrow pass over page HTML (``mapInArrow``).
 
 The only Python on the row path.  It parses each page once with the
 standard-library HTML parser and emits the *raw* texts of the selectors the
@@ -16,10 +16,12 @@ from __future__ import annotations
 import sys
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import dates as D
 from ..functions import text as T
@@ -29,6 +31,8 @@ NA = "N/A"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
         "param", "source", "track", "wbr"}
 ERROR_CHARS = 4000
+#: Pages whose HTML and texts are Python objects at once; a batch has 10,000.
+AT_ONCE = 50
 HIDDEN = {"script", "style", "template"}
 
 RAW_SCHEMA = (
@@ -174,7 +178,7 @@ def _fields_or_error(url, html, link_prefix, n_cols):
 
 
 # Ship this module's code with the task (pickled by value), so Python
-# workers need only pandas/pyarrow, not this package on their path.
+# workers need only pyarrow, not this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -183,21 +187,23 @@ def raw_page_fields(pages: DataFrame, url_col="url", html_col="html", link_prefi
     """Arrow-batched extractor: one output row per page with the raw
     selector texts (schema ``RAW_SCHEMA``) and the columns of ``keep``."""
     cols = [c.split()[0] for c in RAW_SCHEMA.split(", ")]
-    # Kept columns pass the extractor as text, so that pandas changes no type.
+    # Kept columns pass the extractor as text, so that Arrow changes no type.
     texts = {c: f"_keep{i}" for i, c in enumerate(keep)}
+    schema = StructType.fromDDL(", ".join([RAW_SCHEMA, *[f"{t} string" for t in texts.values()]]))
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for pdf in batches:
-            rows = [_fields_or_error(u, h, link_prefix, len(cols)) for u, h in zip(pdf[url_col], pdf[html_col])]
-            out = pd.DataFrame(rows, columns=cols)
-            for c in texts.values():
-                out[c] = pdf[c].to_numpy()
-            yield out
-
-    raw = (pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"),
-                        *[F.col(c).cast("string").alias(t) for c, t in texts.items()])
-                .withColumnsRenamed({"url": url_col, "html": html_col})
-                .mapInPandas(run, ", ".join([RAW_SCHEMA, *[f"{t} string" for t in texts.values()]])))
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                part = whole.slice(at, AT_ONCE)
+                rows = [_fields_or_error(u, h, link_prefix, len(cols))
+                        for u, h in zip(part.column("url").to_pylist(), part.column("html").to_pylist())]
+                found = [pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)]
+                yield pa.RecordBatch.from_arrays([*found, *[part.column(t).cast(pa.string()) for t in texts.values()]], schema=arrow)
+
+    raw = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"),
+                       *[F.col(c).cast("string").alias(t) for c, t in texts.items()]).mapInArrow(run, schema)
+    raw = raw.withColumnRenamed("url", url_col)
     return raw.withColumns({c: F.col(t).cast(pages.schema[c].dataType) for c, t in texts.items()}).drop(*texts.values()) \
         if keep else raw
 

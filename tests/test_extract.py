@@ -33,6 +33,15 @@ def test_full_notice(spark):
     assert r["links"] == ["/obituary/first", "/obituary/second"] and r["error"] is None
 
 
+def test_pages_are_read_a_few_at_a_time(spark):
+    """A batch stays in Arrow's memory; a few of its pages are Python objects at once."""
+    df = spark.createDataFrame([(f"u{i}", notice(first=f"Ann{i}") if i % 7 else None) for i in range(130)], "url string, html string").coalesce(1)
+    out = page_fields(df)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = [(r.url, r.first_name) for r in out.collect()]
+    assert got == [(f"u{i}", f"Ann{i}" if i % 7 else None) for i in range(130)]
+
+
 def test_cascades(spark):
     pages = [
         ("testid", '<h1 data-testid="desktop-menu-fullname">Ines Marta Kolb</h1>'),
