@@ -17,12 +17,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import in_shares
 from . import serve
 
 GRAM = 3
 #: Lists that a term is looked up in: its rarest ones.
 LISTS = 4
 BUCKETS = 64
+#: Characters that a task makes grams of, each a row at most: some 500 MB to sort.
+TASK_CHARS = 8_000_000
 
 
 def literal_runs(term: str) -> list[str]:
@@ -65,9 +68,12 @@ def build(records: DataFrame, path: str, id_col: str, columns: list[str]) -> Non
     of = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"`{c}`").alias("text")) for i, c in enumerate(columns)]))
     texts = records.select(F.col(id_col).alias("id"), of.alias("c")).select("id", "c.column", "c.text").where("text IS NOT NULL")
     # An outer explode: a plain one lets the optimizer ask for the array's size first, which makes it twice.
+    # A scan's split of packed short texts makes rows a hundred times its size: texts are dealt
+    # out by their characters, so that what a task sorts does not grow with the table.
+    texts = in_shares(texts, "text", TASK_CHARS, "id", "column")
     posts = (with_grams(texts, "text", "grams").select("id", "column", F.explode_outer("grams").alias("gram"))
              .where("gram IS NOT NULL").withColumn("_g", _bucket("gram")))
-    # Each task writes its own part of every list: they are too much to shuffle.
+    # Each task writes its own part of every list: the lists are too much to shuffle.
     posts.sortWithinPartitions("_g", "gram").write.partitionBy("_g").parquet(f"{path}/postings")
     sizes = SearchIndex(records.sparkSession, path, id_col, columns).postings().groupBy("_g", "column", "gram").agg(F.count("*").alias("n"))
     sizes.repartition("_g").write.partitionBy("_g").parquet(f"{path}/sizes")

@@ -13,6 +13,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Session settings we rely on for correct and scalable plans.
 DEFAULT_CONF = {
@@ -77,6 +78,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def in_shares(df: DataFrame, text: str, most: int, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` and its text, about ``most`` characters of
+    it a task at most: for what makes many rows of a text and sorts them.  A
+    text is never cut, so one longer than that is a task of its own size."""
+    chars = df.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    return df.repartition(chars // most + 1, F.xxhash64(*keys, text))
+
+
 def _file_system(spark: SparkSession, path: str):
     """The store of ``path``, as Hadoop's file system, and the path in it."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

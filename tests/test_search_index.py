@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from almanac.operators import search_index as S
 from almanac.operators import serve
@@ -50,6 +51,18 @@ def test_reads_lists_and_few_buckets(built):
     assert "family_information" not in plan(index.candidates([(["first_name"], "Anna")]))
 
 
+def test_a_split_of_many_texts_is_dealt_out(spark, tmp_path, monkeypatch):
+    """What a task sorts follows its characters, not the scan's split."""
+    monkeypatch.setattr(S, "TASK_CHARS", 1000)
+    some = [(i, f"name {i:03d}", None, "", "QC", "of the same length", True, "g", 1) for i in range(200)]
+    df = spark.createDataFrame(some, SCHEMA).coalesce(1)
+    S.build(df, str(tmp_path / "i"), "id", COLUMNS)
+    index = S.SearchIndex(spark, str(tmp_path / "i"), "id", COLUMNS)
+    files = index.postings().where("gram = ' sa'").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 200 and max(r["count"] for r in files) <= 100
+    assert index.search(first_name="name 07", query="same").count() == 10
+
+
 def test_runs():
     assert S.literal_runs(" ab%cd_\\%e ") == ["ab", "cd", "%e"] and S.literal_runs("%%") == []
     assert S.literal_runs("a\\b") == ["ab"]
