@@ -13,8 +13,8 @@ ask the same: the keyword's own words, whole, in any case, with white space
 between them.
 
 The index is partitioned by a hash of the word, so that a search reads the
-buckets of its words.  It is written without a shuffle, a file of a bucket for
-each task, so that a word with a third of all rows is no single task's.
+buckets of its words.  It is written without a shuffle of its rows, a file of a bucket
+for each task, so that a word with a third of all rows is no single task's.
 """
 
 from __future__ import annotations
@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 
 from ..functions import match as M
 from ..functions import text as T
+from ..session import in_shares
 from ..sources import fixed
 
 WORD = r"(?U)\w+"
 BUCKETS = 64
+#: Characters that a task cuts into words, a row each: some 500 MB to sort.
+TASK_CHARS = 16_000_000
 #: Rows of a keyword list that is sent to every task (some MB); a longer list
 #: is joined by a shuffle.
 SENT_ROWS = 100_000
@@ -81,9 +84,12 @@ def _bucket(word) -> Column:
 def build(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
     """Write the index of ``docs`` to ``path``.  The id must be unique: rows
     that share one would be one text."""
-    rows = positions(docs, id_col, text_col).withColumn("bucket", _bucket("word"))
+    # Texts are dealt out by their characters: the rows of a scan's split are
+    # many times its size and would be sorted on disk.
+    shares = in_shares(docs.select(id_col, text_col), text_col, TASK_CHARS, id_col)
+    rows = positions(shares, id_col, text_col).withColumn("bucket", _bucket("word"))
     # Each task writes the buckets of its own texts: a row for every word is
-    # too much to shuffle, and files are as large as the scan's splits make them.
+    # too much to shuffle.
     rows.sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(path)
 
 

@@ -102,3 +102,13 @@ def test_empty_table(spark, tmp_path):
     index = K.Index(spark, str(tmp_path / "i"))
     assert index.occurrences(["nothing here"]).collect() == []
     assert K.proximity_match(df, index, "doc_id", "text", "m", ["word"], ["word"]).collect() == []
+
+
+def test_a_split_of_many_texts_is_dealt_out(spark, tmp_path, monkeypatch):
+    """What a task sorts follows its characters, not the scan's split."""
+    monkeypatch.setattr(K, "TASK_CHARS", 1000)
+    df = spark.createDataFrame([(i, "the same words " * 5) for i in range(100)], "doc_id long, text string").coalesce(1)
+    K.build(df, "doc_id", "text", str(tmp_path / "i"))
+    rows = spark.read.parquet(str(tmp_path / "i")).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in rows) == 1500 and max(r["count"] for r in rows) <= 250
+    assert K.Index(spark, str(tmp_path / "i")).occurrences(["same words"]).count() == 500
