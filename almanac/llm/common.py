@@ -45,17 +45,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sifted(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` whose ``key`` may be among that of ``wanted``: all of
-    those, and a few others where hashes meet.  A map of ``SIFT_BITS`` bits is
-    broadcast, so that a join that follows moves hardly more rows than it
-    keeps; ids far beyond that number fill the map, and all rows pass."""
+def _placed(df: DataFrame, wanted: DataFrame, key: str):
+    """``df`` with the place of its ``key`` in a map of ``SIFT_BITS`` bits, the
+    map of ``wanted`` to broadcast, and the condition that the bit is set."""
     at = F.pmod(F.xxhash64(key), F.lit(SIFT_BITS)) + 1
     marks = (wanted.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket"))
                    .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits")))
     held = F.expr("getbit(cast(conv(hex(substring(_bits, cast(_pos div 8 as int) + 1, 1)), 16, 10) as int), cast(_pos % 8 as int)) = 1")
     placed = df.withColumn("_in", F.bitmap_bucket_number(at)).withColumn("_pos", F.bitmap_bit_position(at))
-    return placed.join(F.broadcast(marks), (F.col("_in") == F.col("_bucket")) & held).select(*df.columns)
+    return placed, F.broadcast(marks), (F.col("_in") == F.col("_bucket")) & held
+
+
+def sifted(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be among that of ``wanted``: all of
+    those, and a few others where hashes meet.  A map of ``SIFT_BITS`` bits is
+    broadcast, so that a join that follows moves hardly more rows than it
+    keeps; ids far beyond that number fill the map, and all rows pass."""
+    placed, marks, held = _placed(df, wanted, key)
+    return placed.join(marks, held).select(*df.columns)
+
+
+def unsifted(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` that ``sifted`` leaves out, whose ``key`` is surely not
+    among that of ``wanted``, and those without a key."""
+    placed, marks, held = _placed(df, wanted, key)
+    return placed.join(marks, held & F.col(key).isNotNull(), "left_anti").select(*df.columns)
 
 
 def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:

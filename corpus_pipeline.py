@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almanac.llm import decontaminate, line_dedup, mixing, near_dup, toxicity
-from almanac.llm.common import staged, table
+from almanac.llm.common import sifted, staged, table, unsifted
 
 #: The stages cannot be stated in SQL (a trained model, signatures, a sampled
 #: fit); their results are tested against brute force instead.
@@ -33,16 +33,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked, that with the smallest id stays; of rows
-    that share an id, one."""
+    that share an id, one.
+
+    Texts are not joined with ids: a row whose id is surely not that of a copy
+    or repeated stays where it is.  Of the others, those that stay are looked
+    up, and only their rows are moved, one of an id from each task."""
     found = staged(near_dup.near_duplicates(docs, shingle_words=5), "components")
-    ids = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("c"))
-    gone = ids.filter("NOT kept").select("doc_id")
-    several = ids.filter("kept AND c > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    ids = staged(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("c")), "ids")
+    odd = ids.filter("NOT kept OR c > 1").select("doc_id")
+    stay = staged(sifted(ids.filter("kept"), odd, "doc_id").select("doc_id"), "stay")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source", "n_chars"))
-    one = (left.join(several, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order))
-               .filter("_row = 1").select(*docs.columns))
-    return left.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    one = (sifted(docs, stay, "doc_id").withColumn("_row", F.row_number().over(order)).filter("_row = 1")
+               .join(stay, "doc_id", "left_semi").select(*docs.columns))
+    return unsifted(docs, odd, "doc_id").unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

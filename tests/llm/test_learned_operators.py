@@ -237,6 +237,44 @@ def test_stages_return_documents(spark, stage):
         assert len(kept) > 0.8 * len(every) and toxic & (every - kept)
 
 
+def texts_moved(df):
+    """Rows with a text that exchanges of a collected ``df`` wrote."""
+    def of(node):
+        own = 0
+        if node.nodeName() == "Exchange" and "text#" in node.output().toString():
+            own = node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        return own + sum(of(children.apply(i)) for i in range(children.size()))
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_copies_go_without_moving_the_texts_that_stay(spark):
+    """Where ids are too many to broadcast; among them null and repeated ids."""
+    import corpus_pipeline as P
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=60)), "en", "s", 119, 1) for i in range(300)]
+    copies = [(1000 + i, rows[i][1] + " tail", *rows[i][2:]) for i in range(80)]
+    repeated = [rows[200]] * 3 + [(201, "another text", "en", "s", 12, 1)] + [copies[0]] * 2
+    without = [(None, rows[0][1], "en", "s", 119, 1), (None, None, "en", "s", None, 1)]
+    docs = spark.createDataFrame(rows + copies + repeated + without, DOCS)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = P.drop_copies(spark, docs, SMALL)
+        got = out.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert out.columns == docs.columns
+    kept = {r.doc_id: r.text for r in got if r.doc_id is not None}
+    assert kept.pop(201) in (rows[201][1], "another text")
+    assert kept == {r[0]: r[1] for r in rows if r[0] != 201} and len(got) == 302
+    assert sorted(str(r.text) for r in got if r.doc_id is None) == sorted(["None", rows[0][1]])
+    assert texts_moved(out) < 20
+
+
 def test_line_stage_empties_documents_of_boilerplate_only(spark):
     import corpus_pipeline as P
     rows = [(i, f"menu\nown {i}", "en", "s", 9, 1) for i in range(20)] + [(50, "menu", "en", "s", 4, 1), (51, None, "en", "s", 7, 1)]
