@@ -26,8 +26,9 @@ MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Entries after which a worker's word cache is emptied, so that its memory
 #: does not grow with the vocabulary.
 CACHE_WORDS = 1_000_000
-#: Bits of the map of wanted ids, 8 MB at any number of ids.
-SIFT_BITS = 1 << 26
+#: Bits of the map of wanted ids for each id, and at most: 8 MB at any number
+#: of ids.
+ID_BITS, SIFT_BITS = 1024, 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +47,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def _placed(df: DataFrame, wanted: DataFrame, key: str):
-    """``df`` with the place of its ``key`` in a map of ``SIFT_BITS`` bits, the
-    map of ``wanted`` to broadcast, and the condition that the bit is set."""
-    at = F.pmod(F.xxhash64(key), F.lit(SIFT_BITS)) + 1
+    """``df`` with the place of its ``key`` in a map of ``ID_BITS`` bits for each
+    row of ``wanted``, ``SIFT_BITS`` at most, the map of ``wanted`` to
+    broadcast, and the condition that the bit is set."""
+    bits = min(SIFT_BITS, 1 << (ID_BITS * max(1, wanted.count()) - 1).bit_length())
+    at = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
     marks = (wanted.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket"))
                    .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits")))
     held = F.expr("getbit(cast(conv(hex(substring(_bits, cast(_pos div 8 as int) + 1, 1)), 16, 10) as int), cast(_pos % 8 as int)) = 1")
@@ -58,9 +61,10 @@ def _placed(df: DataFrame, wanted: DataFrame, key: str):
 
 def sifted(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """The rows of ``df`` whose ``key`` may be among that of ``wanted``: all of
-    those, and a few others where hashes meet.  A map of ``SIFT_BITS`` bits is
-    broadcast, so that a join that follows moves hardly more rows than it
-    keeps; ids far beyond that number fill the map, and all rows pass."""
+    those, and a few others where hashes meet.  A map of ``SIFT_BITS`` bits,
+    fewer for few ids, is broadcast, so that a join that follows moves hardly
+    more rows than it keeps; ids far beyond that number fill the map, and all
+    rows pass.  ``wanted`` is read twice, first to count it."""
     placed, marks, held = _placed(df, wanted, key)
     return placed.join(marks, held).select(*df.columns)
 

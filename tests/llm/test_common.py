@@ -37,3 +37,9 @@ def test_unsifted_is_the_rest(spark, monkeypatch):
         assert None in rest and len(rest) >= least
         assert sorted(known + [i for i in rest if i is not None]) == sorted([*range(-300, 5_000), 7])
         assert not any(i % 50 == 7 for i in rest if i is not None)
+
+
+def test_few_ids_have_a_small_map(spark):
+    rows = spark.range(5_000)
+    _, marks, _ = C._placed(rows, rows.filter("id % 50 = 7"), "id")
+    assert marks.selectExpr("sum(octet_length(_bits))").first()[0] <= 1 << 14

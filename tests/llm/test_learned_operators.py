@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 
 from almanac.llm import decontaminate as D
 from almanac.llm import hash_forest as H
@@ -161,6 +162,22 @@ def test_one_text_of_a_repeated_id(spark):
     assert one == sorted(map(tuple, T.toxicity(docs.repartition(7), labels).collect()), key=str) and len(one) == 82
 
 
+def test_the_fit_is_a_task(spark, monkeypatch):
+    fit = T._fit
+
+    def in_a_task(rows):
+        if TaskContext.get() is None:
+            raise RuntimeError("the sample came to the driver")
+        return fit(rows)
+
+    monkeypatch.setattr(T, "_fit", in_a_task)
+    rows = [(i, "plain words here.", 0) for i in range(40)] + [(100 + i, "you blorfing fool.", 1) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scorer = T.train(table, table)
+    assert (scorer.documents(["a blorfing day", "plain words"], {}) > 0).tolist() == [True, False]
+    assert T.train(table, table.filter("toxic = 0")) is None and T.train(table.limit(0), table) is None
+
+
 def test_rare_words_of_a_toxic_stem_and_sums_over_a_sentence():
     rnd = random.Random(3)
     make = lambda n: "".join(rnd.choice("abdefgilmnoprstu") for _ in range(n))
